@@ -47,22 +47,37 @@ def sliced(df: DataFrame, hot: DataFrame, group: Sequence[str], order: Sequence[
     return null_safe(rows, bounds, group, "left").withColumn("_slice", F.coalesce(F.size(F.filter("_bounds", lambda b: b <= F.col("_key"))), F.lit(0))).drop("_bounds")
 
 
+def packed(df: DataFrame, group: Sequence[str], order: Sequence[str]) -> tuple[DataFrame, list[str], list[str]]:
+    """The rows as one struct ``_row`` beside copies of the group and order columns, under names
+    that no column of ``df`` can clash with."""
+    g, o = [f"_g{i}" for i in range(len(group))], [f"_o{i}" for i in range(len(order))]
+    cols = [*(F.col(f"`{c}`").alias(n) for c, n in zip(group, g, strict=True)), *(F.col(f"`{c}`").alias(n) for c, n in zip(order, o, strict=True))]
+    return df.select(*cols, F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")), g, o
+
+
+def unpacked(df: DataFrame, rank: str, name: str, columns: Sequence[str], kind: str) -> DataFrame:
+    """The rows again, with the rank as ``name``; a column of that name gives way."""
+    return df.select(*[F.col(f"_row.`{c}`").alias(c) for c in columns if c != name], F.col(rank).cast(kind).alias(name))
+
+
 def rank_within(df: DataFrame, group: Sequence[str], order: Sequence[str], *, descending: bool = False, name: str = "rank", heavy: int = HEAVY) -> DataFrame:
     """``df`` with its 1-based place in its group by ``order`` (all ascending, nulls first, or all
     descending, nulls last).
 
     Null group values are values. Rows equal in ``order`` get distinct, arbitrary neighbouring
-    ranks, so end ``order`` with a key where that matters. Empty tables stay empty.
+    ranks, so end ``order`` with a key where that matters. Empty tables stay empty. A column named
+    ``name`` is replaced.
     """
-    ordering = [F.col(c).desc() if descending else F.col(c).asc() for c in order]
-    hot = heavy_groups(df, group, heavy)
+    rows, g, o = packed(df, group, order)
+    ordering = [F.col(c).desc() if descending else F.col(c).asc() for c in o]
+    hot = heavy_groups(rows, g, heavy)
     if hot.isEmpty():
-        return df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*ordering)).cast("bigint"))
-    cold = null_safe(df, hot.drop("_n"), group, "left_anti").withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*ordering)).cast("bigint"))
-    parts = sliced(df, hot, group, order, heavy)
-    sizes = parts.groupBy(*group, "_slice").agg(F.count(F.lit(1)).alias("_c"))
-    before = Window.partitionBy(*group).orderBy(F.col("_slice").desc() if descending else F.col("_slice").asc()).rowsBetween(Window.unboundedPreceding, -1)
+        return unpacked(rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*g).orderBy(*ordering))), "_rank", name, df.columns, "bigint")
+    cold = null_safe(rows, hot.drop("_n"), g, "left_anti").withColumn("_rank", F.row_number().over(Window.partitionBy(*g).orderBy(*ordering)).cast("bigint"))
+    parts = sliced(rows, hot, g, o, heavy)
+    sizes = parts.groupBy(*g, "_slice").agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.partitionBy(*g).orderBy(F.col("_slice").desc() if descending else F.col("_slice").asc()).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c")
-    local = parts.withColumn("_local", F.row_number().over(Window.partitionBy(*group, "_slice").orderBy(*ordering)))
-    ranked = null_safe(local, offsets, [*group, "_slice"], "inner").withColumn(name, (F.col("_local") + F.col("_before")).cast("bigint"))
-    return cold.unionByName(ranked.select(*cold.columns))
+    local = parts.withColumn("_local", F.row_number().over(Window.partitionBy(*g, "_slice").orderBy(*ordering)))
+    ranked = null_safe(local, offsets, [*g, "_slice"], "inner").withColumn("_rank", (F.col("_local") + F.col("_before")).cast("bigint"))
+    return unpacked(cold.unionByName(ranked.select(*cold.columns)), "_rank", name, df.columns, "bigint")
