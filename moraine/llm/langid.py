@@ -7,7 +7,7 @@ sequence over the whole text gives the stretches.
 
 The dictionaries start from labelled samples and are filled from a bounded sample of labelled
 documents: per label the ``SAMPLE_DOCS`` documents of least id hash, of which only those are taken
-that the start dictionaries agree with throughout, up to ``DICTIONARY_CHARS`` per language.
+that the dictionaries so far find to be one stretch in the label's language, up to ``DICTIONARY_CHARS`` per language.
 """
 
 from __future__ import annotations
@@ -24,6 +24,10 @@ from moraine.llm.words import plain, unmarked
 
 #: Bounds of the sample that the dictionaries are filled from.
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_CHARS = 150, 6_000, 40_000
+#: Least words of a sampled document, and by what share its size must be below the second smallest.
+SAMPLE_WORDS, CLEAR = 30, 0.15
+#: Times the sample is judged, each time by the dictionaries filled before.
+ROUNDS = 3
 #: Compression level; bytes a change of language costs; bytes of margin below which a stretch has
 #: no language of its own.
 LEVEL, SWITCH, NARROW = 12, 12, 3
@@ -158,7 +162,6 @@ def fit(docs: DataFrame, samples: DataFrame) -> dict[str, str]:
         code = label_language(r.lang)
         if code:
             texts.setdefault(code, []).extend(sentences(r.text))
-    start = Classifier({k: "".join(v) for k, v in texts.items()})
     label = F.udf(lambda x: label_language(x), "string")
     # Labels are few distinct values: each is read once, not once per document.
     named = docs.select("lang").filter("lang is not null").distinct().withColumn("code", label("lang")).filter("code is not null")
@@ -168,17 +171,29 @@ def fit(docs: DataFrame, samples: DataFrame) -> dict[str, str]:
     chosen = rows.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= SAMPLE_DOCS)
     picked = {r.doc_id: (r.code, r.k) for r in chosen.collect()}
     held = docs.select("doc_id", "text").join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in picked], "doc_id bigint")), "doc_id").collect() if picked else []
-    for r in sorted(held, key=lambda r: (*picked[r.doc_id], r.text)):
-        code = picked[r.doc_id][0]
-        if code not in texts or sum(map(len, texts[code])) >= DICTIONARY_CHARS:
+    documents = [(picked[r.doc_id][0], [p for p in sentences(r.text) if p.count(" ") > 4]) for r in sorted(held, key=lambda r: (*picked[r.doc_id], r.text))]
+    filled = texts
+    for _ in range(ROUNDS):
+        filled = _filled(Classifier({k: "".join(v) for k, v in filled.items()}), texts, documents)
+    return {k: "".join(v) for k, v in filled.items()}
+
+
+def _filled(judge: Classifier, texts: dict[str, list[str]], documents: list[tuple[str, list[str]]]) -> dict[str, list[str]]:
+    """``texts`` with the sentences of labelled documents that ``judge`` finds to be one stretch in the
+    language of the label, by a clear margin."""
+    out = {k: list(v) for k, v in texts.items()}
+    room = {k: DICTIONARY_CHARS - sum(map(len, v)) for k, v in out.items()}
+    for code, parts in documents:
+        if room.get(code, 0) <= 0 or not parts:
             continue
-        at = start.languages.index(code)
-        parts = [p for p in sentences(r.text) if p.count(" ") > 4]
-        sizes = [start.sizes(p) for p in parts]
-        whole = [sum(s) for s in zip(*sizes, strict=True)] if sizes else []
-        if whole and whole[at] == min(whole) and all(s[at] <= min(s) + NARROW for s in sizes):
-            texts[code] += parts
-    return {k: "".join(v) for k, v in texts.items()}
+        at = judge.languages.index(code)
+        sizes = [judge.sizes(p) for p in parts]
+        whole = [sum(s) for s in zip(*sizes, strict=True)]
+        rival = min(x for k, x in enumerate(whole) if k != at)
+        if set(judge.path(sizes)) == {at} and whole[at] <= (1 - CLEAR) * rival and sum(p.count(" ") - 1 for p in parts) >= SAMPLE_WORDS:
+            out[code] += parts
+            room[code] -= sum(map(len, parts))
+    return out
 
 
 def language_stretches(docs: DataFrame, samples: DataFrame) -> DataFrame:
