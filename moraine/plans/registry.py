@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from moraine.plans import core_problems
+from moraine.plans import core_problems, store_queries
 
-_MODULES = [core_problems]
+_MODULES = [core_problems, store_queries]
 
 
 def queries():
