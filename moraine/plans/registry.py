@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from moraine.plans import core_problems, store_queries
+from moraine.plans import core_problems, snapshot_queries, store_queries
 
-_MODULES = [core_problems, store_queries]
+_MODULES = [core_problems, store_queries, snapshot_queries]
 
 
 def queries():
