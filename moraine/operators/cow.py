@@ -96,15 +96,23 @@ class BucketedTable:
             df = df.unionByName(p)
         return df
 
-    def apply(self, feed: DataFrame) -> int:
+    def apply(self, feed: DataFrame, batch: tuple[str, int] | None = None) -> int:
         """Merge ``feed`` (any order, repeats allowed, null keys ignored); gives the new version.
 
+        ``batch`` names a stream and its batch: one that a version already holds is not applied
+        again, so a repeated micro-batch changes nothing.
+
         On an empty table the reduced feed is the replacement. Otherwise it is staged, and only
         buckets it touches are read, merged and replaced; a feed without usable rows commits an
         unchanged version.
         """
         known = self.versions()
         old = self._manifest() if known else {"buckets": self.buckets, "folders": {}, "schema": None}
+        batches = dict(old.get("batches", {}))
+        if batch:
+            if batches.get(batch[0], -1) >= batch[1]:
+                return known[-1]
+            batches[batch[0]] = batch[1]
         folders = {int(b): f for b, f in old["folders"].items()}
         version, commit = (known[-1] if known else 0) + 1, f"data/{uuid.uuid4().hex}"
         reduced = self._reduced(feed)
@@ -122,7 +130,7 @@ class BucketedTable:
                 written = set()
             fs, jvm = self._fs()
             fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.path}/stage"), True)
-        content = {"buckets": self.buckets, "folders": {**{str(b): f for b, f in folders.items()}, **{str(b): commit for b in written}}, "schema": reduced.schema.json()}
+        content = {"buckets": self.buckets, "folders": {**{str(b): f for b, f in folders.items()}, **{str(b): commit for b in written}}, "schema": reduced.schema.json(), "batches": batches}
         self._commit(version, content)
         return version
 
