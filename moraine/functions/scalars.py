@@ -119,8 +119,8 @@ def next_period(t: Column, unit: str) -> Column:
 
 
 def bucket(value: Column, thresholds: Sequence[int]) -> Column:
-    """Number of thresholds below the value (SF13)."""
-    return F.size(F.filter(F.array(*[F.lit(x) for x in thresholds]), lambda x: x < value))
+    """Number of thresholds below the value (SF13); null for null."""
+    return F.when(value.isNotNull(), F.size(F.filter(F.array(*[F.lit(x) for x in thresholds]), lambda x: x < value)))
 
 
 def next_interval(previous: Column, now: Column, seconds: int) -> Column:

@@ -146,7 +146,7 @@ def dedup_counters(entries: DataFrame) -> DataFrame:
     """Writes, distinct contents and bytes saved by deduplication and compression (AG25)."""
     rows = usable(entries).filter("live")
     per = rows.groupBy("content_id").agg(F.count(F.lit(1)).alias("n"), F.max("original_length").alias("o"), F.max("packed_length").alias("p"))
-    return per.agg(F.sum("n").alias("writes"), F.count(F.lit(1)).alias("distinct_contents"), F.sum(F.col("n") - 1).alias("deduplicated"), F.sum((F.col("n") - 1) * F.col("o")).alias("deduplicated_bytes"), F.sum(F.greatest(F.col("o") - F.col("p"), F.lit(0))).alias("compression_saved"))
+    return per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("writes"), F.count(F.lit(1)).alias("distinct_contents"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("deduplicated"), F.sum((F.col("n") - 1) * F.col("o")).alias("deduplicated_bytes"), F.sum(F.greatest(F.col("o") - F.col("p"), F.lit(0))).alias("compression_saved"))
 
 
 def packed_bins(df: DataFrame, size: str, order: Sequence[str], capacity: int, group: Sequence[str]) -> DataFrame:

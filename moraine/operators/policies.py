@@ -46,7 +46,7 @@ def hierarchy(sources: DataFrame, policies: DataFrame) -> DataFrame:
     ``policies`` the same and ``policy_id``. Policies join by equality on an exploded key, so no
     pair of a source and a foreign policy is formed."""
     s = sources.select("host_name", "user_name", "source_path").distinct()
-    up = s.select("*", F.posexplode(ancestors(F.col("source_path"))).alias("place", "_p")).withColumn("_u", F.col("user_name")).withColumn("_h", F.col("host_name"))
+    up = s.filter("source_path is not null").select("*", F.posexplode(ancestors(F.col("source_path"))).alias("place", "_p")).withColumn("_u", F.col("user_name")).withColumn("_h", F.col("host_name"))
     none = F.lit(None).cast("string")
     top = MAX_PARENTS + 1
     rest = s.select("*", F.explode(F.array(F.struct(F.lit(top).alias("place"), F.col("host_name").alias("_h"), F.col("user_name").alias("_u")), F.struct(F.lit(top + 1).alias("place"), F.col("host_name").alias("_h"), none.alias("_u")), F.struct(F.lit(top + 2).alias("place"), none.alias("_h"), none.alias("_u")))).alias("_x")).select("host_name", "user_name", "source_path", "_x.place", none.alias("_p"), "_x._u", "_x._h")

@@ -19,7 +19,7 @@ INCOMPLETE_HOURS, INCOMPLETE_COUNT = 4, 3
 
 def period_id(kind: str, t: Column) -> Column:
     if kind == "weekly":
-        return F.format_string("%04d-%02d", F.extract(F.lit("YEAROFWEEK"), t), F.weekofyear(t))
+        return F.when(t.isNotNull(), F.format_string("%04d-%02d", F.extract(F.lit("YEAROFWEEK"), t), F.weekofyear(t)))
     return F.date_format(t, {"annual": "yyyy", "monthly": "yyyy-MM", "daily": "yyyy-MM-dd", "hourly": "yyyy-MM-dd HH"}[kind])
 
 

@@ -220,14 +220,14 @@ def ix08_compaction(t):
 def ix09_active_indexes(t):
     a = t.content_entries.filter("index_blob_id is not null").groupBy("index_blob_id").agg(F.max("arrived_at").alias("last"))
     top = a.agg(F.max("last")).first()[0]
-    return a.filter(F.col("last") >= F.lit(top) - F.expr("interval 90 days")).select("index_blob_id")
+    return a.filter(F.col("last") >= F.lit(top).cast("timestamp_ntz") - F.expr("interval 90 days")).select("index_blob_id")
 
 
 @q("WITH a AS (SELECT index_blob_id, max(arrived_at) last FROM content_entries WHERE index_blob_id IS NOT NULL GROUP BY 1) SELECT index_blob_id FROM a WHERE last < (SELECT max(last) FROM a) - INTERVAL 90 DAY")
 def ix10_delayed_cleanup(t):
     a = t.content_entries.filter("index_blob_id is not null").groupBy("index_blob_id").agg(F.max("arrived_at").alias("last"))
     top = a.agg(F.max("last")).first()[0]
-    return a.filter(F.col("last") < F.lit(top) - F.expr("interval 90 days")).select("index_blob_id")
+    return a.filter(F.col("last") < F.lit(top).cast("timestamp_ntz") - F.expr("interval 90 days")).select("index_blob_id")
 
 
 @q(sql(_OLD, _NEW, "SELECT c1.content_id, greatest(c1.timestamp_seconds, coalesce(c0.timestamp_seconds + 1, c1.timestamp_seconds)) timestamp_seconds FROM c1 LEFT JOIN c0 USING (content_id) WHERE NOT coalesce(c0.live, false)"))

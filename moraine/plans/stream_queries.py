@@ -56,7 +56,7 @@ def ss05_active_sessions(t):
     return feeds.active_sessions(rows, 1_706_572_800, 86_400)
 
 
-@q("SELECT date_trunc('hour', ts)::TIMESTAMP begins, event_type, count(*) n FROM events GROUP BY ALL")
+@q("SELECT date_trunc('hour', ts)::TIMESTAMP begins, event_type, count(*) n FROM events WHERE ts IS NOT NULL GROUP BY ALL")
 def ss06_tumbling(t):
     return feeds.collected(t.spark, feeds.tumbling(_stream(t, "events"), "ts", "1 hour", "60 days", ["event_type"]), "windows", "complete")
 
@@ -65,7 +65,7 @@ def ss06_tumbling(t):
 def ss07_file_stream(t):
     total = []
     feeds.run_to_end(_stream(t, "events"), lambda df, _: total.append(df.agg(F.count(F.lit(1)), F.sum("event_id")).first()), scratch_path(t.spark, "progress"))
-    return t.spark.createDataFrame([(sum(r[0] for r in total), sum(r[1] for r in total))], "n bigint, s bigint")
+    return t.spark.createDataFrame([(sum(r[0] for r in total), sum(r[1] or 0 for r in total) if any(r[1] is not None for r in total) else None)], "n bigint, s bigint")
 
 
 @q("SELECT content_id, timestamp_seconds FROM content_entries WHERE timestamp_seconds <= 1717200000 - 3600")

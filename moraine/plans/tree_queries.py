@@ -167,13 +167,13 @@ def ag07_roll_up(t):
     return trees.rolled_up(rows, ["manifest_id"], "entry_path", "file_size")
 
 
-_FAILED = "SELECT manifest_id, list(entry_path ORDER BY entry_path) failed FROM (SELECT *, row_number() OVER (PARTITION BY manifest_id ORDER BY entry_path) r FROM (SELECT DISTINCT manifest_id, entry_path FROM snapshot_entries WHERE object_id IS NULL)) WHERE r <= 10 GROUP BY 1"
+_FAILED = "SELECT manifest_id, list(entry_path ORDER BY entry_path) failed FROM (SELECT *, row_number() OVER (PARTITION BY manifest_id ORDER BY entry_path) r FROM (SELECT DISTINCT manifest_id, entry_path FROM snapshot_entries WHERE object_id IS NULL AND entry_path IS NOT NULL)) WHERE r <= 10 GROUP BY 1"
 
 
 @q(_FAILED)
 def ag08_top_failures(t):
     """The first ten entries without an object of each snapshot, by path."""
-    bad = t.snapshot_entries.filter("object_id is null").select("manifest_id", "entry_path").distinct()
+    bad = t.snapshot_entries.filter("object_id is null and entry_path is not null").select("manifest_id", "entry_path").distinct()
     w = Window.partitionBy("manifest_id").orderBy("entry_path")
     return bad.withColumn("r", F.row_number().over(w)).filter("r <= 10").groupBy("manifest_id").agg(F.array_sort(F.collect_list("entry_path")).alias("failed"))
 
@@ -353,11 +353,11 @@ def ix17_compaction_counts(t):
     return n.agg(F.count(F.lit(1)).alias("hosts"), F.sum("n").alias("policies"), F.max("n").alias("most"))
 
 
-@q("WITH l AS (SELECT policy_id, modified_at FROM policies WHERE policy_id NOT IN (SELECT policy_id FROM policies WHERE labels['policyType'] = 'host' AND labels['type'] = 'policy')) SELECT policy_id, modified_at FROM l UNION ALL SELECT 'new', timestamp '2025-01-01'")
+@q("WITH l AS (SELECT policy_id, modified_at FROM policies WHERE policy_id IS NOT NULL AND policy_id NOT IN (SELECT policy_id FROM policies WHERE policy_id IS NOT NULL AND labels['policyType'] = 'host' AND labels['type'] = 'policy')) SELECT policy_id, modified_at FROM l UNION ALL SELECT 'new', timestamp '2025-01-01'")
 def ix18_replace(t):
     """Replace all manifests that have some labels by one."""
     hit = t.policies.filter(P.label_match(F.col("labels"), {"type": "policy", "policyType": "host"})).select("policy_id").distinct()
-    kept = t.policies.select("policy_id", "modified_at").join(hit, "policy_id", "left_anti")
+    kept = t.policies.filter("policy_id is not null").select("policy_id", "modified_at").join(hit, "policy_id", "left_anti")
     return kept.unionByName(t.spark.sql("select 'new' policy_id, timestamp_ntz'2025-01-01 00:00:00' modified_at"))
 
 
@@ -401,7 +401,7 @@ def st13_next_due(t):
 
 @q(_FAILED.replace("r <= 10", "r <= 3"))
 def st11_examples(t):
-    bad = t.snapshot_entries.filter("object_id is null").select("manifest_id", "entry_path").distinct()
+    bad = t.snapshot_entries.filter("object_id is null and entry_path is not null").select("manifest_id", "entry_path").distinct()
     w = Window.partitionBy("manifest_id").orderBy("entry_path")
     return bad.withColumn("r", F.row_number().over(w)).filter("r <= 3").groupBy("manifest_id").agg(F.array_sort(F.collect_list("entry_path")).alias("failed"))
 
@@ -455,4 +455,4 @@ def sc19_archives(t):
     from moraine.session import scratch_path
 
     docs = t.documents.filter("text is not null").select(F.concat(F.lit("d"), "doc_id").alias("p"), "text")
-    return sinks.write_archives(docs, "p", "text", scratch_path(t.spark, "archives")).agg(F.sum("files").alias("files"), F.sum("bytes").alias("bytes"))
+    return sinks.write_archives(docs, "p", "text", scratch_path(t.spark, "archives")).agg(F.coalesce(F.sum("files"), F.lit(0)).alias("files"), F.sum("bytes").alias("bytes"))
