@@ -11,9 +11,11 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from moraine.operators.ranking import running_within
+
 
 def fixed_chunks(df: DataFrame, data: str, size: int) -> DataFrame:
     """Chunks of ``size`` characters or bytes with number, start and length (CH01); an empty value
@@ -180,8 +182,7 @@ def chunk_at(chunks: DataFrame, offset: Column) -> DataFrame:
 
 def concatenated(parts: DataFrame, group: Sequence[str], order: str, length: str) -> DataFrame:
     """Start of each part when the parts of a group are put one after another (OB04)."""
-    w = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return parts.withColumn("start", F.coalesce(F.sum(length).over(w), F.lit(0)).cast("bigint"))
+    return running_within(parts, group, [order], sums={"start": length}, before=True).withColumn("start", F.col("start").cast("bigint"))
 
 
 def upload_parts(size: Column, part: int) -> Column:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from moraine.operators.ranking import running_within
 from moraine.operators.state import winners
 
 PAYLOAD = ["original_length", "packed_length", "pack_offset", "compression_id", "index_blob_id"]
@@ -151,6 +152,6 @@ def dedup_counters(entries: DataFrame) -> DataFrame:
 
 def packed_bins(df: DataFrame, size: str, order: Sequence[str], capacity: int, group: Sequence[str]) -> DataFrame:
     """Approximate packing in arrival order (IX13): a row belongs to the bin in which the bytes
-    before it in its group fall. Groups are windows, so keep them bounded."""
-    before = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("bin", F.floor(F.coalesce(F.sum(size).over(before), F.lit(0)) / F.lit(capacity)).cast("bigint"))
+    before it in its group fall. Large groups are run in slices."""
+    run = running_within(df, group, order, sums={"_before": size}, before=True)
+    return run.withColumn("bin", F.floor(F.col("_before") / F.lit(capacity)).cast("bigint")).drop("_before")

@@ -81,3 +81,50 @@ def rank_within(df: DataFrame, group: Sequence[str], order: Sequence[str], *, de
     local = parts.withColumn("_local", F.row_number().over(Window.partitionBy(*g, "_slice").orderBy(*ordering)))
     ranked = null_safe(local, offsets, [*g, "_slice"], "inner").withColumn("_rank", (F.col("_local") + F.col("_before")).cast("bigint"))
     return unpacked(cold.unionByName(ranked.select(*cold.columns)), "_rank", name, df.columns, "bigint")
+
+
+def running_within(df: DataFrame, group: Sequence[str], order: Sequence[str], *, sums: dict[str, str] | None = None, lasts: dict[str, str] | None = None, before: bool = False, heavy: int = HEAVY) -> DataFrame:
+    """Running sums and last non-null values of each group along ``order``, ascending.
+
+    ``sums`` and ``lasts`` map new columns to the columns they follow; with ``before`` the row
+    itself is left out. Groups above ``heavy`` rows are cut into value ranges as in
+    ``rank_within``: each range runs by itself and starts from what the ranges before it leave.
+    A sum over nothing is 0, a last value of nothing null. End ``order`` with a key: rows equal in
+    it follow each other in no defined sequence. New columns replace columns of their name.
+    """
+    sums, lasts = sums or {}, lasts or {}
+    rows, g, o = packed(df, group, order)
+    values = {**{n: f"_s{i}" for i, n in enumerate(sums)}, **{n: f"_l{i}" for i, n in enumerate(lasts)}}
+    rows = rows.select("*", *[F.col(f"_row.`{c}`").alias(values[n]) for n, c in [*sums.items(), *lasts.items()]])
+    end = -1 if before else 0
+
+    def along(part: DataFrame, keys: Sequence[str]) -> DataFrame:
+        w = Window.partitionBy(*keys).orderBy(*o).rowsBetween(Window.unboundedPreceding, end)
+        new = {f"_r{values[n]}": F.coalesce(F.sum(values[n]).over(w), F.lit(0)) for n in sums}
+        return part.withColumns(new | {f"_r{values[n]}": F.last(values[n], ignorenulls=True).over(w) for n in lasts})
+
+    def finished(part: DataFrame) -> DataFrame:
+        kept = [F.col(f"_row.`{c}`").alias(c) for c in df.columns if c not in values]
+        return part.select(*kept, *[F.col(f"_r{v}").alias(n) for n, v in values.items()])
+
+    hot = heavy_groups(rows, g, heavy)
+    if hot.isEmpty():
+        return finished(along(rows, g))
+    cold = along(null_safe(rows, hot.drop("_n"), g, "left_anti"), g)
+    parts = sliced(rows, hot, g, o, heavy)
+    key = F.struct(*o)
+    left = parts.groupBy(*g, "_slice").agg(*[F.sum(values[n]).alias(values[n]) for n in sums], *[F.max(F.when(F.col(values[n]).isNotNull(), F.struct(key.alias("k"), F.col(values[n]).alias("v"))))["v"].alias(values[n]) for n in lasts])
+    w = Window.partitionBy(*g).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = left.select(*g, "_slice", *[F.coalesce(F.sum(values[n]).over(w), F.lit(0)).alias(f"_c{values[n]}") for n in sums], *[F.last(values[n], ignorenulls=True).over(w).alias(f"_c{values[n]}") for n in lasts])
+    run = null_safe(along(parts, [*g, "_slice"]), carried, [*g, "_slice"], "inner")
+    run = run.withColumns({f"_r{values[n]}": F.col(f"_r{values[n]}") + F.col(f"_c{values[n]}") for n in sums} | {f"_r{values[n]}": F.coalesce(f"_r{values[n]}", f"_c{values[n]}") for n in lasts})
+    return finished(cold).unionByName(finished(run))
+
+
+def neighbour(df: DataFrame, group: Sequence[str], order: Sequence[str], columns: dict[str, str], *, ahead: bool = False, heavy: int = HEAVY) -> DataFrame:
+    """Values of the row before (or after) each row in its group, by exact rank and an equi-join
+    on it, so that no group has to fit into one task. ``columns`` maps new names to columns; a
+    first (or last) row gets nulls. Adds ``_place``, the row's rank."""
+    ranked = rank_within(df, group, order, name="_place", heavy=heavy)
+    other = ranked.select(*group, (F.col("_place") + (-1 if ahead else 1)).alias("_place"), *[F.col(c).alias(n) for n, c in columns.items()])
+    return null_safe(ranked, other, [*group, "_place"], "left")

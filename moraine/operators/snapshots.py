@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from moraine.operators.history import SOURCE
-from moraine.operators.ranking import null_safe, rank_within
+from moraine.operators.ranking import neighbour, null_safe, rank_within, running_within
 
 #: Kinds of period in the order they are decided, and in the order of their tags.
 KINDS = ["latest", "annual", "monthly", "weekly", "daily", "hourly"]
@@ -95,11 +95,25 @@ def expired(snapshots: DataFrame, reasons: DataFrame) -> DataFrame:
     return snapshots.join(reasons.select("manifest_id").distinct(), "manifest_id", "left_anti").filter(F.coalesce(F.size("pins"), F.lit(0)) <= 0)
 
 
+ORDER = ["start_time", "end_time", "manifest_id"]
+
+
 def with_previous(snapshots: DataFrame) -> DataFrame:
     """Each snapshot with the id of the one before it in its source (WN04)."""
-    ranked = rank_within(snapshots, SOURCE, ["start_time", "end_time", "manifest_id"], name="_i")
-    before = ranked.select(*SOURCE, (F.col("_i") + 1).alias("_i"), F.col("manifest_id").alias("previous_id"))
-    return null_safe(ranked, before, [*SOURCE, "_i"], "left").drop("_i")
+    return neighbour(snapshots, SOURCE, ORDER, {"previous_id": "manifest_id"}).drop("_place")
+
+
+def deltas(snapshots: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Change of columns against the snapshot before (AG21); null for a source's first."""
+    rows = neighbour(snapshots, SOURCE, ORDER, {f"_p_{n}": c for n, c in columns.items()})
+    return rows.select("manifest_id", *[(F.col(c) - F.col(f"_p_{n}")).alias(n) for n, c in columns.items()])
+
+
+def delta_to_complete(snapshots: DataFrame, column: str) -> DataFrame:
+    """Change of a column against the last complete snapshot before (WN08)."""
+    rows = snapshots.withColumn("_done", F.when(F.col("complete"), F.col(column)))
+    run = running_within(rows, SOURCE, ORDER, lasts={"_last": "_done"}, before=True)
+    return run.select("manifest_id", (F.col(column) - F.col("_last")).alias("delta"))
 
 
 def previous_manifests(snapshots: DataFrame, no_later_than: Column | None = None) -> DataFrame:
@@ -113,17 +127,24 @@ def previous_manifests(snapshots: DataFrame, no_later_than: Column | None = None
 
 def identical_runs(snapshots: DataFrame) -> DataFrame:
     """Adjacent snapshots of a source with one root as a single row (AG16): first and last start,
-    count. A run begins where the previous root differs; runs are joined by their begins."""
-    w = Window.partitionBy(*SOURCE).orderBy("start_time", "end_time", "manifest_id")
-    begins = ~F.lag("root_oid").over(w).eqNullSafe(F.col("root_oid")) | F.lag("manifest_id").over(w).isNull()
-    runs = snapshots.withColumn("_b", begins.cast("bigint")).withColumn("_run", F.sum("_b").over(w))
-    return runs.groupBy(*SOURCE, "_run", "root_oid").agg(F.min("start_time").alias("first_start"), F.max("start_time").alias("last_start"), F.count(F.lit(1)).alias("n")).drop("_run")
+    count. A run begins where the root differs from the one before and ends just before the next
+    begin; begins and ends meet by equi-joins on ranks, so that a large source is no single task."""
+    placed = neighbour(snapshots, SOURCE, ORDER, {"_before": "root_oid", "_id": "manifest_id"})
+    begins = placed.filter(F.col("_id").isNull() | ~F.col("_before").eqNullSafe(F.col("root_oid"))).select(*SOURCE, "root_oid", "start_time", F.col("_place").alias("_b"))
+    chained = neighbour(begins, SOURCE, ["_b"], {"_next": "_b"}, ahead=True)
+    sizes = placed.groupBy(*SOURCE).agg(F.max("_place").alias("_n"))
+    runs = null_safe(chained.drop("_place"), sizes, SOURCE, "inner").withColumn("_place", F.coalesce(F.col("_next") - 1, F.col("_n")))
+    last = placed.select(*SOURCE, "_place", F.col("start_time").alias("last_start"))
+    return null_safe(runs, last, [*SOURCE, "_place"], "inner").select(*SOURCE, "root_oid", F.col("start_time").alias("first_start"), "last_start", (F.col("_place") - F.col("_b") + 1).alias("n"))
 
 
 def unique_roots(snapshots: DataFrame) -> DataFrame:
-    """One row per root, the first snapshot and all pins (AG17)."""
-    first = snapshots.groupBy("root_oid").agg(F.min(F.struct("start_time", "end_time", "manifest_id")).alias("_f"), F.count(F.lit(1)).alias("n"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("pins", F.array().cast("array<string>")))))).alias("pins"))
-    return first.select("root_oid", F.col("_f.manifest_id").alias("manifest_id"), "n", "pins")
+    """One row per root, the first snapshot and all pins (AG17). Pins are made distinct before they
+    are gathered."""
+    first = snapshots.groupBy("root_oid").agg(F.min(F.struct("start_time", "end_time", "manifest_id")).alias("_f"), F.count(F.lit(1)).alias("n"))
+    pins = snapshots.select("root_oid", F.explode("pins").alias("_p")).distinct().groupBy("root_oid").agg(F.array_sort(F.collect_list("_p")).alias("pins"))
+    both = null_safe(first, pins, ["root_oid"], "left")
+    return both.select("root_oid", F.col("_f.manifest_id").alias("manifest_id"), "n", F.coalesce("pins", F.array().cast("array<string>")).alias("pins"))
 
 
 def compact_tags(rows: DataFrame, key: str, tag: str) -> DataFrame:

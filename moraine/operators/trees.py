@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from moraine.functions.wildcards import folders_above
 from moraine.operators.orphans import object_key
+from moraine.operators.ranking import rank_within
 from moraine.session import materialise
 
+#: Entries hashed together in a fingerprint.
+HASH_RUN = 4_096
 #: Folders below folders that a walk follows.
 MAX_DEPTH = 1_000
 
@@ -136,10 +139,12 @@ def extra_locals(local: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def fingerprints(rows: DataFrame, keys: Sequence[str], path: str, value: Column) -> DataFrame:
-    """SHA-256 of each tree over its entries in path order (GR09). Paths and values are hashed
-    row by row first; a tree's hashes are joined in one place, 64 bytes an entry."""
-    line = F.sha2(F.concat_ws("|", F.col(path), value), 256)
-    return rows.select(*keys, F.struct(F.col(path), line.alias("h")).alias("x")).groupBy(*keys).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["h"]), ""), 256).alias("fingerprint"))
+    """SHA-256 of each tree over its entries in path order (GR09): entries are hashed, then runs of
+    ``HASH_RUN`` entries, then the runs, so that no row has to hold a whole tree."""
+    lines = rows.select(*keys, F.col(path).alias("_path"), F.sha2(F.concat_ws("|", F.col(path), value), 256).alias("_h"))
+    ranked = rank_within(lines, keys, ["_path", "_h"], name="_i").withColumn("_run", F.floor((F.col("_i") - 1) / HASH_RUN))
+    joined = lambda place: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(place, "_h"))), lambda x: x["_h"]), ""), 256)
+    return ranked.groupBy(*keys, "_run").agg(joined("_i").alias("_h")).groupBy(*keys).agg(joined("_run").alias("fingerprint"))
 
 
 def without_entries(directories: DataFrame, drop: Column) -> DataFrame:

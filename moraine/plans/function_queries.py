@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from moraine.functions import scalars as X
@@ -10,6 +9,7 @@ from moraine.operators import chunks as K
 from moraine.operators import epochs as E
 from moraine.operators import metrics as M
 from moraine.operators import snapshots as S
+from moraine.operators.joins import as_of_join
 from moraine.plans.base import BL, CW, SN, Registry, sql
 
 q = Registry()
@@ -425,15 +425,6 @@ def jn17_merge_sorted(t):
     return t.contents.agg(F.count(F.lit(1)).alias("n"), F.min("content_id").alias("first_id"), F.max("content_id").alias("last_id"), F.sum("timestamp_seconds").alias("s"))
 
 
-def as_of_join(left, right, key, at, value):
-    """Last non-null ``value`` of ``right`` at or before each row of ``left``, per key (JN18):
-    both sides in one window ordered by time, right before left at equal times."""
-    a = left.select(*left.columns, F.lit(None).cast(right.schema[value].dataType).alias("_v"), F.lit(1).alias("_side"))
-    b = right.select(*[F.col(c) if c in (key, at) else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in left.columns], F.col(value).alias("_v"), F.lit(0).alias("_side"))
-    w = Window.partitionBy(key).orderBy(at, "_side").rowsBetween(Window.unboundedPreceding, 0)
-    return a.unionByName(b).withColumn(value, F.last("_v", ignorenulls=True).over(w)).filter("_side = 1").drop("_v", "_side")
-
-
 @q("WITH r AS (SELECT user_id, ts, max(event_id) eid FROM events WHERE event_type = 'purchase' GROUP BY ALL) SELECT e.event_id, r.eid last_purchase FROM events e ASOF LEFT JOIN r ON e.user_id = r.user_id AND e.ts >= r.ts WHERE e.event_type = 'click'")
 def jn18_as_of_join(t):
     e = t.events

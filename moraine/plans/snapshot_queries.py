@@ -69,9 +69,7 @@ def wn06_previous_manifests(t):
 
 @q(sql(SN, f"SELECT manifest_id, total_size - last_value(CASE WHEN complete THEN total_size END IGNORE NULLS) OVER (PARTITION BY {SRC} ORDER BY start_time NULLS FIRST, end_time NULLS FIRST, manifest_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) delta FROM sn"))
 def wn08_size_delta(t):
-    w = Window.partitionBy(*SOURCE).orderBy("start_time", "end_time", "manifest_id").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.last(F.when(F.col("complete"), F.col("total_size")), ignorenulls=True).over(w)
-    return t.snapshots.select("manifest_id", (F.col("total_size") - last).alias("delta"))
+    return S.delta_to_complete(t.snapshots, "total_size")
 
 
 @q(sql(SN, f"SELECT {SRC}, count(*) n, sum(total_size)::BIGINT bytes FROM sn GROUP BY ALL"))
@@ -93,14 +91,14 @@ _RUNS = f"""r AS (SELECT *, sum(b) OVER (PARTITION BY {SRC} ORDER BY start_time
   FROM sn WINDOW w AS (PARTITION BY {SRC} ORDER BY start_time NULLS FIRST, end_time NULLS FIRST, manifest_id)))"""
 
 
-@q(sql(SN, _RUNS, f"SELECT {SRC}, root_oid, min(start_time) first_start, max(start_time) last_start, count(*) n FROM r GROUP BY {SRC}, run, root_oid"))
+@q(sql(SN, _RUNS, f"SELECT {SRC}, root_oid, first(start_time ORDER BY start_time NULLS FIRST, end_time NULLS FIRST, manifest_id) first_start, last(start_time ORDER BY start_time NULLS FIRST, end_time NULLS FIRST, manifest_id) last_start, count(*) n FROM r GROUP BY {SRC}, run, root_oid"))
 def ag16_identical_runs(t):
     return S.identical_runs(t.snapshots)
 
 
-@q(sql(SN, "SELECT root_oid, min_by(manifest_id, (coalesce(start_time, timestamp '0001-01-01'), coalesce(end_time, timestamp '0001-01-01'), manifest_id)) manifest_id, count(*) n FROM sn GROUP BY 1"))
+@q(sql(SN, "SELECT root_oid, min_by(manifest_id, (coalesce(start_time, timestamp '0001-01-01'), coalesce(end_time, timestamp '0001-01-01'), manifest_id)) manifest_id, count(*) n, coalesce(list_sort(list_distinct(flatten(list(pins) FILTER (WHERE pins IS NOT NULL)))), []) pins FROM sn GROUP BY 1"))
 def ag17_unique_roots(t):
-    return S.unique_roots(t.snapshots).drop("pins")
+    return S.unique_roots(t.snapshots)
 
 
 _TAGS = sql(SN, *_REASONS, f"p AS (SELECT {SRC}, split_part(reason, '-', 1) k, split_part(reason, '-', 2)::INT n FROM reasons JOIN sn USING (manifest_id) WHERE reason <> 'incomplete')", f"g AS (SELECT *, n - row_number() OVER (PARTITION BY {SRC}, k ORDER BY n) r FROM p)", f"SELECT concat_ws('|', coalesce('v' || host_name, 'n'), coalesce('v' || user_name, 'n'), coalesce('v' || source_path, 'n')) source, CASE WHEN min(n) = max(n) THEN k || '-' || min(n) ELSE k || '-' || min(n) || '..' || max(n) END tag FROM g GROUP BY {SRC}, k, r")
@@ -131,8 +129,7 @@ def ag20_overall(t):
 
 @q(sql(SN, f"SELECT manifest_id, total_size - lag(total_size) OVER w size_delta, file_count - lag(file_count) OVER w file_delta, dir_count - lag(dir_count) OVER w dir_delta FROM sn WINDOW w AS (PARTITION BY {SRC} ORDER BY start_time NULLS FIRST, end_time NULLS FIRST, manifest_id)"))
 def ag21_deltas(t):
-    w = Window.partitionBy(*SOURCE).orderBy("start_time", "end_time", "manifest_id")
-    return t.snapshots.select("manifest_id", *[(F.col(c) - F.lag(c).over(w)).alias(n) for c, n in (("total_size", "size_delta"), ("file_count", "file_delta"), ("dir_count", "dir_delta"))])
+    return S.deltas(t.snapshots, {"size_delta": "total_size", "file_delta": "file_count", "dir_delta": "dir_count"})
 
 
 @q("SELECT entry_type, count(*) n, count(object_id) with_object, sum(file_size)::BIGINT bytes FROM snapshot_entries GROUP BY 1")

@@ -10,6 +10,7 @@ from moraine.functions import wildcards as W
 from moraine.operators import nested, trees
 from moraine.operators import policies as P
 from moraine.operators.history import SOURCE, usable_snapshots
+from moraine.operators.joins import disambiguated
 from moraine.operators.orphans import object_key
 from moraine.operators.state import state_rows
 from moraine.plans.base import BL, CW, DI, EN, SN, Registry, sql
@@ -82,7 +83,7 @@ def gr06_rewritten_trees(t):
     return out.select("dir_oid", F.sha2(F.to_json(F.struct("entries")), 256).alias("fingerprint"))
 
 
-@q("WITH l AS (SELECT manifest_id, entry_path, sha256(concat_ws('|', entry_path, coalesce(object_id, ''))) h FROM (SELECT DISTINCT manifest_id, entry_path, object_id FROM snapshot_entries WHERE manifest_id IS NOT NULL AND entry_path IS NOT NULL)) SELECT manifest_id, sha256(string_agg(h, '' ORDER BY entry_path, h)) fingerprint FROM l GROUP BY 1")
+@q("WITH l AS (SELECT manifest_id, entry_path, sha256(concat_ws('|', entry_path, coalesce(object_id, ''))) h FROM (SELECT DISTINCT manifest_id, entry_path, object_id FROM snapshot_entries WHERE manifest_id IS NOT NULL AND entry_path IS NOT NULL)) SELECT manifest_id, sha256(string_agg(h, '' ORDER BY run)) fingerprint FROM (SELECT manifest_id, run, sha256(string_agg(h, '' ORDER BY entry_path, h)) h FROM (SELECT *, (row_number() OVER (PARTITION BY manifest_id ORDER BY entry_path, h) - 1) // 4096 run FROM l) GROUP BY ALL) GROUP BY 1")
 def gr09_fingerprint(t):
     rows = t.snapshot_entries.filter("manifest_id is not null and entry_path is not null").select("manifest_id", "entry_path", "object_id").distinct()
     return trees.fingerprints(rows, ["manifest_id"], "entry_path", F.coalesce("object_id", F.lit("")))
@@ -183,14 +184,14 @@ _SRC = "host_name, user_name, source_path"
 
 @q(sql(SN, CW, f"sq AS (SELECT *, row_number() OVER (PARTITION BY {_SRC} ORDER BY start_time NULLS FIRST, end_time NULLS FIRST, manifest_id) seq FROM sn)", "ob AS (SELECT s.host_name, s.user_name, s.source_path, " + KEY.format("e.object_id") + " k, min(seq) seq, min_by(file_size, (seq, coalesce(file_size, -1))) file_size FROM snapshot_entries e JOIN sq s USING (manifest_id) WHERE e.object_id IS NOT NULL GROUP BY ALL)", "nw AS (SELECT host_name, user_name, source_path, seq, count(*) new_objects, sum(file_size) object_bytes, count(original_length) new_contents, sum(packed_length) packed_bytes FROM ob LEFT JOIN cw ON content_id = k GROUP BY ALL)", f"SELECT concat_ws('|', coalesce(host_name, ''), coalesce(user_name, ''), coalesce(source_path, '')) src, seq, new_objects, object_bytes::BIGINT object_bytes, new_contents, packed_bytes::BIGINT packed_bytes, sum(new_objects) OVER (PARTITION BY {_SRC} ORDER BY seq)::BIGINT total_objects FROM nw"))
 def ag09_storage_stats(t):
-    from moraine.operators.ranking import rank_within
+    from moraine.operators.ranking import rank_within, running_within
 
     seq = rank_within(t.snapshots, SOURCE, ["start_time", "end_time", "manifest_id"], name="seq").select("manifest_id", *SOURCE, "seq")
     e = t.snapshot_entries.filter("object_id is not null").select("manifest_id", object_key(F.col("object_id")).alias("key"), "file_size")
     new = trees.storage_stats(e.join(seq, "manifest_id"), t.contents, SOURCE, "seq")
-    w = Window.partitionBy(*SOURCE).orderBy("seq")
     src = F.concat_ws("|", *[F.coalesce(c, F.lit("")) for c in SOURCE])
-    return new.select(src.alias("src"), "seq", "new_objects", "object_bytes", "new_contents", "packed_bytes", F.sum("new_objects").over(w).alias("total_objects"))
+    run = running_within(new, SOURCE, ["seq"], sums={"total_objects": "new_objects"})
+    return run.select(src.alias("src"), "seq", F.col("new_objects"), "object_bytes", "new_contents", "packed_bytes", "total_objects")
 
 
 @q("SELECT size_class, left_out, count(*) n, sum(file_size)::BIGINT bytes FROM (SELECT CASE " + " ".join(f"WHEN file_size >= {10**k} THEN {k}" for k in range(15, 2, -1)) + " ELSE 0 END size_class, entry_path LIKE '%.tar' OR entry_path LIKE '%.raw' left_out, file_size FROM snapshot_entries WHERE file_size IS NOT NULL AND entry_path IS NOT NULL) GROUP BY ALL")
@@ -417,18 +418,6 @@ def se03_ordered_dedupe(t):
     return t.manifests.select("manifest_id", "modified_at", F.array_distinct(F.concat(F.coalesce("pins", e), F.coalesce("retention_tags", e))).alias("names"))
 
 
-def disambiguated(df, name, safe):
-    """Safe names made distinct regardless of case (SE07): of names that share one the first keeps
-    it and the others get `` (2)``, `` (3)`` and so on, until all are distinct."""
-    rows = df
-    while True:
-        w = Window.partitionBy(F.lower(safe)).orderBy(name)
-        k = F.row_number().over(w)
-        rows = rows.withColumn("_k", k).withColumn(safe, F.when(F.col("_k") > 1, F.concat(F.col(safe), F.lit(" ("), F.col("_k"), F.lit(")"))).otherwise(F.col(safe))).drop("_k")
-        if rows.groupBy(F.lower(safe)).count().filter("count > 1").isEmpty():
-            return rows
-
-
 _SAFE = r"CASE WHEN p = '/' THEN '__root' ELSE rtrim(rtrim(replace(replace(ltrim(replace(replace(p, ':/', '_'), ':\', '_'), '/'), '/', '_'), '\', '_'), '_'), ':') END"
 
 

@@ -155,3 +155,31 @@ def test_orphans(spark):
     none = orphans.orphan_references(m, d.limit(0), p.limit(0), c.limit(0))
     assert {tuple(r)[:4] for r in none.collect()} == {("manifests", i, k, "missing") for i, k in (("m1", "kroot"), ("m2", "kroot"), ("m4", "kdead"), ("m6", "kroot"))}
     assert orphans.orphan_references(m.limit(0), d.limit(0), p.limit(0), c.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("heavy", [100, 100_000])
+@pytest.mark.parametrize("before", [False, True])
+def test_running_values_and_neighbours(spark, heavy, before):
+    rnd = random.Random(4)
+    rows = [("hot" if rnd.random() < 0.6 else rnd.choice([None, "b"]), rnd.choice([None, *range(30)]), i, rnd.choice([None, 1, 2, 5]), 3) for i in range(1500)]
+    df = spark.createDataFrame(rows, "g string, t int, k int, v int, s int")
+    got = {r.k: (r.s, r.last) for r in ranking.running_within(df, ["g"], ["t", "k"], sums={"s": "v"}, lasts={"last": "v"}, before=before, heavy=heavy).collect()}
+    near = {r.k: r.p for r in ranking.neighbour(df, ["g"], ["t", "k"], {"p": "k"}, heavy=heavy).collect()}
+    for g in {r[0] for r in rows}:
+        total, last, prev = 0, None, None
+        for _, _, k, v, _ in sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is not None, r[1] or 0, r[2])):
+            now = (total + (v or 0), last if v is None else v)
+            assert got[k] == ((total, last) if before else now) and near[k] == prev
+            (total, last), prev = now, k
+    assert ranking.running_within(df.limit(0), ["g"], ["t"], sums={"x": "v"}).count() == 0
+
+
+def test_as_of_join_and_names(spark):
+    from moraine.operators.joins import as_of_join, disambiguated
+
+    left = spark.createDataFrame([("a", 1, 1), ("a", 5, 2), ("b", 5, 3), (None, 9, 4)], "k string, t int, id int")
+    right = spark.createDataFrame([("a", 1, "x"), ("a", 4, "y"), ("a", 6, "z"), ("a", 5, None), (None, 1, "n")], "k string, t int, v string")
+    assert {r.id: r.v for r in as_of_join(left, right, "k", "t", "v").collect()} == {1: "x", 2: "y", 3: None, 4: "n"}
+    names = spark.createDataFrame([("1", "a"), ("2", "A"), ("3", "a (2)"), ("4", "b")], "name string, safe string")
+    out = {r.name: r.safe for r in disambiguated(names, "name", "safe").collect()}
+    assert out["1"] == "a" and len({v.lower() for v in out.values()}) == 4
