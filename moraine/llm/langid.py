@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from moraine.llm.words import plain, unmarked
+from moraine.session import spread
 
 #: Bounds of the sample that the dictionaries are filled from.
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_CHARS = 150, 6_000, 40_000
@@ -28,6 +29,8 @@ SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_CHARS = 150, 6_000, 40_000
 SAMPLE_WORDS, CLEAR = 30, 0.15
 #: Times the sample is judged, each time by the dictionaries filled before.
 ROUNDS = 3
+#: No dictionary is longer than this many times the shortest: a longer one favours its language.
+BALANCE = 2
 #: Compression level; bytes a change of language costs; bytes of margin below which a stretch has
 #: no language of its own.
 LEVEL, SWITCH, NARROW = 12, 12, 3
@@ -193,6 +196,14 @@ def _filled(judge: Classifier, texts: dict[str, list[str]], documents: list[tupl
         if set(judge.path(sizes)) == {at} and whole[at] <= (1 - CLEAR) * rival and sum(p.count(" ") - 1 for p in parts) >= SAMPLE_WORDS:
             out[code] += parts
             room[code] -= sum(map(len, parts))
+    most = BALANCE * min((sum(map(len, v)) for v in out.values()), default=0)
+    for parts in out.values():
+        total = 0
+        for k, p in enumerate(parts):
+            total += len(p)
+            if total > most:
+                del parts[k:]
+                break
     return out
 
 
@@ -219,7 +230,7 @@ def language_stretches(docs: DataFrame, samples: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "stretch_no", "lang", "confidence", "n_words", "n_stretches", "label", "label_lang"])
 
-    rows = docs.select(F.col("doc_id").cast("bigint"), "lang", "text").filter("text is not null")
+    rows = spread(docs.select(F.col("doc_id").cast("bigint"), "lang", "text").filter("text is not null"))
     return rows.mapInArrow(run, "doc_id bigint, stretch_no bigint, lang string, confidence double, n_words bigint, n_stretches bigint, label string, label_lang string")
 
 

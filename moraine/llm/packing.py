@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moraine.session import materialise
+from moraine.session import materialise, spread
 
 #: Items of one group on average; groups are packed independently.
 GROUP_ITEMS = 20_000
@@ -70,7 +70,7 @@ def token_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vo
             counts = [len(encoder.encode_ordinary(t)) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64())], names=["doc_id", "n_tokens"])
 
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).filter(F.col("text").isNotNull())
+    rows = spread(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).filter(F.col("text").isNotNull()))
     return rows.mapInArrow(run, "doc_id bigint, n_tokens bigint")
 
 

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from moraine.llm.words import Vocabulary, folded, words
+from moraine.session import spread
 
 K, WINDOW = 4, 3
 #: Fewest consecutive item words of a case, and item words per edit.
@@ -203,5 +204,5 @@ def _against(docs: DataFrame, block: list[tuple[int, list[str]]], doc_id: str, t
                 got += hits
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(got, pa.int64())], names=["doc_id", "item_id"])
 
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).filter(F.col("text").isNotNull())
+    rows = spread(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).filter(F.col("text").isNotNull()))
     return rows.mapInArrow(run, "doc_id bigint, item_id bigint")
