@@ -80,6 +80,17 @@ DI = """di AS (SELECT dir_oid, written_at, entries, summary FROM (SELECT *, row_
 EN = """en AS (SELECT dir_oid, written_at, e.* FROM (SELECT dir_oid, written_at, unnest(entries) e FROM di))"""
 
 
+PO = """po AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY policy_id ORDER BY modified_at DESC NULLS LAST, coalesce(deleted, false)) rn FROM policies WHERE policy_id IS NOT NULL)
+  WHERE rn = 1 AND NOT coalesce(deleted, false))"""
+#: Non-null values of the policies' sections.
+LV = r"""p1 AS (SELECT policy_id, CASE WHEN json_valid(payload) THEN CASE WHEN json_type(payload) = 'VARCHAR' THEN payload->>'$' ELSE payload END END p FROM po),
+p2 AS (SELECT policy_id, s, CASE WHEN json_valid(p) THEN json_extract(p, '$.' || s) END v FROM p1, (VALUES ('retention'), ('scheduling'), ('files'), ('osSnapshots')) x(s) WHERE json_valid(p) AND json_type(p) = 'OBJECT'),
+p3 AS (SELECT policy_id, s, CASE WHEN json_type(v) = 'VARCHAR' AND json_valid(v->>'$') THEN (v->>'$')::JSON ELSE v END v FROM p2 WHERE v IS NOT NULL),
+lv AS (SELECT DISTINCT policy_id, s || regexp_replace(t.fullkey[2:], '\[[0-9]+\]', '', 'g') field_path,
+    CASE WHEN regexp_matches(t.fullkey, '\[[0-9]+\]') THEN regexp_extract(t.fullkey, '.*\[([0-9]+)\]', 1)::BIGINT WHEN regexp_matches(t.fullkey, '^\$(\.[^.]+)*\.(ignore|ignoreDotFiles|timeOfDay|cron)(\.|$)') THEN 0 ELSE -1 END leaf_pos,
+    t.atom->>'$' leaf_text FROM p3, json_tree(v) t WHERE t.type NOT IN ('OBJECT', 'ARRAY', 'NULL'))"""
+
+
 def sql(*parts: str) -> str:
     """``WITH`` views, then the query (the last part)."""
     return f"WITH {', '.join(parts[:-1])} {parts[-1]}"

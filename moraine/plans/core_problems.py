@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from moraine.operators import cow, history, nested, orphans
 from moraine.session import scratch_path
+from moraine.plans.base import LV, PO, sql
 from moraine.sources.tables import table
 
 
@@ -104,5 +105,6 @@ ORACLE = {
     "p2_found": _P2,
     "p2_report": f"SELECT ref_table, ref_month, orphan_kind, count(*) n_references, count(DISTINCT target_key) n_targets FROM ({_P2}) GROUP BY ALL",
     "p4_found": _P4,
+    "p5_found": sql(PO, LV, "SELECT policy_id, field_path, leaf_pos, leaf_text FROM lv"),
     "p4_two_feeds": f"WITH {_CONTENT} SELECT live, count(*) n, sum(t)::BIGINT sum_ts, count(DISTINCT pack_blob_id) packs FROM cw GROUP BY live",
 }

@@ -10,6 +10,7 @@ from moraine.operators import epochs as E
 from moraine.operators import metrics as M
 from moraine.operators import snapshots as S
 from moraine.operators.joins import as_of_join
+from moraine.operators.ranking import running_within
 from moraine.plans.base import BL, CW, SN, Registry, sql
 
 q = Registry()
@@ -431,3 +432,45 @@ def jn18_as_of_join(t):
     left = e.filter("event_type = 'click'").select("event_id", "user_id", "ts")
     right = e.filter("event_type = 'purchase'").groupBy("user_id", "ts").agg(F.max("event_id").alias("last_purchase"))
     return as_of_join(left, right, "user_id", "ts", "last_purchase").select("event_id", "last_purchase")
+
+
+# -- the rest -----------------------------------------------------------------------------------
+@q("SELECT event_id, sum(event_id % 5000) OVER (PARTITION BY user_id ORDER BY ts NULLS FIRST, event_id)::BIGINT total FROM (SELECT DISTINCT event_id, user_id, ts FROM events) WHERE event_id IS NOT NULL")
+def wn07_running_totals(t):
+    rows = t.events.select("event_id", "user_id", "ts").filter("event_id is not null").distinct()
+    run = running_within(rows.withColumn("v", F.col("event_id") % 5000), ["user_id"], ["ts", "event_id"], sums={"total": "v"})
+    return run.select("event_id", "total")
+
+
+@q(f"WITH {_EP}, r AS (SELECT DISTINCT epoch // 10 * 10 lo, epoch // 10 * 10 + 9 hi FROM ep WHERE epoch IS NOT NULL) SELECT count(*) n, min(lo) lo, max(hi) hi FROM r")
+def ep04_range_checkpoints(t):
+    """Range checkpoints of ten epochs each and how far their chain from 0 reaches."""
+    r = _epochs(t).filter("epoch is not null").select(F.expr("epoch div 10 * 10").alias("lo")).distinct().withColumn("hi", F.col("lo") + 9)
+    chain = E.longest_chain([tuple(x) for x in r.collect()])
+    return t.spark.createDataFrame([(len(chain), chain[0][0] if chain else None, chain[-1][1] if chain else None)], "n bigint, lo bigint, hi bigint")
+
+
+@q()
+def ch06_smaller_only(t):
+    """Texts whose compressed form is kept, because it is smaller."""
+    rows = K.compressed(t.documents.filter("text is not null").select("doc_id", "text"), "text", "c", "gzip-best-speed")
+    return rows.filter("c is not null").select("doc_id", (F.octet_length("text") - F.octet_length("c")).alias("saved"))
+
+
+@q("SELECT doc_id, true same FROM documents WHERE text IS NOT NULL")
+def ch07_encryption(t):
+    rows = t.documents.filter("text is not null").select("doc_id", F.col("text").cast("binary").alias("raw"), F.lit(b"1" * 32).alias("key"), F.encode(F.lit("id"), "utf-8").alias("cid"))
+    return rows.withColumn("secret", K.encrypted(F.col("raw"), F.col("key"), F.col("cid"))).select("doc_id", (K.decrypted(F.col("secret"), F.col("key"), F.col("cid")) == F.col("raw")).alias("same"))
+
+
+@q("SELECT event_id, to_json({'event_id': event_id, 'kind': event_type}) line FROM events WHERE event_id IS NOT NULL AND event_type IS NOT NULL")
+def sf19_json_params(t):
+    rows = t.events.filter("event_id is not null and event_type is not null")
+    return rows.select("event_id", F.to_json(F.struct("event_id", F.col("event_type").alias("kind"))).alias("line"))
+
+
+@q()
+def ms10_sampled_check(t):
+    """Which index blobs a percentage gate has checked today: the same on every run of a day."""
+    ids = t.content_entries.filter("index_blob_id is not null").select("index_blob_id").distinct()
+    return ids.filter(F.pmod(F.xxhash64("index_blob_id", F.lit("2025-01-01")), F.lit(100)) < 10)

@@ -13,7 +13,7 @@ from moraine.operators.history import SOURCE, usable_snapshots
 from moraine.operators.joins import disambiguated
 from moraine.operators.orphans import object_key
 from moraine.operators.state import state_rows
-from moraine.plans.base import BL, CW, DI, EN, SN, Registry, sql
+from moraine.plans.base import BL, CW, DI, EN, LV, PO, SN, Registry, sql
 from moraine.sources import sinks
 
 q = Registry()
@@ -238,7 +238,7 @@ def fi11_pruned_listing(t):
     return rows.filter(~W.pruned(rules, path, F.lit(False))).groupBy("manifest_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@q()
+@q("SELECT manifest_id, count(*) n FROM snapshot_entries WHERE entry_path IS NOT NULL AND NOT ((entry_path LIKE '%.tar' OR regexp_full_match('/' || entry_path, '/kagud/(?:.*/)?[^/]*\\.dat')) AND NOT regexp_full_match('/' || entry_path, '/bel/(?:.*/)?[^/]*\\.tar')) GROUP BY 1")
 def fi12_folder_rules(t):
     """Rules that belong to folders: each folder's rules count below it, after its parents'."""
     path, no = F.concat(F.lit("/"), "entry_path"), F.lit(False)
@@ -302,7 +302,12 @@ def _values(t):
     return leaves.groupBy("policy_id").agg(*[F.max(F.when(F.col("field_path") == f"retention.{f}", num)).alias(f) for f in FIELDS], F.max(F.when(F.col("field_path") == "files.noParentIgnore", F.col("leaf_text") == "true")).alias("no_parent"))
 
 
-@q()
+_VALS = "vl AS (SELECT po.policy_id, " + ", ".join(f"max(TRY_CAST(leaf_text AS BIGINT)) FILTER (WHERE field_path = 'retention.{f}') {f}" for f in FIELDS) + ", bool_or(leaf_text = 'true') FILTER (WHERE field_path = 'files.noParentIgnore') np FROM po LEFT JOIN lv USING (policy_id) GROUP BY 1)"
+_EFF = "st AS (SELECT host_name, user_name, source_path, min(place) FILTER (WHERE np) stop FROM hi JOIN vl USING (policy_id) GROUP BY ALL), ap AS (SELECT hi.*, vl.* EXCLUDE (policy_id), stop FROM hi JOIN vl USING (policy_id) JOIN st ON hi.host_name IS NOT DISTINCT FROM st.host_name AND hi.user_name IS NOT DISTINCT FROM st.user_name AND hi.source_path IS NOT DISTINCT FROM st.source_path WHERE stop IS NULL OR place <= stop)"
+_PICK = "SELECT host_name, user_name, source_path, " + ", ".join(f"coalesce(min_by({f}, (place, policy_id)) FILTER (WHERE {f} IS NOT NULL), CASE WHEN max(stop) IS NULL THEN {d} END) {f}, min_by(policy_id, (place, policy_id)) FILTER (WHERE {f} IS NOT NULL) {f}_from" for f, d in zip(FIELDS, (10, 7, 4), strict=True)) + " FROM ap GROUP BY ALL"
+
+
+@q(rec(SN, _POL, _UP, _HI, LV, _VALS, _EFF, _PICK))
 def po01_effective_policy(t):
     """Effective retention values of each source, and the policy each comes from."""
     v = _policies(t).select("policy_id").join(_values(t), "policy_id", "left")
@@ -330,7 +335,7 @@ def po05_list_policies(t):
     return rows.join(best, ["policy_id", "modified_at"], "left").select("policy_id", "kind", "host_name", "user_name", "source_path")
 
 
-@q()
+@q(sql(PO, LV, "ls AS (SELECT policy_id, list_sort(list(DISTINCT leaf_text)) l FROM lv WHERE field_path = 'files.ignore' GROUP BY 1)", "pl AS (SELECT po.policy_id, host_name, user_name, source_path, l FROM po LEFT JOIN ls USING (policy_id))", "SELECT a.policy_id, list_sort(list_distinct(list_concat(coalesce(a.l, []), coalesce(b.l, [])))) AS ignore FROM pl a LEFT JOIN pl b ON b.user_name IS NULL AND b.source_path IS NULL AND b.host_name = a.host_name"))
 def po02_field_merges(t):
     """Ignore lists of each policy, merged with the list of its host's policy unless cut off."""
     leaves = nested.policy_leaves(nested.policy_nodes(t.policies))
@@ -340,7 +345,7 @@ def po02_field_merges(t):
     return p.join(host, F.col("host_name") == F.col("_h"), "left").select("policy_id", P.merged_lists(F.col("ignore"), F.col("_i"), F.lit(False)).alias("ignore"))
 
 
-@q()
+@q(sql(PO, LV, "SELECT lv.policy_id, field_path, leaf_text, CASE WHEN coalesce(user_name, '') = '' AND coalesce(host_name, '') = '' AND coalesce(source_path, '') = '' THEN '(global)' ELSE coalesce(user_name, '') || '@' || coalesce(host_name, '') || CASE WHEN coalesce(source_path, '') <> '' THEN ':' || source_path ELSE '' END END defined_for FROM lv JOIN po USING (policy_id)"))
 def ms14_policy_report(t):
     """Each value of each policy with the source it is defined for."""
     leaves = nested.policy_leaves(nested.policy_nodes(t.policies))
@@ -383,7 +388,7 @@ def st07_by_name(t):
     return t.directories.select("dir_oid", F.array_min(names).alias("first_name"), F.array_max(names).alias("last_name")).filter("first_name is not null")
 
 
-@q()
+@q(sql(PO, LV, "tm AS (SELECT policy_id, leaf_pos, max(TRY_CAST(leaf_text AS INT)) FILTER (WHERE field_path LIKE '%hour') h, max(TRY_CAST(leaf_text AS INT)) FILTER (WHERE field_path LIKE '%min') m FROM lv WHERE field_path IN ('scheduling.timeOfDay.hour', 'scheduling.timeOfDay.min') GROUP BY ALL)", "SELECT policy_id, list_sort(list(DISTINCT h * 60 + coalesce(m, 0))) AS minutes FROM tm WHERE h IS NOT NULL GROUP BY 1"))
 def st12_times_of_day(t):
     """Distinct times of day of each policy in order, as minutes."""
     leaves = nested.policy_leaves(nested.policy_nodes(t.policies)).filter(F.col("field_path").isin("scheduling.timeOfDay.hour", "scheduling.timeOfDay.min"))

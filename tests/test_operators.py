@@ -412,3 +412,11 @@ def test_archives(spark, tmp_path):
     assert sinks.address("s3", "b", "x") == "s3a://b/x"
     with pytest.raises(ValueError):
         sinks.address("rclone", "b")
+
+
+def test_token_bucket():
+    from moraine.sources.throttle import TokenBucket
+
+    b = TokenBucket(10, 1.0)
+    assert b.wait(0, 10) == 0 and b.wait(0, 5) == 0.5
+    assert b.wait(1.0, 5) == 0 and b.wait(100, 10) == 0 and b.wait(100, 10) == 1.0
