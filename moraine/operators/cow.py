@@ -69,7 +69,9 @@ class BucketedTable:
 
     # -- rows ------------------------------------------------------------------------------
     def _bucket(self):
-        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
+        """The bucket is the shuffle's own hash of the key: with as many buckets as shuffle
+        partitions, rows that were reduced or joined by key lie in their bucket's partition."""
+        return F.pmod(F.hash(self.key), F.lit(self.buckets)).cast("int")
 
     def _columns(self) -> list[str]:
         return [self.key, *self.order, *self.payload]
@@ -80,8 +82,11 @@ class BucketedTable:
         return winners(rows, [self.key], [F.col(c) for c in self.order], keep).select(self._bucket().alias("_b"), *self._columns())
 
     def _write(self, df: DataFrame, folder: str) -> set[int]:
-        """Rows by bucket; gives the buckets that got files."""
-        df.repartition(self.buckets, "_b").sortWithinPartitions("_b", self.key).write.partitionBy("_b").parquet(folder)
+        """Rows by bucket; gives the buckets that got files. ``df`` comes from a shuffle by key;
+        only a table with another number of buckets has to be shuffled again."""
+        if self.buckets != shuffle_partitions(self.spark):
+            df = df.repartition(self.buckets, self.key)
+        df.sortWithinPartitions("_b", self.key).write.partitionBy("_b").parquet(folder)
         fs, jvm = self._fs()
         names = [s.getPath().getName() for s in fs.listStatus(jvm.org.apache.hadoop.fs.Path(folder))]
         return {int(n[3:]) for n in names if n.startswith("_b=")}
@@ -137,8 +142,8 @@ class BucketedTable:
     def _merge(self, base: DataFrame, delta: DataFrame) -> DataFrame:
         cols = [*self.order, *self.payload]
         a = base.select("_b", self.key, F.struct(*cols).alias("_old"))
-        b = delta.select("_b", self.key, F.struct(*cols).alias("_new"))
-        both = a.hint("merge").join(b, ["_b", self.key], "full_outer")
+        b = delta.select(self.key, F.struct(*cols).alias("_new"))
+        both = a.drop("_b").hint("merge").join(b, self.key, "full_outer").withColumn("_b", self._bucket())
         first = lambda s: F.struct(*[F.col(f"{s}.{c}") for c in self.order])
         win = F.when(F.col("_old").isNull(), F.col("_new")).when(F.col("_new").isNull(), F.col("_old")).when(first("_new") > first("_old"), F.col("_new")).otherwise(F.col("_old"))
         return both.select("_b", self.key, win.alias("_w")).select("_b", self.key, *[F.col(f"_w.{c}").alias(c) for c in cols])
