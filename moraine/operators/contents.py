@@ -150,6 +150,11 @@ def dedup_counters(entries: DataFrame) -> DataFrame:
     return per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("writes"), F.count(F.lit(1)).alias("distinct_contents"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("deduplicated"), F.sum((F.col("n") - 1) * F.col("o")).alias("deduplicated_bytes"), F.sum(F.greatest(F.col("o") - F.col("p"), F.lit(0))).alias("compression_saved"))
 
 
+def pack_kind(content_id: Column) -> Column:
+    """Pack kind of a content (IX13): ``q`` (metadata) if its id has a prefix letter, else ``p``."""
+    return F.when(F.substring(content_id, 1, 1).between("g", "z"), "q").otherwise("p")
+
+
 def packed_bins(df: DataFrame, size: str, order: Sequence[str], capacity: int, group: Sequence[str]) -> DataFrame:
     """Approximate packing in arrival order (IX13): a row belongs to the bin in which the bytes
     before it in its group fall. Large groups are run in slices."""

@@ -250,6 +250,13 @@ def ix13_bins(t):
     return C.packed_bins(live, "packed_length", ["content_id"], 20 << 20, ["_p"]).select("content_id", "bin")
 
 
+@q(sql(CW, "SELECT content_id, kind, coalesce(sum(packed_length) OVER (PARTITION BY kind ORDER BY content_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT // 20971520 bin FROM (SELECT *, CASE WHEN regexp_matches(content_id, '^[g-z]') THEN 'q' ELSE 'p' END kind FROM cw WHERE live)"))
+def ix13_kind_bins(t):
+    """Packs of 20 MiB per pack kind; ``ix13_bins`` packs per first two characters of the id."""
+    live = t.contents.filter("live").withColumn("kind", C.pack_kind(F.col("content_id")))
+    return C.packed_bins(live, "packed_length", ["content_id"], 20 << 20, ["kind"]).select("content_id", "kind", "bin")
+
+
 _SHORT = "pk AS (SELECT pack_blob_id, count(*) n_contents, sum(packed_length)::BIGINT packed_bytes, pack_blob_id[1:1] p FROM cw WHERE live AND pack_blob_id IS NOT NULL GROUP BY 1), sh AS (SELECT * FROM pk WHERE packed_bytes < 20971520 * 60 // 100 AND p IN (SELECT p FROM pk WHERE packed_bytes < 20971520 * 60 // 100 GROUP BY p HAVING count(*) >= 2))"
 
 
