@@ -12,6 +12,7 @@ from moraine.operators import policies as P
 from moraine.operators.history import SOURCE, usable_snapshots
 from moraine.operators.joins import disambiguated
 from moraine.operators.orphans import object_key
+from moraine.operators.ranking import neighbour
 from moraine.operators.state import state_rows
 from moraine.plans.base import BL, CW, DI, EN, LV, PO, SN, Registry, sql
 from moraine.sources import sinks
@@ -129,6 +130,13 @@ def _last_pairs(t):
     return g.filter("older is not null").select("pair", "older")
 
 
+def _all_pairs(t):
+    """Every listed snapshot of each source with the one before it."""
+    listed = usable_snapshots(t.manifests).join(t.snapshot_entries.select("manifest_id").distinct(), "manifest_id", "left_semi")
+    placed = neighbour(listed, SOURCE, ["start_time", "end_time", "manifest_id"], {"older": "manifest_id"})
+    return placed.filter("older is not null").select(F.col("manifest_id").alias("pair"), "older")
+
+
 def _sides(t):
     pairs, e = _last_pairs(t), _entries(t)
     new = e.join(pairs.select(F.col("pair").alias("manifest_id"), "pair"), "manifest_id").drop("manifest_id")
@@ -159,6 +167,40 @@ def jn12_delete_extra(t):
     return trees.extra_locals(old, new)
 
 
+# The same over all pairs.
+EVERY = LAST.replace("WHERE r = 1 AND older IS NOT NULL", "WHERE older IS NOT NULL")
+META = ["file_size", "file_mode", "mod_time", "user_id", "group_id"]
+
+
+def _all_sides(t, columns, keys):
+    """Distinct entries of both sides of every pair. They are dealt out by ``keys`` once, which
+    serves the repeats and a join on ``keys``; the shuffle by listing is shared by both sides."""
+    pairs = _all_pairs(t)
+    e = t.snapshot_entries.filter("entry_path is not null and manifest_id is not null").withColumn("key", object_key(F.col("object_id"))).select("manifest_id", "entry_path", *columns)
+    return [e.join(pairs.select(F.col(side).alias("manifest_id"), F.col("pair").alias("pair")), "manifest_id").select("pair", "entry_path", *columns).repartition(*keys).distinct() for side in ("older", "pair")]
+
+
+@q(ORACLE["jn07_tree_diff"].replace(LAST, EVERY))
+def jn07_all_diffs(t):
+    keys = ["pair", "entry_path"]
+    old, new = _all_sides(t, ["entry_type", "key", *META], keys)
+    return trees.diff_stats(trees.diff(old, new, keys), ["pair"])
+
+
+@q(ORACLE["jn09_cache_hits"].replace(LAST, EVERY))
+def jn09_all_cache_hits(t):
+    keys = ["pair", "entry_path", *META]
+    old, new = _all_sides(t, ["entry_type", "key", *META], keys)
+    hits = trees.cache_hits(new, old.withColumn("previous_no", F.lit(1)), keys)
+    return hits.groupBy("pair").agg(F.count(F.lit(1)).alias("n"), F.count("cached_key").alias("cached"))
+
+
+@q(ORACLE["jn12_delete_extra"].replace(LAST, EVERY))
+def jn12_all_extra(t):
+    old, new = (s.select(F.concat_ws(":", "pair", "entry_path").alias("path"), "entry_type") for s in _all_sides(t, ["entry_type"], ["pair", "entry_path"]))
+    return trees.extra_locals(old, new)
+
+
 _LISTED = "ls AS (SELECT DISTINCT manifest_id, entry_path, entry_type, file_size, mod_time FROM snapshot_entries WHERE entry_path IS NOT NULL AND manifest_id IS NOT NULL)"
 
 

@@ -14,3 +14,22 @@ def test_bins_are_filled_per_pack_kind(spark, tmp_path):
     rows = [entry(i, 1, packed=15 << 20) for i in ("0a", "1b", "2c", "x0", "y1")]
     got = {r.content_id: (r.kind, r.bin) for r in run(spark, tmp_path, "ix13_kind_bins", content_entries=spark.createDataFrame(rows, INDEX))}
     assert got == {"0a": ("p", 0), "1b": ("p", 0), "2c": ("p", 1), "x0": ("q", 0), "y1": ("q", 0)}
+
+
+def listings(spark):
+    """Three listings of one source: b goes; c comes; a folder turns into a file, which goes."""
+    import datetime as dt
+
+    day = lambda n: dt.datetime(2024, 1, n)
+    m = [(f"m{n}", day(n), False, "h", "u", "/s", day(n), day(n), None) for n in (1, 2, 3)]
+    e = [("m1", "a", "f", "k1"), ("m1", "b", "f", "k2"), ("m1", "d", "d", "k4"), ("m2", "a", "f", "k1"), ("m2", "d", "f", "k5"), ("m3", "a", "f", "k9"), ("m3", "c", "f", "k3")]
+    manifests = spark.createDataFrame(m, "manifest_id string, modified_at timestamp_ntz, deleted boolean, host_name string, user_name string, source_path string, start_time timestamp_ntz, end_time timestamp_ntz, incomplete_reason string")
+    entries = spark.createDataFrame([(*r, 1, "0644", day(1), 1, 1) for r in e], "manifest_id string, entry_path string, entry_type string, object_id string, file_size bigint, file_mode string, mod_time timestamp_ntz, user_id bigint, group_id bigint")
+    return {"manifests": manifests, "snapshot_entries": entries}
+
+
+def test_every_listing_is_held_against_the_one_before(spark, tmp_path):
+    rows = run(spark, tmp_path, "jn07_all_diffs", **listings(spark))
+    assert {r.pair: (r.added, r.removed, r.modified) for r in rows} == {"m2": (0, 1, 2), "m3": (1, 1, 1)}
+    assert {r.pair: (r.n, r.cached) for r in run(spark, tmp_path, "jn09_all_cache_hits")} == {"m2": (2, 2), "m3": (2, 1)}
+    assert {r.path for r in run(spark, tmp_path, "jn12_all_extra")} == {"m2:b", "m2:d", "m3:d"}
