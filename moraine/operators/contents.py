@@ -66,6 +66,18 @@ def sharded(df: DataFrame, shards: int, column: str = "content_id") -> DataFrame
     return df.withColumn("shard", F.pmod(F.xxhash64(column), F.lit(shards)).cast("int"))
 
 
+def combined_indexes(entries: DataFrame, least: int = 100, name: str = "combined") -> DataFrame:
+    """Rows of the index blobs after those below ``least`` ids are merged into one, named ``name``
+    (IX05), with the winner of each id; large ones stay. A single small one stays as well."""
+    rows = usable(entries).filter("index_blob_id is not null")
+    small = rows.select("index_blob_id", "content_id").distinct().groupBy("index_blob_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") < least).select("index_blob_id", F.lit(True).alias("_small"))
+    if small.limit(2).count() < 2:
+        small = small.filter("false")
+    put = rows.join(small, "index_blob_id", "left").withColumn("in_index", F.when(F.col("_small"), F.lit(name)).otherwise(F.col("index_blob_id")))
+    order = [F.col("timestamp_seconds"), F.col("live"), F.col("pack_blob_id")]
+    return winners(put, ["in_index", "content_id"], order, ["timestamp_seconds", "live", "pack_blob_id", *PAYLOAD])
+
+
 def write_time(previous: Column, now: Column) -> Column:
     """Time of a rewritten content: now, but later than its previous time (IX11)."""
     return F.greatest(now, F.coalesce(previous + 1, now))

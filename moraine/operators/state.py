@@ -29,3 +29,13 @@ def state_rows(df: DataFrame, key: str, version: str, keep: Sequence[str]) -> Da
     """
     src = df.filter(F.col(key).isNotNull()).select(key, version, F.coalesce("deleted", F.lit(False)).alias("deleted"), *[c for c in keep if c not in (key, version, "deleted")])
     return winners(src, [key], [F.col(version), ~F.col("deleted")], [version, "deleted", *[c for c in keep if c not in (key, version, "deleted")]])
+
+
+def compacted_manifests(written: DataFrame, threshold: int = 16, name: str = "compacted") -> DataFrame:
+    """Contents that hold the manifests (IX17): from ``threshold`` contents on the live newest
+    manifests are in one content, named ``name``, and all others are gone; below, nothing changes.
+    ``written`` has ``content, manifest_id, modified_at, deleted``."""
+    rows = written.filter("content is not null and manifest_id is not null").withColumn("deleted", F.coalesce("deleted", F.lit(False))).distinct()
+    if rows.select("content").distinct().limit(threshold).count() < threshold:
+        return rows.select("content", "manifest_id", "modified_at", "deleted")
+    return state_rows(rows, "manifest_id", "modified_at", []).filter("not deleted").select(F.lit(name).alias("content"), "manifest_id", "modified_at", "deleted")

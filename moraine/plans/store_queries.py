@@ -189,6 +189,15 @@ def ix05_small_indexes(t):
     return n.agg(F.count(F.when(small, 1)).alias("small_indexes"), F.count(F.when(~small, 1)).alias("large_indexes"), F.sum(F.when(small, F.col("n"))).alias("small_entries"))
 
 
+_PUT = "us AS (SELECT *, NOT coalesce(deleted, false) live FROM content_entries WHERE content_id IS NOT NULL AND timestamp_seconds IS NOT NULL AND index_blob_id IS NOT NULL), sz AS (SELECT index_blob_id, count(DISTINCT content_id) < 100 small FROM us GROUP BY 1), pt AS (SELECT us.*, CASE WHEN small AND (SELECT count(*) FROM sz WHERE small) > 1 THEN 'combined' ELSE index_blob_id END in_index FROM us JOIN sz USING (index_blob_id))"
+
+
+@q(sql(_PUT, "SELECT in_index, content_id, timestamp_seconds, live, pack_blob_id FROM (SELECT *, row_number() OVER (PARTITION BY in_index, content_id ORDER BY timestamp_seconds DESC, live DESC, pack_blob_id DESC NULLS LAST) rn FROM pt) WHERE rn = 1"))
+def ix05_combined_indexes(t):
+    """Index blobs below 100 ids merged into one, large ones kept."""
+    return C.combined_indexes(t.content_entries).select("in_index", "content_id", "timestamp_seconds", "live", "pack_blob_id")
+
+
 @q()
 def ix06_shards(t):
     return C.sharded(t.contents, 16).groupBy("shard").agg(F.count(F.lit(1)).alias("n"))

@@ -13,7 +13,7 @@ from moraine.operators.history import SOURCE, usable_snapshots
 from moraine.operators.joins import disambiguated
 from moraine.operators.orphans import object_key
 from moraine.operators.ranking import neighbour
-from moraine.operators.state import state_rows
+from moraine.operators.state import compacted_manifests, state_rows
 from moraine.plans.base import BL, CW, DI, EN, LV, PO, SN, Registry, sql
 from moraine.sources import sinks
 
@@ -401,6 +401,18 @@ def ix17_compaction_counts(t):
     return n.agg(F.count(F.lit(1)).alias("hosts"), F.sum("n").alias("policies"), F.max("n").alias("most"))
 
 
+_WR = "wr AS (SELECT DISTINCT id || '@' || coalesce(epoch_us(modified_at), 0) AS content, id AS manifest_id, modified_at, coalesce(deleted, false) deleted FROM (SELECT policy_id id, modified_at, deleted FROM policies UNION ALL SELECT manifest_id, modified_at, deleted FROM manifests) WHERE id IS NOT NULL), ct AS (SELECT count(DISTINCT content) >= 16 many FROM wr)"
+
+
+@q(sql(_WR, "SELECT CASE WHEN many THEN 'compacted' ELSE content END AS content, manifest_id, modified_at, deleted FROM (SELECT *, row_number() OVER (PARTITION BY manifest_id ORDER BY modified_at DESC NULLS LAST, deleted) rn FROM wr), ct WHERE NOT many OR (rn = 1 AND NOT deleted)"))
+def ix17_compacted_manifests(t):
+    """Contents of the manifests of both tables after compaction. The tables don't name contents:
+    each written version of a manifest counts as one."""
+    at = F.coalesce(F.expr("unix_micros(cast(modified_at as timestamp))"), F.lit(0)).cast("string")
+    both = t.policies.select(F.col("policy_id").alias("manifest_id"), "modified_at", "deleted").unionByName(t.manifests.select("manifest_id", "modified_at", "deleted"))
+    return compacted_manifests(both.withColumn("content", F.concat("manifest_id", F.lit("@"), at)))
+
+
 @q("WITH l AS (SELECT policy_id, modified_at FROM policies WHERE policy_id IS NOT NULL AND policy_id NOT IN (SELECT policy_id FROM policies WHERE policy_id IS NOT NULL AND labels['policyType'] = 'host' AND labels['type'] = 'policy')) SELECT policy_id, modified_at FROM l UNION ALL SELECT 'new', timestamp '2025-01-01'")
 def ix18_replace(t):
     """Replace all manifests that have some labels by one."""

@@ -33,3 +33,25 @@ def test_every_listing_is_held_against_the_one_before(spark, tmp_path):
     assert {r.pair: (r.added, r.removed, r.modified) for r in rows} == {"m2": (0, 1, 2), "m3": (1, 1, 1)}
     assert {r.pair: (r.n, r.cached) for r in run(spark, tmp_path, "jn09_all_cache_hits")} == {"m2": (2, 2), "m3": (2, 1)}
     assert {r.path for r in run(spark, tmp_path, "jn12_all_extra")} == {"m2:b", "m2:d", "m3:d"}
+
+
+def test_small_indexes_become_one(spark):
+    from moraine.operators import contents as C
+
+    named = lambda i, *r: (*entry(*r)[:-1], i)
+    large = [named("big", f"c{k}", 1) for k in range(100)]
+    small = [*[named("s1", "c1", 5)] * 100, named("s1", "z", 1), named("s2", "z", 2, True)]
+    got = C.combined_indexes(spark.createDataFrame(large + small, INDEX)).collect()
+    assert sum(r.in_index == "big" for r in got) == 100
+    assert {(r.content_id, r.timestamp_seconds, r.live) for r in got if r.in_index != "big"} == {("c1", 5, True), ("z", 2, False)}
+    assert {r.in_index for r in C.combined_indexes(spark.createDataFrame(large + small[:101], INDEX)).collect()} == {"big", "s1"}
+
+
+def test_manifests_are_compacted_from_16_contents_on(spark):
+    from moraine.operators.state import compacted_manifests
+
+    rows = [(f"k{i}", "a", i, False) for i in range(14)] + [("k14", "b", 1, True)]
+    df = lambda r: spark.createDataFrame(r, "content string, manifest_id string, modified_at int, deleted boolean")
+    assert {tuple(r) for r in compacted_manifests(df(rows)).collect()} == set(rows)
+    got = [tuple(r) for r in compacted_manifests(df([*rows, ("k15", "c", 1, None)])).collect()]
+    assert sorted(got) == [("compacted", "a", 13, False), ("compacted", "c", 1, False)]
