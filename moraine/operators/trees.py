@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from moraine.functions.wildcards import folders_above
 from moraine.operators.orphans import object_key
 from moraine.operators.ranking import rank_within
-from moraine.session import materialise
+from moraine.session import materialise, scratch_path
 
 #: Entries hashed together in a fingerprint.
 HASH_RUN = 4_096
@@ -154,3 +154,62 @@ def without_entries(directories: DataFrame, drop: Column) -> DataFrame:
     kept = e.filter(F.col("entry_name").isNotNull() & ~F.coalesce(drop, F.lit(False)))
     have = kept.groupBy("dir_oid").agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", "entry_name", "entry_type", "object_id", "file_size"))), lambda x: x.dropFields("_p")).alias("entries"))
     return directories.select("dir_oid").join(have, "dir_oid", "left")
+
+
+def heights(directories: DataFrame) -> DataFrame:
+    """``dir_oid, height`` of every folder: 0 without known folders in it, else one more than the
+    highest of them. Folders that contain themselves are an error."""
+    todo = materialise(directories.select("dir_oid").distinct(), "heights")
+    e = directories.select("dir_oid", F.explode("entries").alias("e")).filter("e.entry_type = 'd' and e.object_id is not null")
+    down = e.select("dir_oid", object_key(F.col("e.object_id")).alias("key")).distinct()
+    down = materialise(down.join(todo.select(F.col("dir_oid").alias("key")), "key", "left_semi"), "heights")
+    out = None
+    for h in range(MAX_DEPTH):
+        blocked = down.join(todo.select(F.col("dir_oid").alias("key")), "key", "left_semi").select("dir_oid").distinct()
+        ready = materialise(todo.join(blocked, "dir_oid", "left_anti").withColumn("height", F.lit(h)), "heights")
+        if ready.isEmpty():
+            if not todo.isEmpty():
+                raise ValueError("folders that contain themselves")
+            return ready if out is None else out
+        out = ready if out is None else out.unionByName(ready)
+        todo = materialise(todo.join(ready, "dir_oid", "left_anti"), "heights")
+    raise ValueError(f"folders nested deeper than {MAX_DEPTH}")
+
+
+def rewritten(directories: DataFrame, drop: Column) -> DataFrame:
+    """Trees without the entries for which ``drop`` holds, from the leaves up (GR06): a folder gets
+    the new ids of its folders before it is hashed itself.
+
+    ``dir_oid, new_oid, fingerprint`` (SHA-256 of what is left) with files, bytes and folders
+    below. A folder with nothing changed in or below it keeps its id; so does a child that isn't
+    in the table. ``drop`` is over the fields of an entry."""
+    spark, path = directories.sparkSession, scratch_path(directories.sparkSession, "rewrite")
+    height = materialise(heights(directories), "rewrite")
+    directories.select("dir_oid", "entries").join(height, "dir_oid").write.partitionBy("height").parquet(path)
+    fields = directories.schema["entries"].dataType.elementType.names
+    top, out = height.agg(F.max("height")).first()[0], None
+    if top is None:
+        return directories.select("dir_oid", F.col("dir_oid").alias("new_oid"), F.lit("").alias("fingerprint"), *[F.lit(0).cast("bigint").alias(c) for c in ("files", "bytes", "folders")])
+    for h in range(top + 1):
+        level = spark.read.schema("dir_oid string, " + f"entries {directories.schema['entries'].dataType.simpleString()}").parquet(f"{path}/height={h}")
+        e = level.select("dir_oid", F.posexplode_outer("entries").alias("_p", "e")).select("dir_oid", "_p", "e.*")
+        e = e.withColumn("_gone", F.col("_p").isNotNull() & F.coalesce(drop, F.lit(False)))
+        if out is None:
+            e = e.withColumns({"_new": F.lit(None).cast("string"), "_files": F.lit(0).cast("bigint"), "_bytes": F.lit(0).cast("bigint"), "_folders": F.lit(0).cast("bigint")})
+        else:
+            below = out.select(F.col("dir_oid").alias("_child"), F.when(F.col("new_oid") != F.col("dir_oid"), F.col("new_oid")).alias("_new"), F.col("files").alias("_files"), F.col("bytes").alias("_bytes"), F.col("folders").alias("_folders"))
+            e = e.join(below, (F.col("entry_type") == "d") & (object_key(F.col("object_id")) == F.col("_child")), "left")
+        e = e.withColumn("object_id", F.coalesce("_new", "object_id"))
+        left, file = F.col("_p").isNotNull() & ~F.col("_gone"), F.col("entry_type") == "f"
+        per = e.groupBy("dir_oid").agg(
+            F.array_sort(F.collect_list(F.when(left, F.struct("_p", *fields)))).alias("_e"),
+            F.max(F.col("_gone") | F.col("_new").isNotNull()).alias("_changed"),
+            F.coalesce(F.sum(F.when(left, F.when(file, 1).otherwise(F.coalesce("_files", F.lit(0))))), F.lit(0)).cast("bigint").alias("files"),
+            F.coalesce(F.sum(F.when(left, F.when(file, F.col("file_size")).otherwise(F.coalesce("_bytes", F.lit(0))))), F.lit(0)).cast("bigint").alias("bytes"),
+            (F.coalesce(F.sum(F.when(left, F.coalesce("_folders", F.lit(0)))), F.lit(0)) + 1).cast("bigint").alias("folders"),
+        )
+        per = per.withColumn("fingerprint", F.sha2(F.to_json(F.struct(F.transform("_e", lambda x: x.dropFields("_p")).alias("entries"))), 256))
+        new = F.when(F.col("_changed"), F.concat(F.lit("k"), F.substring("fingerprint", 1, 32))).otherwise(F.col("dir_oid"))
+        rows = materialise(per.select("dir_oid", new.alias("new_oid"), "fingerprint", "files", "bytes", "folders"), "rewrite")
+        out = rows if out is None else out.unionByName(rows)
+    return out

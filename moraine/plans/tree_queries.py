@@ -79,9 +79,12 @@ def gr07_remove_by_name(t):
 
 @q()
 def gr06_rewritten_trees(t):
-    """Trees without links, with the SHA-256 of what is left of each folder."""
-    out = trees.without_entries(t.directories, F.col("entry_type") == "s")
-    return out.select("dir_oid", F.sha2(F.to_json(F.struct("entries")), 256).alias("fingerprint"))
+    """Trees without links: old and new id of each folder and root, the SHA-256 of what is left of
+    it, and files, bytes and folders below. A root that isn't in the table keeps its id."""
+    out = trees.rewritten(t.directories, F.col("entry_type") == "s")
+    roots = _roots(t).select(F.col("key").alias("dir_oid"), F.lit(True).alias("root")).distinct()
+    rows = out.join(roots, "dir_oid", "full_outer")
+    return rows.withColumns({"root": F.coalesce("root", F.lit(False)), "new_oid": F.coalesce("new_oid", "dir_oid")})
 
 
 @q("WITH l AS (SELECT manifest_id, entry_path, sha256(concat_ws('|', entry_path, coalesce(object_id, ''))) h FROM (SELECT DISTINCT manifest_id, entry_path, object_id FROM snapshot_entries WHERE manifest_id IS NOT NULL AND entry_path IS NOT NULL)) SELECT manifest_id, sha256(string_agg(h, '' ORDER BY run)) fingerprint FROM (SELECT manifest_id, run, sha256(string_agg(h, '' ORDER BY entry_path, h)) h FROM (SELECT *, (row_number() OVER (PARTITION BY manifest_id ORDER BY entry_path, h) - 1) // 4096 run FROM l) GROUP BY ALL) GROUP BY 1")

@@ -1,5 +1,10 @@
 """Queries do the whole of their job: small literal tables."""
 
+import hashlib
+
+import pytest
+from pyspark.sql import functions as F
+
 from moraine.plans import registry
 from tests.test_operators import INDEX, entry
 
@@ -55,3 +60,18 @@ def test_manifests_are_compacted_from_16_contents_on(spark):
     assert {tuple(r) for r in compacted_manifests(df(rows)).collect()} == set(rows)
     got = [tuple(r) for r in compacted_manifests(df([*rows, ("k15", "c", 1, None)])).collect()]
     assert sorted(got) == [("compacted", "a", 13, False), ("compacted", "c", 1, False)]
+
+
+def test_a_removed_link_changes_every_folder_above(spark):
+    from moraine.operators import trees
+
+    rows = [("kr", [("a", "d", "ka", 0), ("b", "d", "kb", 0), ("x", "d", "kx", 0)]), ("ka", [("c", "d", "Ikc", 0)]), ("kb", [("f", "f", "1", 5)]), ("kc", [("l", "s", "2", 1), ("f", "f", "3", 7)]), ("ke", [])]
+    d = spark.createDataFrame(rows, "dir_oid string, entries array<struct<entry_name string, entry_type string, object_id string, file_size bigint>>")
+    got = {r.dir_oid: r for r in trees.rewritten(d, F.col("entry_type") == "s").collect()}
+    assert {k for k, r in got.items() if r.new_oid == k} == {"kb", "ke"} and len(got) == 5
+    assert {k: (r.files, r.bytes, r.folders) for k, r in got.items()} == {"kr": (2, 12, 4), "ka": (1, 7, 2), "kb": (1, 5, 1), "kc": (1, 7, 1), "ke": (0, 0, 1)}
+    text = '{"entries":[{"entry_name":"c","entry_type":"d","object_id":"%s","file_size":0}]}' % got["kc"].new_oid
+    assert got["ka"].fingerprint == hashlib.sha256(text.encode()).hexdigest()
+    loop = spark.createDataFrame([("k1", [("a", "d", "k2", 0)]), ("k2", [("a", "d", "k1", 0)])], d.schema)
+    with pytest.raises(ValueError):
+        trees.rewritten(loop, F.col("entry_type") == "s")
