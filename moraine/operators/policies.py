@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from moraine.operators.ranking import null_safe
 
 LEVELS = ["path", "user", "host", "global"]
-#: Folders above a folder that a lookup follows.
-MAX_PARENTS = 64
+#: Places of a path and the folders above it; user, host and global come behind them, and further
+#: behind for a path with more.
+PLACES = 64
 
 
 def parent_path(path: Column) -> Column:
@@ -25,11 +26,15 @@ def parent_path(path: Column) -> Column:
     return F.when(none, path).when(up == "", F.concat(drive, F.substring(bare, 1, 1))).otherwise(F.concat(drive, up))
 
 
+def steps(path: Column) -> Column:
+    """Most folders above a path: its separators and one."""
+    return F.length(path) - F.length(F.regexp_replace(path, r"[/\\]", "")) + 1
+
+
 def ancestors(path: Column) -> Column:
     """The path and all folders above it with their distance: array of (place, path)."""
     step = lambda acc, i: F.when(parent_path(F.element_at(acc, -1)) == F.element_at(acc, -1), acc).otherwise(F.array_append(acc, parent_path(F.element_at(acc, -1))))
-    many = F.least(F.length(path) - F.length(F.regexp_replace(path, r"[/\\]", "")) + 1, F.lit(MAX_PARENTS))
-    return F.aggregate(F.sequence(F.lit(1), many), F.array(path), step)
+    return F.aggregate(F.sequence(F.lit(1), steps(path)), F.array(path), step)
 
 
 def label_match(labels: Column, wanted: dict[str, str]) -> Column:
@@ -48,8 +53,8 @@ def hierarchy(sources: DataFrame, policies: DataFrame) -> DataFrame:
     s = sources.select("host_name", "user_name", "source_path").distinct()
     up = s.filter("source_path is not null").select("*", F.posexplode(ancestors(F.col("source_path"))).alias("place", "_p")).withColumn("_u", F.col("user_name")).withColumn("_h", F.col("host_name"))
     none = F.lit(None).cast("string")
-    top = MAX_PARENTS + 1
-    rest = s.select("*", F.explode(F.array(F.struct(F.lit(top).alias("place"), F.col("host_name").alias("_h"), F.col("user_name").alias("_u")), F.struct(F.lit(top + 1).alias("place"), F.col("host_name").alias("_h"), none.alias("_u")), F.struct(F.lit(top + 2).alias("place"), none.alias("_h"), none.alias("_u")))).alias("_x")).select("host_name", "user_name", "source_path", "_x.place", none.alias("_p"), "_x._u", "_x._h")
+    top = F.greatest(F.lit(PLACES), F.coalesce(steps(F.col("source_path")), F.lit(0))) + 1
+    rest = s.select("*", F.explode(F.array(F.struct(top.alias("place"), F.col("host_name").alias("_h"), F.col("user_name").alias("_u")), F.struct((top + 1).alias("place"), F.col("host_name").alias("_h"), none.alias("_u")), F.struct((top + 2).alias("place"), none.alias("_h"), none.alias("_u")))).alias("_x")).select("host_name", "user_name", "source_path", "_x.place", none.alias("_p"), "_x._u", "_x._h")
     keys = up.unionByName(rest)
     p = policies.select("policy_id", F.col("host_name").alias("ph"), F.col("user_name").alias("pu"), F.col("source_path").alias("pp"))
     hit = keys.join(p, keys["_h"].eqNullSafe(p["ph"]) & keys["_u"].eqNullSafe(p["pu"]) & keys["_p"].eqNullSafe(p["pp"]))

@@ -61,6 +61,8 @@ def paths_below(roots: DataFrame, edge: DataFrame) -> DataFrame:
             break
         out = rows if out is None else out.unionByName(rows)
         level = rows.filter("entry_type = 'd' and key is not null").select("root", F.col("key").alias("at"), "path", "depth")
+    else:
+        raise ValueError(f"folders nested deeper than {MAX_DEPTH}")
     return rows if out is None else out
 
 

@@ -75,3 +75,22 @@ def test_a_removed_link_changes_every_folder_above(spark):
     loop = spark.createDataFrame([("k1", [("a", "d", "k2", 0)]), ("k2", [("a", "d", "k1", 0)])], d.schema)
     with pytest.raises(ValueError):
         trees.rewritten(loop, F.col("entry_type") == "s")
+
+
+def test_deep_paths_keep_the_policies_of_all_folders_above(spark):
+    from moraine.operators import policies as P
+
+    kind = "host_name string, user_name string, source_path string"
+    s = spark.createDataFrame([("h", "u", "/a" * 80), ("h", "u", "/a"), ("h", "u", None)], kind)
+    pol = spark.createDataFrame([("root", "h", "u", "/"), ("user", "h", "u", None), ("all", None, None, None)], f"policy_id string, {kind}")
+    got = {(r.source_path, r.policy_id): r.place for r in P.hierarchy(s, pol).collect()}
+    assert got == {("/a" * 80, "root"): 80, ("/a" * 80, "user"): 82, ("/a" * 80, "all"): 84, ("/a", "root"): 1, ("/a", "user"): 65, ("/a", "all"): 67, (None, "user"): 65, (None, "all"): 67}
+
+
+def test_listing_paths_without_end_is_an_error(spark, monkeypatch):
+    from moraine.operators import trees
+
+    monkeypatch.setattr(trees, "MAX_DEPTH", 3)
+    edge = spark.createDataFrame([("a", "x", "d", "a", 0)], "dir_oid string, entry_name string, entry_type string, key string, file_size bigint")
+    with pytest.raises(ValueError):
+        trees.paths_below(spark.createDataFrame([("a",)], "key string"), edge)
