@@ -5,35 +5,40 @@ the smallest result names the language and the distance to the second smallest i
 Sentences are scored one by one, a change of language costs ``SWITCH`` bytes, and the cheapest
 sequence over the whole text gives the stretches.
 
-The dictionaries start from labelled samples and are filled from a bounded sample of labelled
-documents: per label the ``SAMPLE_DOCS`` documents of least id hash, of which only those are taken
-that the dictionaries so far find to be one stretch in the label's language, up to ``DICTIONARY_CHARS`` per language.
+The dictionaries start from labelled samples, per language the ``SAMPLE_TEXTS`` texts of least hash,
+and are filled from a bounded sample of labelled documents: per language the ``SAMPLE_DOCS``
+documents of least id hash, of which only those are taken that the dictionaries so far find to be
+one stretch in the label's language, up to ``DICTIONARY_CHARS`` per language. Each bound is per
+language, so no language is left out however many rows the others have.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from moraine.llm.words import plain, unmarked
 from moraine.session import spread
 
 #: Bounds of the sample that the dictionaries are filled from.
-SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_CHARS = 150, 6_000, 40_000
+SAMPLE_TEXTS, SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_CHARS = 150, 150, 6_000, 40_000
 #: Least words of a sampled document, and by what share its size must be below the second smallest.
 SAMPLE_WORDS, CLEAR = 30, 0.15
 #: Times the sample is judged, each time by the dictionaries filled before.
 ROUNDS = 3
 #: No dictionary is longer than this many times the shortest: a longer one favours its language.
 BALANCE = 2
-#: Compression level; bytes a change of language costs; bytes of margin below which a stretch has
-#: no language of its own.
-LEVEL, SWITCH, NARROW = 12, 12, 3
+#: Bytes a change of language costs; bytes of margin below which a stretch has no language of its own.
+SWITCH, NARROW = 12, 3
+#: Compression with tables that stay in a core's cache for all languages at once; a target length
+#: of 1 leaves what doesn't match as it is, so that sizes tell how much of a text matches.
+PARAMETERS = {"compression_level": 1, "strategy": zstandard.STRATEGY_FAST, "window_log": 17, "hash_log": 13, "chain_log": 12, "search_log": 1, "min_match": 5, "target_length": 1, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
 #: Least words of prose of a document, and of a stretch in a mixed text.
 LEAST_PROSE, LEAST_STRETCH = 8, 15
 
@@ -52,13 +57,16 @@ _LETTERS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 #: Lines that aren't prose: commands, log lines, records, table rows, headings, code fences.
 _OTHER = re.compile(r"\s*(?:[$#%|{\[]|```|~~~|\d{4}-\d\d-\d\d[T ]\d|\[?\d\d:\d\d:\d\d|</?(?:pre|code)\b)")
 _FENCE = re.compile(r"^(```|~~~).*?^\1[^\n]*$", re.S | re.M)
-#: Parts of a line that aren't prose: code, quoted messages, brackets, addresses, paths.
-_INSIDE = re.compile(r"`[^`\n]*`|“[^”\n]*”|„[^“”\n]*[“”]|«[^»\n]*»|\"[^\"\n]*\"|\([^()\n]*\)|\b\w+://\S+|(?<!\S)[~.]?/\S+|(?<!\S)--?\w[\w-]*=\S*")
-_END = re.compile(r"(?<=[.!?…])\s+|[\r\n]+")
+#: Parts of a line that aren't prose: code, quoted messages and brackets; then, where the line has
+#: their mark, addresses, paths and options.
+_QUOTED = re.compile(r"`[^`\n]*`|“[^”\n]*”|„[^“”\n]*[“”]|«[^»\n]*»|\"[^\"\n]*\"|\([^()\n]*\)")
+_MARKED = (("://", re.compile(r"\b\w+://\S+")), ("/", re.compile(r"(?<!\S)[~.]?/\S+")), ("=", re.compile(r"(?<!\S)--?\w[\w-]*=\S*")))
+_END = re.compile(r"[.!?…]\s+")
 #: A sentence longer than this many characters is scored in parts.
 PART = 400
 
 
+@lru_cache(10_000)
 def label_language(label: str | None) -> str | None:
     """The language a label names in one of its usual forms, or None."""
     if not label:
@@ -75,9 +83,20 @@ def sentences(text: str) -> list[str]:
         line = line.lstrip("> \t")
         if not line or _OTHER.match(line):
             continue
-        for s in _END.split(_INSIDE.sub(" ", line)):
+        line = _QUOTED.sub(" ", line)
+        for mark, part in _MARKED:
+            if mark in line:
+                line = part.sub(" ", line)
+        for s in _END.split(plain(line)):
+            found = _LETTERS.findall(s)
+            if not found:
+                continue
+            whole = " ".join(found)
+            if len(whole) < PART:
+                out.append(f" {whole} ")
+                continue
             part, n = [], 0
-            for w in _LETTERS.findall(plain(s)):
+            for w in found:
                 part.append(w)
                 n += len(w) + 1
                 if n >= PART:
@@ -91,19 +110,24 @@ def sentences(text: str) -> list[str]:
 class Classifier:
     """One dictionary of raw text per language."""
 
-    def __init__(self, texts: dict[str, str], level: int = LEVEL):
+    def __init__(self, texts: dict[str, str]):
         self.languages = sorted(texts)
         self._of = []
+        how = zstandard.ZstdCompressionParameters(**PARAMETERS)
         for lang in self.languages:
             held = zstandard.ZstdCompressionDict(texts[lang].encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            self._of.append(zstandard.ZstdCompressor(level=level, dict_data=held, write_content_size=False, write_checksum=False, write_dict_id=False))
+            held.precompute_compress(compression_params=how)  # digested once, not once per text
+            self._of.append(zstandard.ZstdCompressor(compression_params=how, dict_data=held).compress)
 
     def sizes(self, text: str) -> list[int]:
         raw = text.encode()
-        return [len(c.compress(raw)) for c in self._of]
+        return [len(compress(raw)) for compress in self._of]
 
     def path(self, costs: list[list[int]], switch: int = SWITCH) -> list[int]:
         """Cheapest language of each sentence when a change costs ``switch`` bytes."""
+        lowest = {c.index(min(c)) for c in costs}
+        if len(lowest) == 1:
+            return [*lowest] * len(costs)
         best, back = list(costs[0]), []
         for c in costs[1:]:
             low = min(range(len(best)), key=best.__getitem__)
@@ -158,23 +182,26 @@ def _margin(run: list) -> int:
     return min(x for k, x in enumerate(run[2]) if k != run[0]) - run[2][run[0]]
 
 
+def _sampled(rows: DataFrame, most: int, by: list[Column]) -> DataFrame:
+    """``rows`` with the ``code`` of their label ``lang``, per language the first ``most`` by ``by``.
+    The first ``most`` of every label come first, so a label is read few times and labels that
+    a third of all rows have are cut down before any shuffle."""
+    label = F.udf(lambda x: label_language(x), "string")
+    per_label = rows.withColumn("_k", F.row_number().over(Window.partitionBy("lang").orderBy(*by))).filter(F.col("_k") <= most)
+    named = per_label.withColumn("code", label("lang")).filter("code is not null")
+    return named.withColumn("_k", F.row_number().over(Window.partitionBy("code").orderBy(*by))).filter(F.col("_k") <= most)
+
+
 def fit(docs: DataFrame, samples: DataFrame) -> dict[str, str]:
     """Raw text of each language for the dictionaries (see the module's text for the bounds)."""
     texts: dict[str, list[str]] = {}
-    for r in samples.select("lang", "text").filter("text is not null").orderBy("lang", "text").limit(10_000).collect():
-        code = label_language(r.lang)
-        if code:
-            texts.setdefault(code, []).extend(sentences(r.text))
-    label = F.udf(lambda x: label_language(x), "string")
-    # Labels are few distinct values: each is read once, not once per document.
-    named = docs.select("lang").filter("lang is not null").distinct().withColumn("code", label("lang")).filter("code is not null")
+    known = samples.select("lang", "text").filter("text is not null and lang is not null").distinct()
+    for code, text in sorted((r.code, r.text) for r in _sampled(known, SAMPLE_TEXTS, [F.xxhash64("text"), F.col("text")]).collect()):
+        texts.setdefault(code, []).extend(sentences(text))
     rows = docs.filter((F.length("text") <= SAMPLE_CHARS) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "lang")
-    rows = rows.join(F.broadcast(named.limit(10_000)), "lang").select("doc_id", "code")
-    order = Window.partitionBy("code").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= SAMPLE_DOCS)
-    picked = {r.doc_id: (r.code, r.k) for r in chosen.collect()}
+    picked = {r.doc_id: (r.code, r._k) for r in _sampled(rows, SAMPLE_DOCS, [F.xxhash64("doc_id"), F.col("doc_id")]).collect()}
     held = docs.select("doc_id", "text").join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in picked], "doc_id bigint")), "doc_id").collect() if picked else []
-    documents = [(picked[r.doc_id][0], [p for p in sentences(r.text) if p.count(" ") > 4]) for r in sorted(held, key=lambda r: (*picked[r.doc_id], r.text))]
+    documents = [(picked[r.doc_id][0], [p for p in sentences(r.text or "") if p.count(" ") > 4]) for r in sorted(held, key=lambda r: (*picked[r.doc_id], r.text or ""))]
     filled = texts
     for _ in range(ROUNDS):
         filled = _filled(Classifier({k: "".join(v) for k, v in filled.items()}), texts, documents)

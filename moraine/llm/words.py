@@ -10,12 +10,13 @@ import unicodedata
 import numpy as np
 import xxhash
 
-_TAG = re.compile(r"</?[A-Za-z][^<>]{0,300}>|<!--.*?-->", re.S)
+#: A tag: up to 300 characters of any kind, or of any length if they are attributes with values.
+_TAG = re.compile(r"""</?[A-Za-z](?:[^<>]{0,300}>|[\w:.-]*(?:\s+[\w:.@-]+\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'<>=]+))*\s*/?>)|<!--.*?-->""", re.S)
 _ESCAPED = re.compile(r"\\u([0-9a-fA-F]{4})")
 _CONTROL = re.compile(r"\\[nrt]")
 #: Characters that only guide line breaking or shaping: soft hyphen, zero-width space and
 #: joiners, direction marks, word joiner, byte order mark.
-_INVISIBLE = dict.fromkeys([0xAD, 0x200B, 0x200C, 0x200D, 0x200E, 0x200F, 0x2060, 0xFEFF])
+_INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]+")
 _WORD = re.compile(r"[^\W_]+")
 _MARKS = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20f0\ufe20-\ufe2f]+")
 
@@ -33,7 +34,7 @@ def unmarked(text: str) -> str:
 def plain(text: str) -> str:
     """Letters without case, accents and variant forms."""
     if not text.isascii():
-        text = _MARKS.sub("", unicodedata.normalize("NFKD", text.translate(_INVISIBLE)))
+        text = _MARKS.sub("", unicodedata.normalize("NFKD", _INVISIBLE.sub("", text)))
     return text.casefold()
 
 
@@ -65,3 +66,8 @@ class Vocabulary:
                 h = of[t] = xxhash.xxh64_intdigest(t)
             out[i] = h
         return out
+
+    @staticmethod
+    def of_bytes(piece: np.ndarray) -> int:
+        """Signed 64-bit hash of a sequence of word hashes."""
+        return xxhash.xxh64_intdigest(piece.tobytes()) - (1 << 63)

@@ -55,3 +55,11 @@ def test_empty_tables(spark, tables):
     docs, samples = tables
     assert G.wrong_labels(G.language_stretches(docs.limit(0), samples)).count() == 0
     assert G.language_stretches(docs, samples.limit(0)).count() == 0
+
+
+def test_many_samples_leave_no_language_out(spark, tables):
+    docs, samples = tables
+    rows = [(r.lang, r.text) for r in samples.collect()]
+    more = [(lang, f"{text} {chr(97 + i % 26) * (i % 9 + 1)}") for i in range(12_000) for lang, text in [rows[i % len(rows)]]]
+    df = spark.createDataFrame([("de", t) for lang, t in more if lang == "de"] * 3 + more, "lang string, text string")
+    assert set(G.fit(docs.limit(0), df)) == {lang for lang, _ in rows}
