@@ -20,6 +20,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from moraine.operators.state import winners
 from moraine.session import shuffle_partitions
@@ -56,16 +57,36 @@ class BucketedTable:
         return json.loads(rows[0][0])
 
     def _commit(self, version: int, content: dict) -> None:
-        """Write the manifest aside, then rename it; a version that exists already is an error."""
+        """Write the manifest aside, then rename it without overwriting: where the file system
+        renames atomically only one of two writers gets a version, the other an error."""
         fs, jvm = self._fs()
         final = jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest/{version:08d}.json")
         aside = jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest/_{uuid.uuid4().hex}.tmp")
         out = fs.create(aside, False)
         out.write(bytearray(json.dumps(content).encode()))
         out.close()
-        if fs.exists(final) or not fs.rename(aside, final):
+        kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        how = self.spark.sparkContext._gateway.new_array(kind, 1)
+        how[0] = kind.NONE
+        try:
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), self.spark._jsc.hadoopConfiguration()).rename(aside, final, how)
+        except Exception as e:
             fs.delete(aside, False)
-            raise RuntimeError(f"version {version} was committed by another writer")
+            raise RuntimeError(f"version {version} was committed by another writer") from e
+
+    def _delete(self, *folders: str) -> None:
+        fs, jvm = self._fs()
+        for f in folders:
+            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{f}"), True)
+
+    def vacuum(self, keep: int = 1) -> None:
+        """Drop all but the last ``keep`` versions, and the buckets' folders only dropped ones refer to.
+        Folders of a commit under way belong to no version and stay."""
+        known = self.versions()
+        drop, stay = known[: -max(keep, 1)], known[-max(keep, 1) :]
+        folders = lambda vs: {f"{f}/_b={b}" for v in vs for b, f in self._manifest(v)["folders"].items()}
+        unused = folders(drop) - folders(stay)
+        self._delete(*[f"manifest/{v:08d}.json" for v in drop], *sorted(unused))
 
     # -- rows ------------------------------------------------------------------------------
     def _bucket(self):
@@ -107,9 +128,9 @@ class BucketedTable:
         ``batch`` names a stream and its batch: one that a version already holds is not applied
         again, so a repeated micro-batch changes nothing.
 
-        On an empty table the reduced feed is the replacement. Otherwise it is staged, and only
-        buckets it touches are read, merged and replaced; a feed without usable rows commits an
-        unchanged version.
+        On an empty table the reduced feed is the base. Otherwise it is staged, and only buckets
+        it touches are read, merged and replaced; a feed without usable rows commits an unchanged
+        version. A commit that fails leaves no files.
         """
         known = self.versions()
         old = self._manifest() if known else {"buckets": self.buckets, "folders": {}, "schema": None}
@@ -119,24 +140,43 @@ class BucketedTable:
                 return known[-1]
             batches[batch[0]] = batch[1]
         folders = {int(b): f for b, f in old["folders"].items()}
-        version, commit = (known[-1] if known else 0) + 1, f"data/{uuid.uuid4().hex}"
+        version, own = (known[-1] if known else 0) + 1, uuid.uuid4().hex
+        commit, staged = f"data/{own}", f"stage/{own}"
         reduced = self._reduced(feed)
-        if not folders:
-            written = self._write(reduced, f"{self.path}/{commit}")
-        else:
-            staged = f"stage/{uuid.uuid4().hex}"
-            touched = self._write(reduced, f"{self.path}/{staged}")
-            if touched:
-                delta = self._read({b: staged for b in touched}, reduced.schema)
-                meets = {b: f for b, f in folders.items() if b in touched}
-                merged = self._merge(self._read(meets, reduced.schema), delta) if meets else delta
-                written = self._write(merged, f"{self.path}/{commit}")
+        try:
+            if not folders:
+                written = self._write(reduced, f"{self.path}/{commit}")
             else:
+                touched = self._write(reduced, f"{self.path}/{staged}")
+                meets = {b: f for b, f in folders.items() if b in touched}
                 written = set()
-            fs, jvm = self._fs()
-            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.path}/stage"), True)
-        content = {"buckets": self.buckets, "folders": {**{str(b): f for b, f in folders.items()}, **{str(b): commit for b in written}}, "schema": reduced.schema.json(), "batches": batches}
-        self._commit(version, content)
+                if touched:
+                    delta = self._read({b: staged for b in touched}, reduced.schema)
+                    merged = self._merge(self._read(meets, reduced.schema), delta) if meets else delta
+                    written = self._write(merged, f"{self.path}/{commit}")
+            content = {"buckets": self.buckets, "folders": {**{str(b): f for b, f in folders.items()}, **{str(b): commit for b in written}}, "schema": reduced.schema.json(), "batches": batches}
+            self._commit(version, content)
+        except Exception:
+            self._delete(commit)
+            raise
+        finally:
+            self._delete(staged)
+        return version
+
+    def apply_deliveries(self, feed: DataFrame, arrival: str, shares: Sequence[float] = (0.5, 0.75)) -> int:
+        """Apply ``feed`` as it was delivered: the rows that arrived up to the first of ``shares``
+        (quantiles of ``arrival``) as the first delivery, those up to the next one after it, and so
+        on. Rows without a time of arrival belong to the first."""
+        cuts = feed.agg(F.percentile_approx(arrival, list(shares), 1_000)).first()[0] or []
+        bounds = [None, *sorted(set(cuts)), None]
+        version = 0
+        for lo, hi in zip(bounds, bounds[1:], strict=False):
+            part = feed
+            if hi is not None:
+                part = part.filter((F.col(arrival) <= F.lit(hi)) if lo is not None else F.coalesce(F.col(arrival) <= F.lit(hi), F.lit(True)))
+            if lo is not None:
+                part = part.filter(F.col(arrival) > F.lit(lo))
+            version = self.apply(part)
         return version
 
     def _merge(self, base: DataFrame, delta: DataFrame) -> DataFrame:
@@ -150,8 +190,6 @@ class BucketedTable:
 
     def read(self, version: int | None = None) -> DataFrame:
         """The table at a version (the last one by default), tombstones included."""
-        from pyspark.sql.types import StructType
-
         found = self._manifest(version)
         if not found or not found["schema"]:
             raise ValueError(f"no version in {self.path}")

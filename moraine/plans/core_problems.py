@@ -31,19 +31,16 @@ def _contents(spark, payload=()):
 
 
 def p4_found(spark, d):
+    """Half of the feed, by arrival, is the base; the rest is merged into it in two deliveries."""
     t = _contents(spark)
-    t.apply(cow.content_feed(table(spark, d, "content_entries")))
+    t.apply_deliveries(cow.content_feed(table(spark, d, "content_entries")), "arrived_at")
     return cow.alive_contents(t)
 
 
 def p4_two_feeds(spark, d):
     """The feed in two deliveries, by arrival: the second touches and merges existing buckets."""
-    feed = cow.content_feed(table(spark, d, "content_entries"))
-    cut = feed.agg(F.expr("percentile_approx(arrived_at, 0.5)")).first()[0]
     t = _contents(spark, ["original_length", "packed_length"])
-    first = F.coalesce(F.col("arrived_at") <= F.lit(cut), F.lit(True))
-    t.apply(feed.filter(first))
-    t.apply(feed.filter(~first))
+    t.apply_deliveries(cow.content_feed(table(spark, d, "content_entries")), "arrived_at", [0.5])
     return t.read().groupBy("live").agg(F.count(F.lit(1)).alias("n"), F.sum("timestamp_seconds").alias("sum_ts"), F.countDistinct("pack_blob_id").alias("packs"))
 
 

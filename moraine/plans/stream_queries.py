@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from moraine.operators import cow
@@ -18,16 +21,22 @@ def _stream(t, name):
     return feeds.files(t.spark, path, t.spark.read.parquet(path).schema, per_batch=16)
 
 
+def _delivered(df, order, parts=4):
+    """``df`` as a stream of as many batches as there are parts."""
+    return feeds.files(df.sparkSession, feeds.deliveries(df, order, parts), df.schema, per_batch=1)
+
+
 @q(sql(CW, "SELECT content_id, pack_blob_id FROM cw WHERE live"))
 def ss01_feed_upsert(t):
     table = cow.BucketedTable(t.spark, scratch_path(t.spark, "stream"), "content_id", cow.CONTENT_ORDER)
-    feeds.feed_into(table, _stream(t, "content_entries"), scratch_path(t.spark, "progress"))
+    feeds.feed_into(table, _delivered(t.content_entries, "arrived_at"), scratch_path(t.spark, "progress"))
     return cow.alive_contents(table)
 
 
 @q(sql(CW, "SELECT content_id, timestamp_seconds, live, pack_blob_id FROM cw"))
 def ss02_running_winners(t):
-    return feeds.collected(t.spark, feeds.running_winners(_stream(t, "content_entries")), "winners", "complete")
+    stream = feeds.running_winners(_delivered(t.content_entries, "arrived_at"))
+    return feeds.upserted(t.spark, stream, ["content_id"], cow.CONTENT_ORDER, "winners")
 
 
 @q("SELECT max(timestamp_seconds) watermark FROM content_entries")
@@ -43,11 +52,12 @@ def ss03_deletion_watermark(t):
 
 @q("SELECT count(*) n FROM content_entries")
 def ss04_resumed(t):
-    """A stream stopped and started again counts every row once."""
-    counts, at = [], scratch_path(t.spark, "progress")
-    for _ in range(2):
-        feeds.run_to_end(_stream(t, "content_entries"), lambda df, _: counts.append(df.count()), at)
-    return t.spark.createDataFrame([(sum(counts),)], "n bigint")
+    """A stream that fails in its second batch and is started again counts every row once."""
+    stream, out, at = _delivered(t.content_entries, "arrived_at"), scratch_path(t.spark, "counts"), scratch_path(t.spark, "progress")
+    with contextlib.suppress(StreamingQueryException):
+        feeds.counted(stream, out, at, stop_at=1)
+    feeds.counted(stream, out, at)
+    return t.spark.read.schema("n bigint").option("recursiveFileLookup", "true").parquet(out).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
 
 
 @q("SELECT 's' || user_id session_id, max(epoch_us(ts) // 1000000) AS checkpoint FROM events GROUP BY 1 HAVING 1706572800 - max(epoch_us(ts) // 1000000) < 86400")
@@ -58,7 +68,8 @@ def ss05_active_sessions(t):
 
 @q("SELECT date_trunc('hour', ts)::TIMESTAMP begins, event_type, count(*) n FROM events WHERE ts IS NOT NULL GROUP BY ALL")
 def ss06_tumbling(t):
-    return feeds.collected(t.spark, feeds.tumbling(_stream(t, "events"), "ts", "1 hour", "60 days", ["event_type"]), "windows", "complete")
+    stream = feeds.tumbling(_delivered(t.events, "ts"), "ts", "1 hour", "60 days", ["event_type"])
+    return feeds.upserted(t.spark, stream, ["begins", "event_type"], ["n"], "windows")
 
 
 @q("SELECT count(*) n, sum(event_id)::BIGINT s FROM events")

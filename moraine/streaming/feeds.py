@@ -24,6 +24,14 @@ def files(spark: SparkSession, path: str, schema: StructType, per_batch: int | N
     return reader.parquet(path)
 
 
+def deliveries(df: DataFrame, order: str, parts: int) -> str:
+    """A folder with ``df`` cut into about ``parts`` files by ``order``, as if delivered one after
+    the other."""
+    path = scratch_path(df.sparkSession, "deliveries")
+    df.repartitionByRange(parts, order).write.parquet(path)
+    return path
+
+
 def run_to_end(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
     """Run what is there now through ``each`` and stop. Progress lies in ``checkpoint`` (SS04): a
     second call goes on where the first ended."""
@@ -68,8 +76,26 @@ def settled(df: DataFrame, column: str, now: int, delay: int) -> DataFrame:
     return df.filter(F.col(column) <= now - delay)
 
 
-def collected(spark: SparkSession, stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """Last result of a stream run to its end, as a table below the shared folder."""
-    out, root = scratch_path(spark, name), scratch_path(spark, name + "-progress")
-    run_to_end(stream, lambda df, _: df.write.mode("overwrite").parquet(out), root, mode)
-    return spark.read.parquet(out)
+def upserted(spark: SparkSession, stream: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """Last result of an aggregating stream run to its end. Each batch gives only the groups it
+    changed, which replace their rows in a bucketed table; of two rows of a group the one with the
+    greater ``order`` is the later one. A group with a null key is kept."""
+    table = cow.BucketedTable(spark, scratch_path(spark, name), "_key", order, [*keys, *[c for c in stream.columns if c not in (*keys, *order)]])
+    key = F.to_json(F.struct(*keys))
+    run_to_end(stream, lambda df, no: table.apply(df.withColumn("_key", key), (name, no)) and None, scratch_path(spark, name + "-progress"), "update")
+    if not table.versions():
+        return spark.createDataFrame([], stream.schema)
+    return table.read().select(*stream.columns)
+
+
+def counted(stream: DataFrame, folder: str, checkpoint: str, stop_at: int | None = None) -> None:
+    """Rows of each batch, written under the batch's number, so that one run again after a failure
+    replaces what it left (SS04). ``stop_at`` ends the stream by an error before that batch is
+    done, for tests of a restart."""
+
+    def each(df: DataFrame, no: int) -> None:
+        df.agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{folder}/batch={no}")
+        if no == stop_at:
+            raise RuntimeError("stopped")
+
+    run_to_end(stream, each, checkpoint)

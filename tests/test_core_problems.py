@@ -183,3 +183,45 @@ def test_as_of_join_and_names(spark):
     names = spark.createDataFrame([("1", "a"), ("2", "A"), ("3", "a (2)"), ("4", "b")], "name string, safe string")
     out = {r.name: r.safe for r in disambiguated(names, "name", "safe").collect()}
     assert out["1"] == "a" and len({v.lower() for v in out.values()}) == 4
+
+
+def files_of(path):
+    import pathlib
+
+    return {str(p): p.stat().st_mtime_ns for p in pathlib.Path(path.removeprefix("file://")).rglob("*.parquet")}
+
+
+def test_untouched_buckets_keep_their_files_and_old_ones_go(spark):
+    path = scratch_path(spark, "t")
+    t = cow.BucketedTable(spark, path, "content_id", cow.CONTENT_ORDER, buckets=8)
+    t.apply(cow.content_feed(spark.createDataFrame(feed([(str(i), 1, False, "p") for i in range(100)]), FEED)))
+    before = files_of(path)
+    t.apply(cow.content_feed(spark.createDataFrame(feed([("5", 2, False, "q")]), FEED)))
+    after = files_of(path)
+    assert before.items() <= after.items() and len({p.rsplit("/", 2)[1] for p in after.keys() - before.keys()}) == 1
+    t.vacuum()
+    kept = files_of(path)
+    assert len(kept) < len(after) and t.versions() == [2] and t.read().count() == 100
+
+
+def test_two_writers_cannot_both_commit(spark, monkeypatch):
+    path = scratch_path(spark, "t")
+    rows = cow.content_feed(spark.createDataFrame(feed([("a", 1, False, "p")]), FEED))
+    cow.BucketedTable(spark, path, "content_id", cow.CONTENT_ORDER, buckets=2).apply(rows)
+    files = files_of(path)
+    late = cow.BucketedTable(spark, path, "content_id", cow.CONTENT_ORDER, buckets=2)
+    monkeypatch.setattr(late, "versions", list)
+    with pytest.raises(RuntimeError, match="another writer"):
+        late.apply(rows)
+    assert files_of(path) == files
+
+
+def test_deliveries_are_merged(spark):
+    t = cow.BucketedTable(spark, scratch_path(spark, "t"), "content_id", cow.CONTENT_ORDER)
+    rows = feed([(str(i % 50), i % 7, i % 3 == 0, f"p{i % 4}") for i in range(400)])
+    df = spark.createDataFrame(rows, FEED).withColumn("at", F.pmod(F.xxhash64("content_id", "timestamp_seconds"), F.lit(100))).withColumn("at", F.when(F.col("at") > 5, F.col("at")))
+    assert t.apply_deliveries(cow.content_feed(df), "at") == 3
+    one = cow.BucketedTable(spark, scratch_path(spark, "t"), "content_id", cow.CONTENT_ORDER)
+    one.apply(cow.content_feed(df))
+    assert sorted(t.read().collect()) == sorted(one.read().collect())
+    assert cow.BucketedTable(spark, scratch_path(spark, "t"), "content_id", cow.CONTENT_ORDER).apply_deliveries(cow.content_feed(df.limit(0)), "at") == 1
