@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from moraine.operators.history import SOURCE
 from moraine.operators.ranking import neighbour, null_safe, rank_within, running_within
+from moraine.session import materialise
 
+ORDER = ["start_time", "end_time", "manifest_id"]
 #: Kinds of period in the order they are decided, and in the order of their tags.
 KINDS = ["latest", "annual", "monthly", "weekly", "daily", "hourly"]
 TAG_ORDER = ["latest", "hourly", "daily", "weekly", "monthly", "annual"]
@@ -46,45 +48,55 @@ def retention_reasons(snapshots: DataFrame, keep: dict[str, int | None]) -> Data
     own. Incomplete snapshots are kept as long as, newest first, no complete one has come and
     each is young or among the first few. Null start times count as oldest and have no period.
     """
-    newest = snapshots.groupBy(*SOURCE).agg(F.max(F.when(F.col("complete"), F.col("start_time"))).alias("_mc"), F.max("start_time").alias("_m"))
-    rows = null_safe(snapshots.select("manifest_id", *SOURCE, "start_time", "end_time", "complete"), newest, SOURCE, "inner")
+    rows = materialise(snapshots.select("manifest_id", *SOURCE, "start_time", "end_time", "complete"), "retention")
     order = F.struct("start_time", "end_time", "manifest_id")
     done = rows.filter("complete").withColumn("_o", order)
     limit = dict(keep)
     if not sum(v or 0 for v in limit.values()):
         limit["latest"] = -1  # no bound
-    parts, monthly = [], None
-    for kind in KINDS:
-        n = limit.get(kind)
-        if n is None:
-            continue
-        if kind == "latest":
-            if n < 0:
-                ranked = rank_within(done, SOURCE, ["start_time", "end_time", "manifest_id"], descending=True, name="_k")
-            else:
-                ranked = done.withColumn("_k", F.row_number().over(Window.partitionBy(*SOURCE).orderBy(F.col("_o").desc()))).filter(F.col("_k") <= n)
+    kinds = [k for k in KINDS if k != "latest" and limit.get(k) is not None]
+    parts = [incomplete_kept(rows).select("manifest_id", F.lit("incomplete").alias("reason"))]
+    if kinds:
+        parts.append(_period_reasons(done, {k: limit[k] for k in kinds}))
+    if limit.get("latest") is not None:
+        if limit["latest"] < 0:
+            ranked = rank_within(done, SOURCE, ORDER, descending=True, name="_k")
         else:
-            dated = done.filter(F.col("start_time") >= cutoff(kind, F.col("_mc"), n))
-            best = dated.groupBy(*SOURCE, period_id(kind, F.col("start_time")).alias("_p")).agg(F.max("_o").alias("_o")).withColumn("manifest_id", F.col("_o.manifest_id"))
-            if kind == "weekly" and monthly is not None:
-                best = null_safe(best, monthly, [*SOURCE, "_p"], "left_anti")
-            ranked = best.withColumn("_k", F.row_number().over(Window.partitionBy(*SOURCE).orderBy(F.col("_o").desc()))).filter(F.col("_k") <= n)
-            if kind == "monthly":
-                monthly = ranked.select(*SOURCE, "_p")
-        parts.append(ranked.select("manifest_id", F.concat(F.lit(kind + "-"), F.col("_k").cast("string")).alias("reason")))
-    parts.append(incomplete_kept(rows).select("manifest_id", F.lit("incomplete").alias("reason")))
+            ranked = done.withColumn("_k", F.row_number().over(Window.partitionBy(*SOURCE).orderBy(F.col("_o").desc()))).filter(F.col("_k") <= limit["latest"])
+        parts.append(ranked.select("manifest_id", F.concat(F.lit("latest-"), F.col("_k").cast("string")).alias("reason")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
+def _period_reasons(done: DataFrame, limit: dict[str, int]) -> DataFrame:
+    """Reasons of all kinds of period in one pass: the newest snapshot of each period by one
+    aggregation, which leaves a source no more rows than the calendar has periods; then one
+    shuffle by source for all ranks. A period's newest snapshot is within the cut-off if and only
+    if any of the period is."""
+    ids = F.array(*[F.struct(F.lit(k).alias("kind"), period_id(k, F.col("start_time")).alias("p")) for k in limit])
+    best = done.filter("start_time is not null").select(*SOURCE, "_o", F.explode(ids).alias("_x")).groupBy(*SOURCE, "_x.kind", "_x.p").agg(F.max("_o").alias("_o"))
+    best = best.repartition(*SOURCE)
+    newest = F.max("_o.start_time").over(Window.partitionBy(*SOURCE))
+    within = F.coalesce(*[F.when(F.col("kind") == k, F.col("_o.start_time") >= cutoff(k, F.col("_mc"), n)) for k, n in limit.items()])
+    most = F.coalesce(*[F.when(F.col("kind") == k, F.lit(n)) for k, n in limit.items()])
+    place = F.row_number().over(Window.partitionBy(*SOURCE, "kind").orderBy(F.col("_o").desc()))
+    kept = best.withColumn("_mc", newest).filter(within).withColumns({"_k": place, "_n": most}).filter((F.col("_k") <= F.col("_n")) | (F.col("kind") == "weekly"))
+    if "weekly" in limit and "monthly" in limit:
+        taken = F.max(F.col("kind") == "monthly").over(Window.partitionBy(*SOURCE, "p"))
+        kept = kept.withColumn("_t", taken).filter((F.col("kind") != "weekly") | ~F.col("_t"))
+        kept = kept.withColumn("_k", place)
+    kept = kept.filter(F.col("_k") <= F.col("_n"))
+    return kept.select(F.col("_o.manifest_id").alias("manifest_id"), F.concat_ws("-", "kind", F.col("_k").cast("string")).alias("reason"))
+
+
 def incomplete_kept(rows: DataFrame) -> DataFrame:
     """Incomplete snapshots newer than every complete one that are young or among the first few,
-    up to the first that is neither. Rows need ``_mc`` and ``_m`` (newest complete and newest)."""
-    best = rows.filter("complete").groupBy(*SOURCE).agg(F.max(F.struct("start_time", "end_time", "manifest_id")).alias("_bc"))
+    up to the first that is neither (WN02)."""
+    best = rows.groupBy(*SOURCE).agg(F.max(F.when(F.col("complete"), F.struct("start_time", "end_time", "manifest_id"))).alias("_bc"), F.max("start_time").alias("_m"))
     lead = null_safe(rows.filter("not complete"), best, SOURCE, "left").filter(F.col("_bc").isNull() | (F.struct("start_time", "end_time", "manifest_id") > F.col("_bc")))
-    placed = rank_within(lead, SOURCE, ["start_time", "end_time", "manifest_id"], descending=True, name="_i")
+    placed = rank_within(lead, SOURCE, ORDER, descending=True, name="_i")
     young = F.col("start_time") > F.col("_m") - F.make_dt_interval(F.lit(0), F.lit(INCOMPLETE_HOURS))
     # Age only grows and the place only rises along the order: the first failure ends the run.
     return placed.filter(F.coalesce(young, F.lit(False)) | (F.col("_i") <= INCOMPLETE_COUNT))
@@ -95,9 +107,6 @@ def expired(snapshots: DataFrame, reasons: DataFrame) -> DataFrame:
     return snapshots.join(reasons.select("manifest_id").distinct(), "manifest_id", "left_anti").filter(F.coalesce(F.size("pins"), F.lit(0)) <= 0)
 
 
-ORDER = ["start_time", "end_time", "manifest_id"]
-
-
 def with_previous(snapshots: DataFrame) -> DataFrame:
     """Each snapshot with the id of the one before it in its source (WN04)."""
     return neighbour(snapshots, SOURCE, ORDER, {"previous_id": "manifest_id"}).drop("_place")
@@ -127,15 +136,18 @@ def previous_manifests(snapshots: DataFrame, no_later_than: Column | None = None
 
 def identical_runs(snapshots: DataFrame) -> DataFrame:
     """Adjacent snapshots of a source with one root as a single row (AG16): first and last start,
-    count. A run begins where the root differs from the one before and ends just before the next
-    begin; begins and ends meet by equi-joins on ranks, so that a large source is no single task."""
-    placed = neighbour(snapshots, SOURCE, ORDER, {"_before": "root_oid", "_id": "manifest_id"})
-    begins = placed.filter(F.col("_id").isNull() | ~F.col("_before").eqNullSafe(F.col("root_oid"))).select(*SOURCE, "root_oid", "start_time", F.col("_place").alias("_b"))
-    chained = neighbour(begins, SOURCE, ["_b"], {"_next": "_b"}, ahead=True)
-    sizes = placed.groupBy(*SOURCE).agg(F.max("_place").alias("_n"))
-    runs = null_safe(chained.drop("_place"), sizes, SOURCE, "inner").withColumn("_place", F.coalesce(F.col("_next") - 1, F.col("_n")))
-    last = placed.select(*SOURCE, "_place", F.col("start_time").alias("last_start"))
-    return null_safe(runs, last, [*SOURCE, "_place"], "inner").select(*SOURCE, "root_oid", F.col("start_time").alias("first_start"), "last_start", (F.col("_place") - F.col("_b") + 1).alias("n"))
+    count, and all pins. A run begins where the root differs from the one before; the number of
+    begins so far names it. Large sources are walked in slices. Pins are made distinct before they
+    are gathered."""
+    rows = snapshots.select("manifest_id", *SOURCE, "start_time", "end_time", "root_oid", "pins", F.struct("root_oid").alias("_root"))
+    seen = running_within(rows, SOURCE, ORDER, lasts={"_before": "_root"}, before=True)
+    marked = materialise(seen.select("*", (F.col("_before").isNull() | ~F.col("_before").eqNullSafe(F.col("_root"))).cast("int").alias("_new")).drop("_root", "_before"), "runs")
+    run = materialise(running_within(marked, SOURCE, ORDER, sums={"_run": "_new"}), "runs")
+    at = F.struct("start_time", "end_time", "manifest_id")
+    sizes = run.groupBy(*SOURCE, "_run", "root_oid").agg(F.min(at)["start_time"].alias("first_start"), F.max(at)["start_time"].alias("last_start"), F.count(F.lit(1)).alias("n"))
+    pins = run.select(*SOURCE, "_run", F.explode("pins").alias("_p")).distinct().groupBy(*SOURCE, "_run").agg(F.array_sort(F.collect_list("_p")).alias("pins"))
+    both = null_safe(sizes, pins, [*SOURCE, "_run"], "left")
+    return both.select(*SOURCE, "root_oid", "first_start", "last_start", "n", F.coalesce("pins", F.array().cast("array<string>")).alias("pins"))
 
 
 def unique_roots(snapshots: DataFrame) -> DataFrame:

@@ -43,7 +43,7 @@ def wn01_retention_reasons(t):
 
 @q(sql(SN, *_REASONS, "SELECT manifest_id FROM reasons WHERE reason = 'incomplete'"))
 def wn02_incomplete_kept(t):
-    return S.retention_reasons(t.snapshots, KEEP).filter("reason = 'incomplete'").select("manifest_id")
+    return S.incomplete_kept(t.snapshots.select("manifest_id", *SOURCE, "start_time", "end_time", "complete")).select("manifest_id")
 
 
 @q(sql(SN, *_REASONS, "SELECT manifest_id FROM sn WHERE manifest_id NOT IN (SELECT manifest_id FROM reasons) AND coalesce(len(pins), 0) = 0"))
@@ -93,7 +93,13 @@ _RUNS = f"""r AS (SELECT *, sum(b) OVER (PARTITION BY {SRC} ORDER BY start_time
 
 @q(sql(SN, _RUNS, f"SELECT {SRC}, root_oid, first(start_time ORDER BY start_time NULLS FIRST, end_time NULLS FIRST, manifest_id) first_start, last(start_time ORDER BY start_time NULLS FIRST, end_time NULLS FIRST, manifest_id) last_start, count(*) n FROM r GROUP BY {SRC}, run, root_oid"))
 def ag16_identical_runs(t):
-    return S.identical_runs(t.snapshots)
+    return S.identical_runs(t.snapshots).drop("pins")
+
+
+@q(sql(SN, _RUNS, f"SELECT {SRC}, root_oid, first(start_time ORDER BY start_time NULLS FIRST, end_time NULLS FIRST, manifest_id) begins, count(*) n, coalesce(list_sort(list_distinct(flatten(list(pins) FILTER (WHERE pins IS NOT NULL)))), []) pins FROM r GROUP BY {SRC}, run, root_oid"))
+def ag16_runs_with_pins(t):
+    """The runs with the pins of all their snapshots."""
+    return S.identical_runs(t.snapshots).select(*SOURCE, "root_oid", F.col("first_start").alias("begins"), "n", "pins")
 
 
 @q(sql(SN, "SELECT root_oid, min_by(manifest_id, (coalesce(start_time, timestamp '0001-01-01'), coalesce(end_time, timestamp '0001-01-01'), manifest_id)) manifest_id, count(*) n, coalesce(list_sort(list_distinct(flatten(list(pins) FILTER (WHERE pins IS NOT NULL)))), []) pins FROM sn GROUP BY 1"))

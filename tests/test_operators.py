@@ -132,47 +132,42 @@ def test_sync(spark):
 SNAP = "manifest_id string, host_name string, user_name string, source_path string, start_time timestamp_ntz, end_time timestamp_ntz, complete boolean, root_oid string, pins array<string>"
 
 
+def months_before(t, n):
+    m = t.year * 12 + t.month - 1 - n
+    return dt.datetime(m // 12, m % 12 + 1, 1) + (t - dt.datetime(t.year, t.month, 1))
+
+
+PERIODS = {
+    "annual": (lambda t: f"{t:%Y}", lambda t, n: months_before(t, 12 * n)),
+    "monthly": (lambda t: f"{t:%Y-%m}", months_before),
+    "weekly": (lambda t: "%04d-%02d" % t.isocalendar()[:2], lambda t, n: t - dt.timedelta(weeks=n)),
+    "daily": (lambda t: f"{t:%Y-%m-%d}", lambda t, n: t - dt.timedelta(days=n)),
+    "hourly": (lambda t: f"{t:%Y-%m-%d %H}", lambda t, n: t - dt.timedelta(hours=n)),
+}
+
+
 def model(rows, keep):
-    """Retention decided one snapshot after the other, newest first."""
-    out = set()
-    newest = max((r[4] for r in rows if r[6]), default=None)
-    order = sorted(rows, key=lambda r: (r[4], r[5], r[0]), reverse=True)
-    top = max(r[4] for r in rows)
-    limit = dict(keep)
-    if not sum(v or 0 for v in keep.values()):
-        limit["latest"] = 10**9
-
-    def back(months):
-        m = newest.year * 12 + newest.month - 1 - months
-        return dt.datetime(m // 12, m % 12 + 1, 1) + (newest - newest.replace(day=1, hour=0, minute=0, second=0))
-
-    seen, count = set(), {}
-    for i, r in enumerate(order):
-        if not r[6]:
+    """The rules as sets: per kind the newest snapshot of each period since the cut-off, numbered
+    from the newest; a week named like a kept month is left out; incomplete ones that lead."""
+    key = lambda r: (r[4], r[5], r[0])
+    done = sorted((r for r in rows if r[6]), key=key)
+    first_n = lambda rs, n: [r[0] for r in sorted(rs, key=key, reverse=True)[:n]]
+    latest = keep.get("latest") if any(keep.values()) else len(rows)
+    got = {"latest": first_n(done, latest or 0)}
+    months = set()
+    for kind, (name, cut) in PERIODS.items():
+        if keep.get(kind) is None or not done:
             continue
-        t = r[4]
-        iso = t.isocalendar()
-        cases = [("latest", str(i), dt.datetime.min), ("annual", f"{t:%Y}", None), ("monthly", f"{t:%Y-%m}", None), ("weekly", f"{iso[0]:04d}-{iso[1]:02d}", None), ("daily", f"{t:%Y-%m-%d}", None), ("hourly", f"{t:%Y-%m-%d %H}", None)]
-        for kind, pid, cut in cases:
-            n = limit.get(kind)
-            if n is None:
-                continue
-            if cut is None:
-                cut = {"annual": lambda n=n: back(12 * n), "monthly": lambda n=n: back(n), "weekly": lambda n=n: newest - dt.timedelta(7 * n), "daily": lambda n=n: newest - dt.timedelta(n), "hourly": lambda n=n: newest - dt.timedelta(hours=n)}[kind]()
-            if t < cut or pid in seen:
-                continue
-            if count.get(kind, 0) < n:
-                seen.add(pid)
-                count[kind] = count.get(kind, 0) + 1
-                out.add((r[0], f"{kind}-{count[kind]}"))
-    for i, r in enumerate(order):
-        if r[6]:
-            break
-        if top - r[4] < dt.timedelta(hours=4) or i < 3:
-            out.add((r[0], "incomplete"))
-        else:
-            break
-    return out
+        newest_of = {name(r[4]): r for r in done if r[4] >= cut(max(x[4] for x in done), keep[kind])}
+        if kind == "weekly":
+            newest_of = {p: r for p, r in newest_of.items() if p not in months}
+        got[kind] = first_n(newest_of.values(), keep[kind])
+        if kind == "monthly":
+            months = {p for p, r in newest_of.items() if r[0] in got[kind]}
+    lead = [r for r in rows if not r[6] and all(key(r) > key(d) for d in done)]
+    top, few = max(r[4] for r in rows), set(first_n(lead, 3))
+    out = {(m, f"{kind}-{i}") for kind, ms in got.items() for i, m in enumerate(ms, 1)}
+    return out | {(r[0], "incomplete") for r in lead if r[0] in few or top - r[4] < dt.timedelta(hours=4)}
 
 
 @pytest.mark.parametrize("seed", range(6))
@@ -196,10 +191,10 @@ def test_retention_against_the_loop(spark, seed):
 
 
 def test_tags_and_pins(spark):
-    rows = [("a", t) for t in ("latest-1", "daily-3", "latest-2", "daily-2", "zrogue", "a-rogue", "daily-7")]
+    rows = [("a", t) for t in ("hourly-4", "hourly-5", "weekly-9", "by hand", "hourly-6", "weekly-1", "two-words")]
     got = {r.tag for r in S.compact_tags(spark.createDataFrame(rows, "k string, t string"), "k", "t").collect()}
-    assert got == {"latest-1..2", "daily-2..3", "daily-7", "zrogue", "a-rogue"}
-    assert column(spark, [["z", "x", "a", "b", "d", "b", "z"], None], "array<string>", S.compact_pins) == [["a", "b", "d", "x", "z"], None]
+    assert got == {"hourly-4..6", "weekly-1", "weekly-9", "by hand", "two-words"}
+    assert column(spark, [["keep", "audit", "keep", "2024"], None], "array<string>", S.compact_pins) == [["2024", "audit", "keep"], None]
     assert column(spark, [["b"], None], "array<string>", lambda c: S.updated_pins(c, ["a"], ["b"])) == [["a"], ["a"]]
 
 
@@ -207,7 +202,7 @@ def test_runs_previous_and_unique(spark):
     t = lambda h: T0 + dt.timedelta(hours=h)
     rows = [(f"m{i}", "h", None, "/p", t(i), t(i), c, r, ["x"]) for i, (r, c) in enumerate([("a", True), ("a", True), ("b", True), ("a", True), (None, False), (None, False)])]
     df = spark.createDataFrame(rows, SNAP)
-    assert sorted((r.root_oid or "", r.n) for r in S.identical_runs(df).collect()) == [("", 2), ("a", 1), ("a", 2), ("b", 1)]
+    assert sorted((r.root_oid or "", r.n, r.pins) for r in S.identical_runs(df).collect()) == [("", 2, ["x"]), ("a", 1, ["x"]), ("a", 2, ["x"]), ("b", 1, ["x"])]
     assert {r.manifest_id for r in S.previous_manifests(df).collect()} == {"m3", "m4", "m5"}
     assert {r.manifest_id: r.previous_id for r in S.with_previous(df).collect()}["m2"] == "m1"
     assert {r.root_oid: (r.manifest_id, r.n) for r in S.unique_roots(df).collect()} == {"a": ("m0", 3), "b": ("m2", 1), None: ("m4", 2)}
