@@ -1,6 +1,8 @@
-"""Ignore patterns as regular expressions: ``*``, ``**``, ``?``, ``[a-z]``, ``[!..]``, classes, ``!``
-negation, a trailing ``/`` for folders only, ``\\`` escapes. A pattern without an inner slash
-matches at any depth. Compiled once on the driver and matched by ``rlike`` in the JVM."""
+"""Ignore patterns as regular expressions, by the published rules of gitignore: ``*``, ``**``, ``?``,
+``[a-z]``, ``[!..]``, classes, ``!`` negation, a trailing ``/`` for folders only, ``\\`` escapes. A
+pattern without a slash before its end matches at any depth. A pattern is cut at its slashes, each
+segment is translated by itself and the results are joined. Compiled once, matched by ``rlike`` in
+the JVM."""
 
 from __future__ import annotations
 
@@ -14,6 +16,12 @@ from pyspark.sql import functions as F
 # Character classes.
 CLASSES = {"alnum": r"\p{L}\p{Nd}", "alpha": r"\p{L}", "ascii": r"\x00-\x7f", "blank": r"\p{Zs}\t", "cntrl": r"\p{Cc}", "digit": r"\p{Nd}", "graph": r"\p{L}\p{M}\p{N}\p{P}\p{S}", "lower": r"\p{Ll}", "print": r"\p{L}\p{M}\p{N}\p{P}\p{S} ", "punct": r"\p{P}\p{S}", "space": r"\s", "upper": r"\p{Lu}", "xdigit": r"A-Fa-f\p{Nd}"}
 
+#: What a segment consists of, and what a set does.
+_PART = re.compile(r"(?P<stars>\*+)|(?P<one>\?)|\[(?P<no>!?)(?P<set>\]?(?:\[:\w*:\]|\\.|[^\\\]])*)\]|\\(?P<escaped>.)|(?P<plain>[^\\\[])", re.S)
+_MEMBER = re.compile(r"\[:(?P<name>\w*):\]|(?P<low>\\?.)(?:-(?P<high>\\?[^\]]))?", re.S)
+#: Zero or more whole folders, and a pattern for nothing.
+ANY_DEPTH, NEVER = "(?:[^/]+/)*", "(?!)"
+
 
 @dataclass(frozen=True)
 class Pattern:
@@ -29,90 +37,75 @@ class Pattern:
         return ~hit if self.negated else hit
 
 
-def _literal(ch: str) -> str:
-    return re.escape(ch) if not ch.isalnum() and ch not in "/_" else ch
-
-
-def _set(text: str, at: int) -> tuple[str, int]:
-    """The set that begins after ``[`` at ``at`` and the place behind its ``]``."""
-    body, negated = "", text[at : at + 1] == "!"
-    i = at + negated
-    while i < len(text) and text[i] != "]":
-        if text.startswith("[:", i) and ":]" in text[i + 2 :]:
-            end = text.index(":]", i + 2)
-            name = text[i + 2 : end].lower()
-            if name not in CLASSES:
-                raise ValueError(f"unknown class [:{name}:] in {text!r}")
-            body += CLASSES[name]
-            i = end + 2
-            continue
-        if text[i] == "\\":
-            i += 1
-            if i >= len(text):
-                raise ValueError(f"nothing after the backslash in {text!r}")
-        first = text[i]
-        if text[i + 1 : i + 2] == "-" and text[i + 2 : i + 3] not in ("", "]"):
-            j = i + 2 + (text[i + 2] == "\\")
-            body += f"{re.escape(first)}-{re.escape(text[j])}"
-            i = j + 1
+def _quoted(text: str) -> str:
+    return "".join(c if c.isalnum() or c in "/_" else "\\" + c for c in text)
+
+
+def _members(body: str, pattern: str) -> str:
+    out = []
+    for m in _MEMBER.finditer(body):
+        if m["low"] is not None:
+            out.append("-".join(_quoted(c[-1]) for c in (m["low"], m["high"]) if c))
+        elif m["name"] in CLASSES:
+            out.append(CLASSES[m["name"]])
+        else:
+            raise ValueError(f"unknown class [:{m['name']}:] in {pattern!r}")
+    return "".join(out)
+
+
+def _segment(text: str, pattern: str) -> str:
+    """One name of a path: nothing in it matches a slash."""
+    out, at = [], 0
+    while at < len(text):
+        m = _PART.match(text, at)
+        if not m:
+            raise ValueError(f"cannot read {text[at:]!r} in {pattern!r}")
+        if m["stars"]:
+            out.append("[^/]*")
+        elif m["one"]:
+            out.append("[^/]")
+        elif m["set"] is not None:
+            out.append(f"[^/{_members(m['set'], pattern)}]" if m["no"] else f"[{_members(m['set'], pattern)}]")
         else:
-            body += re.escape(first)
-            i += 1
-    if i >= len(text):
-        raise ValueError(f"no end of the set in {text!r}")
-    return ("[^" if negated else "[") + body + "]", i + 1
+            out.append(_quoted(m["escaped"] or m["plain"]))
+        at = m.end()
+    return "".join(out)
 
 
 def compiled(pattern: str, *, base: str = "", ignore_case: bool = False) -> Pattern:
     """The rule of one line. ``base`` is the folder the pattern belongs to; paths have ``/`` in
-    front of their first name."""
-    text = pattern.strip() if len(pattern) > 2 and pattern[-2] != "\\" else pattern.lstrip()
-    negated = text.startswith("!")
-    text = text[negated:]
-    rooted = text.startswith("/")
-    out = "".join(_literal(c) for c in (base[:-1] if len(base) > 1 and base.endswith("/") else base)) if text else ""
-    if out and not rooted:
-        out += "/"
-    folders_only = len(text) > 0 and text.endswith("/")
-    if not rooted and text not in ("**", ""):
-        slash = text.find("/")
-        if slash == -1 or slash == len(text) - 1:
-            out += "(?:.*/)?"
-        elif not base:
-            out += "/"
-    text = text[:-1] if folders_only else text
-    i = 0
-    while i < len(text):
-        ch = text[i]
-        if ch == "\\":
-            if i + 1 >= len(text):
-                raise ValueError(f"nothing after the backslash in {pattern!r}")
-            out += _literal(text[i + 1])
-            i += 2
-        elif ch == "?":
-            out += "[^/]"
-            i += 1
-        elif ch == "*":
-            j = i
-            while j < len(text) and text[j] == "*":
-                j += 1
-            before = text[i - 1] if i else ""
-            double = j - i > 1 and (before == "" or before == "/" and (j == len(text) or text[j] == "/"))
-            if not double:
-                out += "[^/]*"
-            elif text[j : j + 1] == "/":
-                out += "(?:.*/)?"
-                j += 1
-            else:
-                out += ".*"
-            i = j
-        elif ch == "[":
-            part, i = _set(text, i + 1)
-            out += part
+    front of their first name. Blanks around a pattern don't count, but for one behind a backslash."""
+    line = pattern.lstrip()
+    text = line.rstrip()
+    if text.endswith("\\") and text != line:
+        text += line[len(text)]
+    negated, text = text.startswith("!"), text.removeprefix("!")
+    folders_only, body = text.endswith("/"), text.removesuffix("/")
+    names = body.removeprefix("/").split("/")
+    free = "/" not in body
+    regex = _quoted(base.rstrip("/")) + "/" + (ANY_DEPTH if free else "")
+    for i, name in enumerate(names):
+        last = i == len(names) - 1
+        if name == "**":
+            regex += ".+" if last else ANY_DEPTH
         else:
-            out += _literal(ch)
-            i += 1
-    return Pattern(f"(?s{'i' if ignore_case else ''})^(?:{out})$", negated, folders_only)
+            regex += _segment(name, pattern) + ("" if last else "/")
+    if not body:
+        regex = NEVER
+    return Pattern(f"(?s{'i' if ignore_case else ''})^(?:{regex})$", negated, folders_only)
+
+
+def parsed(text: str | None, base: str = "") -> list[Pattern]:
+    """Rules of an ignore file of the folder ``base`` (FI12): one a line, without blank lines and
+    comments; a line that can't be read is left out."""
+    out = []
+    for line in (text or "").splitlines():
+        if line.strip() and not line.startswith("#"):
+            try:
+                out.append(compiled(line, base=base))
+            except ValueError:
+                continue
+    return out
 
 
 def ignored(rules: Sequence[Pattern], path: Column, is_folder: Column, before: Column | None = None) -> Column:

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from moraine.functions import scalars as X
 from moraine.functions import wildcards as W
-from moraine.operators import nested, trees
+from moraine.operators import listing, nested, trees
 from moraine.operators import policies as P
 from moraine.operators.history import SOURCE, usable_snapshots
 from moraine.operators.joins import disambiguated
 from moraine.operators.orphans import object_key
-from moraine.operators.ranking import neighbour
+from moraine.operators.ranking import neighbour, null_safe
 from moraine.operators.state import compacted_manifests, state_rows
 from moraine.plans.base import BL, CW, DI, EN, LV, PO, SN, Registry, sql
 from moraine.sources import sinks
@@ -291,6 +291,49 @@ def fi12_folder_rules(t):
     return t.snapshot_entries.filter("entry_path is not null").filter(~W.ignored(rules, path, no)).groupBy("manifest_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+# Rules of policies as ignore files at the roots of their sources: SQL for the forms that occur.
+_RX = r"'^' || CASE WHEN contains(rtrim(b, '/'), '/') THEN '/' ELSE '/(?:[^/]+/)*' END || replace(replace(replace(replace(replace(ltrim(rtrim(b, '/'), '/'), '.', '\.'), '**/', chr(1)), '*', '[^/]*'), '?', '[^/]'), chr(1), '(?:[^/]+/)*') || '$'"
+_RULE = f"""pk AS (SELECT host_name, user_name, source_path, min(policy_id) policy_id FROM po GROUP BY ALL),
+ru AS (SELECT sn.manifest_id, leaf_pos, leaf_text, b LIKE '%/' dirs, leaf_text LIKE '!%' neg, {_RX} rx FROM (SELECT *, ltrim(trim(leaf_text), '!') b FROM lv WHERE field_path = 'files.ignore') lv JOIN pk USING (policy_id)
+  JOIN sn ON sn.host_name IS NOT DISTINCT FROM pk.host_name AND sn.user_name IS NOT DISTINCT FROM pk.user_name AND sn.source_path IS NOT DISTINCT FROM pk.source_path WHERE trim(b) <> ''),
+ls AS (SELECT DISTINCT manifest_id, '/' || entry_path path FROM snapshot_entries WHERE manifest_id IS NOT NULL AND entry_path IS NOT NULL),
+nd AS (SELECT manifest_id, path, array_to_string(string_split(path, '/')[1:i], '/') node, i < len(string_split(path, '/')) folder FROM (SELECT *, unnest(range(2, len(string_split(path, '/')) + 1)) i FROM ls)),
+vd AS (SELECT nd.manifest_id, path, node, list_reduce(list_prepend(0, list(CASE WHEN regexp_matches(node, rx) AND (folder OR NOT dirs) THEN CASE WHEN neg THEN 3 ELSE 1 END ELSE 2 END ORDER BY leaf_pos, rx, neg)), lambda s, e: CASE WHEN s = 0 AND e = 1 THEN 1 WHEN s = 1 AND e = 3 THEN 0 ELSE s END) v FROM nd JOIN ru USING (manifest_id) GROUP BY ALL)"""
+
+
+@q(sql(SN, PO, LV, _RULE, "SELECT manifest_id, count(*) n FROM ls WHERE (manifest_id, path) NOT IN (SELECT (manifest_id, path) FROM vd WHERE v = 1) GROUP BY 1"))
+def fi12_policy_rules(t):
+    """Entries left by the ignore lists of the policies of their sources, as ignore files at the
+    root; of several policies for one source the one of least id counts."""
+    pol = _policies(t).groupBy(*SOURCE).agg(F.min("policy_id").alias("policy_id"))
+    leaves = nested.policy_leaves(nested.policy_nodes(t.policies)).filter("field_path = 'files.ignore'")
+    at = null_safe(t.snapshots.select("manifest_id", *SOURCE), pol, SOURCE, "inner").select("manifest_id", "policy_id")
+    lines = at.join(leaves, "policy_id").select(F.col("manifest_id").alias("tree"), F.lit("").alias("folder"), F.col("leaf_pos").alias("place"), F.col("leaf_text").alias("line"))
+    e = t.snapshot_entries.filter("manifest_id is not null and entry_path is not null").select(F.col("manifest_id").alias("tree"), F.concat(F.lit("/"), "entry_path").alias("path"), F.lit(False).alias("is_folder")).distinct()
+    return listing.without_ignored(e, listing.folder_rules(lines)).groupBy(F.col("tree").alias("manifest_id")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _tree_entries(t):
+    e = t.snapshot_entries.filter("manifest_id is not null and entry_path is not null")
+    return e.select(F.col("manifest_id").alias("tree"), F.concat(F.lit("/"), "entry_path").alias("path"), (F.col("entry_type") == "d").alias("is_folder"), F.col("group_id").alias("device"), "file_size").distinct()
+
+
+@q("WITH e AS (SELECT DISTINCT manifest_id, entry_path, entry_type, group_id, file_size FROM snapshot_entries WHERE manifest_id IS NOT NULL AND entry_path IS NOT NULL), r AS (SELECT manifest_id, min(group_id) root FROM e GROUP BY 1) SELECT manifest_id, count(*) n FROM e JOIN r USING (manifest_id) WHERE group_id = root OR group_id IS NULL OR root IS NULL GROUP BY 1")
+def fi11_one_device(t):
+    """Entries on the device of their listing's root; ``group_id`` stands for the device, and the
+    root has the least. Listings have no rows of folders, so no mount takes others with it."""
+    e = _tree_entries(t)
+    return listing.on_root_device(e, e.groupBy("tree").agg(F.min("device").alias("root_device"))).groupBy(F.col("tree").alias("manifest_id")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@q("WITH e AS (SELECT DISTINCT manifest_id, '/' || entry_path path, entry_type, group_id, file_size FROM snapshot_entries WHERE manifest_id IS NOT NULL AND entry_path IS NOT NULL), m AS (SELECT DISTINCT manifest_id, regexp_replace(path, '/[^/]*$', '') folder FROM e WHERE path LIKE '%.db') SELECT manifest_id, count(*) n FROM e WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.manifest_id = e.manifest_id AND starts_with(e.path, m.folder || '/')) GROUP BY 1")
+def fi11_cache_folders(t):
+    """Entries outside of cache folders; a file ``*.db`` stands for a valid marker of its folder."""
+    e = _tree_entries(t)
+    marked = e.filter(F.col("path").endswith(".db")).select("tree", F.regexp_replace("path", "/[^/]*$", "").alias("folder")).distinct()
+    return listing.without_below(e, marked).groupBy(F.col("tree").alias("manifest_id")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @q("SELECT chosen, count(*) n FROM (SELECT CASE WHEN file_size < 1000 THEN '' WHEN file_size > 1000000 THEN '' WHEN ext IN ('.db') THEN 'zstd' WHEN ext IN ('.mkv', '.tar') THEN '' ELSE 'zstd' END chosen FROM (SELECT regexp_extract(entry_path, '(\\.[^./]*)$', 1) ext, file_size FROM snapshot_entries WHERE entry_path IS NOT NULL AND file_size IS NOT NULL)) GROUP BY 1")
 def fi13_compressor(t):
     """Compressor by size and extension; a list of extensions to compress doesn't exclude others."""

@@ -55,7 +55,7 @@ if __name__ == "__main__":
     import __spark_entry__ as E
     from pyspark.sql import SparkSession
 
-    spark = SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "6g").getOrCreate()
+    spark = SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "6g").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     con = views(sys.argv[1])
     qs, sql = E.queries(), E.oracle_sql()
