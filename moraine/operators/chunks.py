@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moraine.operators.ranking import running_within
+from moraine.session import materialise
 
 
 def fixed_chunks(df: DataFrame, data: str, size: int) -> DataFrame:
@@ -175,6 +176,35 @@ def objects(chunks: DataFrame, key: str) -> DataFrame:
     return per.select(key, oid.alias("object_id"), F.aggregate("_c", F.lit(0).cast("bigint"), lambda a, c: a + c["length"]).alias("length"), F.when(F.size("_c") > 1, table).alias("entries"))
 
 
+#: Most entries of one seek table that is stored as one content; a longer one is a tree of them.
+FANOUT = 4_096
+
+
+def seek_trees(chunks: DataFrame, key: str, fanout: int = FANOUT) -> tuple[DataFrame, DataFrame]:
+    """Objects of any size (OB01): ``objects`` with ``key, object_id, length, depth`` and ``links``
+    with ``node, place, start, length, child``, one row per entry of a seek table.
+
+    An object of one chunk is that content. Else its chunks are listed in seek tables of at most
+    ``fanout`` entries, these in others, and so on up to one; the id has an ``I`` per level. No row
+    holds more than ``fanout`` entries, so a huge object is spread over tasks like any other.
+    ``chunks`` has ``key, chunk_no`` (from 0), ``start, length, content_id``.
+    """
+    cols = [F.col("chunk_no").cast("bigint").alias("place"), F.col("start").cast("bigint").alias("start"), F.col("length").cast("bigint").alias("length"), F.col("content_id").alias("child")]
+    rows = materialise(chunks.select(key, *cols, F.lit(0).alias("depth")), "seek")
+    most, links = (rows.agg(F.max("place")).first()[0] or 0) + 1, None
+    while most > 1 or links is None:
+        most = -(-most // fanout)
+        per = rows.groupBy(key, F.floor(F.col("place") / fanout).alias("_g")).agg(F.array_sort(F.collect_list(F.struct("place", "start", "length", "child"))).alias("_c"), F.max("depth").alias("depth"))
+        whole = (F.col("_g") == 0) & (F.size("_c") == 1)  # the only one of its object: nothing to list
+        name = F.concat(F.lit("x"), F.sha2(F.array_join(F.transform("_c", lambda c: c["child"]), ","), 256))
+        per = materialise(per.withColumns({"node": F.when(~whole, name)}), "seek")
+        more = per.filter("node is not null").select("node", F.explode("_c").alias("c")).select("node", (F.col("c.place") % fanout).alias("place"), "c.start", "c.length", "c.child")
+        links = more if links is None else links.unionByName(more)
+        total = F.aggregate("_c", F.lit(0).cast("bigint"), lambda a, c: a + c["length"])
+        rows = per.select(key, F.col("_g").cast("bigint").alias("place"), F.col("_c")[0]["start"].alias("start"), total.alias("length"), F.coalesce("node", F.col("_c")[0]["child"]).alias("child"), (F.col("depth") + F.col("node").isNotNull().cast("int")).alias("depth"))
+    return rows.select(key, F.concat(F.repeat(F.lit("I"), F.col("depth")), "child").alias("object_id"), "length", "depth"), links
+
+
 def chunk_at(chunks: DataFrame, offset: Column) -> DataFrame:
     """The chunk an offset lies in (OB03)."""
     return chunks.filter((F.col("start") <= offset) & (offset < F.col("start") + F.col("length")))

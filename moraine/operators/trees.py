@@ -14,8 +14,6 @@ from moraine.session import materialise, scratch_path
 
 #: Entries hashed together in a fingerprint.
 HASH_RUN = 4_096
-#: Folders below folders that a walk follows.
-MAX_DEPTH = 1_000
 
 
 def edges(directories: DataFrame) -> DataFrame:
@@ -24,46 +22,99 @@ def edges(directories: DataFrame) -> DataFrame:
     return e.select("dir_oid", "e.entry_name", "e.entry_type", "e.object_id", object_key(F.col("e.object_id")).alias("key"), "e.file_size", "e.file_mode", "e.mod_time", "e.user_id", "e.group_id")
 
 
-def reachable_folders(roots: DataFrame, edge: DataFrame) -> DataFrame:
-    """Distinct folder keys below the roots, the roots included (GR01, JN04).
+def walked(starts: DataFrame, steps: DataFrame) -> DataFrame:
+    """Distinct ``key`` reachable from ``starts`` (``key``) over ``steps`` (``source, target``), the
+    starts included.
 
-    Level by level: the new folders of a level are those not seen before, written below the
-    shared folder so that the lineage stays short. Each folder is expanded once, however many
-    snapshots share it, and cycles end by themselves.
+    Level by level: the new keys of a level are those not seen before, written below the shared
+    folder so that the lineage stays short. Each key is expanded once, and cycles end by
+    themselves. ``steps`` is read once per level: pass a written table.
     """
-    down = edge.filter("entry_type = 'd' and key is not null").select("dir_oid", "key").distinct()
-    front = materialise(roots.select(F.col("key")).filter("key is not null").distinct(), "walk")
-    seen = front
-    for _ in range(MAX_DEPTH):
-        nxt = front.join(down, front["key"] == down["dir_oid"]).select(down["key"]).distinct().join(seen, "key", "left_anti")
+    front = materialise(starts.select("key").filter("key is not null").distinct(), "walk")
+    seen, down = front, steps.filter("source is not null and target is not null")
+    while True:
+        nxt = front.join(down, front["key"] == down["source"]).select(F.col("target").alias("key")).distinct().join(seen, "key", "left_anti")
         front = materialise(nxt, "walk")
         if front.isEmpty():
             return seen
         seen = seen.unionByName(front)
-    raise ValueError(f"folders nested deeper than {MAX_DEPTH}")
 
 
-def reachable_contents(folders: DataFrame, edge: DataFrame) -> DataFrame:
-    """Distinct content keys of the files and links in the folders (JN04)."""
+def reachable_folders(roots: DataFrame, edge: DataFrame) -> DataFrame:
+    """Distinct folder keys below the roots, the roots included (GR01, JN04)."""
+    down = edge.filter("entry_type = 'd' and key is not null").select(F.col("dir_oid").alias("source"), F.col("key").alias("target")).distinct()
+    return walked(roots, materialise(down, "folders"))
+
+
+def backing_contents(objects: DataFrame, links: DataFrame) -> DataFrame:
+    """Distinct content keys behind objects (GR04): of an indirect one its seek tables of all levels
+    and the chunks they list, of any other itself. ``objects`` has ``key``, ``links`` the entries
+    of seek tables (``node, child``). A content without entries in ``links`` has nothing behind it."""
+    steps = links.select(F.col("node").alias("source"), object_key(F.col("child")).alias("target")).distinct()
+    return walked(objects, materialise(steps, "links"))
+
+
+def reachable_contents(folders: DataFrame, edge: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """Distinct content keys of the files and links in the folders (JN04), with all that lies behind
+    indirect objects where their seek tables are given."""
     files = edge.filter("entry_type in ('f', 's') and key is not null")
-    return files.join(folders.select(F.col("key").alias("dir_oid")), "dir_oid", "left_semi").select("key").distinct()
+    keys = files.join(folders.select(F.col("key").alias("dir_oid")), "dir_oid", "left_semi").select("key").distinct()
+    return keys if links is None else backing_contents(keys, links)
+
+
+def verified(objects: DataFrame, links: DataFrame, index: DataFrame, packs: DataFrame) -> DataFrame:
+    """State of each object by its worst content (JN06): ``no content``, ``deleted content``, ``no
+    pack`` or ``ok``. ``objects`` has ``object_id``; every content behind it is looked up, seek
+    tables included. ``index`` has ``content_id, live, pack_blob_id``, ``packs`` ``blob_id``."""
+    start = objects.select("object_id", object_key(F.col("object_id")).alias("key")).filter("key is not null").distinct()
+    steps = materialise(links.select("node", object_key(F.col("child")).alias("child")).distinct(), "links")
+    level = materialise(start, "verify")
+    every = level
+    while True:
+        nxt = level.join(steps, level["key"] == steps["node"]).select("object_id", F.col("child").alias("key")).distinct().join(every, ["object_id", "key"], "left_anti")
+        level = materialise(nxt, "verify")
+        if level.isEmpty():
+            break
+        every = every.unionByName(level)
+    c = index.select(F.col("content_id").alias("key"), "live", F.col("pack_blob_id").alias("blob_id"), F.lit(True).alias("_c"))
+    b = packs.select("blob_id", F.lit(True).alias("_b")).distinct()
+    looked = every.select("key").distinct().join(c, "key", "left").join(b, "blob_id", "left")
+    bad = looked.select("key", F.when(F.col("_c").isNull(), 3).when(~F.col("live"), 2).when(F.col("_b").isNull(), 1).otherwise(0).alias("_s"))
+    worst = every.join(bad, "key").groupBy("object_id").agg(F.max("_s").alias("_s"))
+    names = F.array(*[F.lit(x) for x in ("ok", "no pack", "deleted content", "no content")])
+    return worst.select("object_id", F.get(names, F.col("_s")).alias("state"))
+
+
+def resolved(paths: DataFrame, edge: DataFrame) -> DataFrame:
+    """What each path of names below a root stands for (GR02): ``root, path, entry_type, key``.
+    ``paths`` has ``root`` (a folder key) and ``path`` (names joined with slashes; empty names are
+    skipped, no name is the root itself). One join on folder and name per level, for the paths
+    asked for only; a path that isn't there has no row, one whose name is there twice has two."""
+    names = F.filter(F.split("path", "/"), lambda x: x != "")
+    level = materialise(paths.filter("root is not null and path is not null").distinct().select("root", "path", names.alias("_names"), F.lit("d").alias("entry_type"), F.col("root").alias("key")), "resolve")
+    deepest = level.agg(F.max(F.size("_names"))).first()[0] or 0
+    done = level.filter("size(_names) = 0")
+    for i in range(deepest):
+        at = level.filter((F.size("_names") > i) & (F.col("entry_type") == "d")).select("root", "path", "_names", F.col("key").alias("dir_oid"), F.get("_names", F.lit(i)).alias("entry_name"))
+        level = materialise(at.join(edge.select("dir_oid", "entry_name", "entry_type", "key").distinct(), ["dir_oid", "entry_name"]).select("root", "path", "_names", "entry_type", "key"), "resolve")
+        done = done.unionByName(level.filter(F.size("_names") == i + 1))
+    return done.drop("_names")
 
 
 def paths_below(roots: DataFrame, edge: DataFrame) -> DataFrame:
     """``root, path, entry_type, key, file_size, depth`` of every entry below each root (GR02,
-    GR05): a root is listed once however many snapshots have it."""
-    level = roots.select(F.col("key").alias("root"), F.col("key").alias("at"), F.lit("").alias("path"), F.lit(0).alias("depth")).filter("root is not null").distinct()
+    GR05): a root is listed once however many snapshots have it. A folder that lies in itself is
+    listed but not entered again, so every listing ends. ``edge`` is read once per level: pass a
+    written table."""
+    level = roots.select(F.col("key").alias("root"), F.col("key").alias("at"), F.lit("").alias("path"), F.lit(0).alias("depth"), F.array("key").alias("_on")).filter("root is not null").distinct()
     out = None
-    for _ in range(MAX_DEPTH):
-        rows = level.join(edge, level["at"] == edge["dir_oid"]).select("root", F.concat("path", F.lit("/"), "entry_name").alias("path"), "entry_type", "key", "file_size", (F.col("depth") + 1).alias("depth"))
+    while True:
+        rows = level.join(edge, level["at"] == edge["dir_oid"]).select("root", F.concat("path", F.lit("/"), "entry_name").alias("path"), "entry_type", "key", "file_size", (F.col("depth") + 1).alias("depth"), "_on")
         rows = materialise(rows, "paths")
         if rows.isEmpty():
-            break
+            return (rows if out is None else out).drop("_on")
         out = rows if out is None else out.unionByName(rows)
-        level = rows.filter("entry_type = 'd' and key is not null").select("root", F.col("key").alias("at"), "path", "depth")
-    else:
-        raise ValueError(f"folders nested deeper than {MAX_DEPTH}")
-    return rows if out is None else out
+        level = rows.filter((F.col("entry_type") == "d") & F.col("key").isNotNull() & ~F.array_contains("_on", F.col("key"))).select("root", F.col("key").alias("at"), "path", "depth", F.array_append("_on", F.col("key")).alias("_on"))
 
 
 def rolled_up(files: DataFrame, keys: Sequence[str], path: str, size: str) -> DataFrame:
@@ -166,7 +217,8 @@ def heights(directories: DataFrame) -> DataFrame:
     down = e.select("dir_oid", object_key(F.col("e.object_id")).alias("key")).distinct()
     down = materialise(down.join(todo.select(F.col("dir_oid").alias("key")), "key", "left_semi"), "heights")
     out = None
-    for h in range(MAX_DEPTH):
+    h = 0
+    while True:
         blocked = down.join(todo.select(F.col("dir_oid").alias("key")), "key", "left_semi").select("dir_oid").distinct()
         ready = materialise(todo.join(blocked, "dir_oid", "left_anti").withColumn("height", F.lit(h)), "heights")
         if ready.isEmpty():
@@ -175,7 +227,7 @@ def heights(directories: DataFrame) -> DataFrame:
             return ready if out is None else out
         out = ready if out is None else out.unionByName(ready)
         todo = materialise(todo.join(ready, "dir_oid", "left_anti"), "heights")
-    raise ValueError(f"folders nested deeper than {MAX_DEPTH}")
+        h += 1
 
 
 def rewritten(directories: DataFrame, drop: Column) -> DataFrame:

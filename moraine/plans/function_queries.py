@@ -9,7 +9,9 @@ from moraine.operators import chunks as K
 from moraine.operators import epochs as E
 from moraine.operators import metrics as M
 from moraine.operators import snapshots as S
+from moraine.operators import trees
 from moraine.operators.joins import as_of_join
+from moraine.operators.orphans import object_key
 from moraine.operators.ranking import running_within
 from moraine.plans.base import BL, CW, SN, Registry, sql
 
@@ -336,6 +338,59 @@ def gr04_backing_contents(t):
     return o.select("doc_id", F.explode(parts).alias("content_id"))
 
 
+# Seek trees of chunks of 256 characters, eight entries a table: long documents have several levels.
+def _seek_sql(levels=6):
+    out = ["c0 AS (SELECT doc_id, unnest(range(0, greatest(1, (length(text) + 255) // 256))) place, text FROM documents WHERE text IS NOT NULL)", "l0 AS (SELECT doc_id, place, sha256(substr(text, place * 256 + 1, 256)) child, 0 AS depth FROM c0)"]
+    for k in range(levels):
+        out.append(f"g{k} AS (SELECT doc_id, place // 8 g, list(child ORDER BY place) cs, max(depth) depth FROM l{k} GROUP BY ALL), n{k} AS (SELECT doc_id, g place, CASE WHEN g = 0 AND len(cs) = 1 THEN NULL ELSE 'x' || sha256(array_to_string(cs, ',')) END node, cs, depth FROM g{k}), l{k + 1} AS (SELECT doc_id, place, coalesce(node, cs[1]) child, depth + (node IS NOT NULL)::INT AS depth FROM n{k})")
+    return out + ["lk AS (" + " UNION ALL ".join(f"SELECT node, unnest(cs) child FROM n{k} WHERE node IS NOT NULL" for k in range(levels)) + ")", f"ob AS (SELECT doc_id, repeat('I', depth) || child object_id, depth FROM l{levels})"]
+
+
+_SEEK = _seek_sql()
+_BACK = "bc(doc_id, k) AS (SELECT doc_id, regexp_replace(object_id, '^I*Z?', '') FROM ob UNION SELECT doc_id, child FROM bc JOIN (SELECT DISTINCT node, child FROM lk) ON node = k)"
+
+
+def _seek(t):
+    c = K.fixed_chunks(t.documents.select("doc_id", "text"), "text", 256)
+    return K.seek_trees(c.select("doc_id", "chunk_no", "start", "length", F.sha2("chunk", 256).alias("content_id")), "doc_id", 8)
+
+
+@q(sql(*_SEEK, "SELECT doc_id, object_id, depth FROM ob"))
+def ob01_seek_trees(t):
+    return _seek(t)[0].select("doc_id", "object_id", "depth")
+
+
+@q(sql(*_SEEK, _BACK, "SELECT DISTINCT k AS key FROM bc").replace("WITH ", "WITH RECURSIVE ", 1))
+def gr04_seek_contents(t):
+    """Contents behind all objects, seek tables of every level included."""
+    objects, links = _seek(t)
+    return trees.backing_contents(objects.select(object_key(F.col("object_id")).alias("key")), links)
+
+
+@q(sql(*_SEEK, _BACK, "us AS (SELECT DISTINCT k FROM bc JOIN documents USING (doc_id) WHERE lang IS NOT NULL)", "SELECT CASE WHEN us.k IS NULL THEN 'unused' ELSE 'in use' END fate, count(*) n FROM (SELECT DISTINCT k FROM bc) a LEFT JOIN us USING (k) GROUP BY 1").replace("WITH ", "WITH RECURSIVE ", 1))
+def jn03_indirect_gc(t):
+    """Contents of documents without a language are unused, unless another document has them; what
+    lies behind the seek tables of the others is in use."""
+    objects, links = _seek(t)
+    keyed = objects.select("doc_id", object_key(F.col("object_id")).alias("key"))
+    every = trees.backing_contents(keyed, links)
+    used = trees.backing_contents(keyed.join(t.documents.filter("lang is not null").select("doc_id"), "doc_id", "left_semi"), links)
+    index = every.select(F.col("key").alias("content_id"), F.lit(True).alias("live"), F.lit(0).cast("bigint").alias("timestamp_seconds"))
+    return trees.gc_classes(index, used, 10**9, 0).groupBy("fate").agg(F.count(F.lit(1)).alias("n"))
+
+
+@q(sql(*_SEEK, _BACK, "lg AS (SELECT DISTINCT sha256(substr(text, 1, 256)) k FROM documents WHERE text IS NOT NULL AND lang IS NULL)", "SELECT state, count(*) n FROM (SELECT object_id, CASE WHEN bool_or(bc.k IN (SELECT k FROM lg)) THEN 'no content' ELSE 'ok' END state FROM ob JOIN bc USING (doc_id) GROUP BY 1) GROUP BY 1").replace("WITH ", "WITH RECURSIVE ", 1))
+def jn06_indirect_verify(t):
+    """Objects verified through their seek tables in a store that lost the first chunks of the
+    documents without a language."""
+    objects, links = _seek(t)
+    lost = t.documents.filter("text is not null and lang is null").select(F.sha2(F.substring("text", 1, 256), 256).alias("key")).distinct()
+    every = trees.backing_contents(objects.select(object_key(F.col("object_id")).alias("key")), links).join(lost, "key", "left_anti")
+    index = every.select(F.col("key").alias("content_id"), F.lit(True).alias("live"), F.lit("p").alias("pack_blob_id"))
+    packs = t.spark.createDataFrame([("p",)], "blob_id string")
+    return trees.verified(objects, links, index, packs).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
+
+
 @q(f"WITH {_CH}, f AS (SELECT cid, min(doc_id) first_doc, any_value(len) len FROM cc GROUP BY 1) SELECT first_doc AS doc_id, count(*) new_contents, sum(len)::BIGINT new_length FROM f GROUP BY 1")
 def ag09_new_chunks(t):
     first = _chunks(t).groupBy("content_id").agg(F.min("doc_id").alias("doc_id"), F.first("length").alias("length"))

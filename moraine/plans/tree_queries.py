@@ -15,6 +15,7 @@ from moraine.operators.orphans import object_key
 from moraine.operators.ranking import neighbour, null_safe
 from moraine.operators.state import compacted_manifests, state_rows
 from moraine.plans.base import BL, CW, DI, EN, LV, PO, SN, Registry, sql
+from moraine.session import materialise
 from moraine.sources import sinks
 
 q = Registry()
@@ -34,8 +35,13 @@ def _roots(t):
     return t.snapshots.filter("root_oid is not null").select(object_key(F.col("root_oid")).alias("key"))
 
 
+def _edges(t):
+    """Entries of all directories, written once and read at each level of a walk."""
+    return materialise(trees.edges(t.directories), "edges")
+
+
 def _used(t):
-    edge = trees.edges(t.directories)
+    edge = _edges(t)
     return trees.reachable_contents(trees.reachable_folders(_roots(t), edge), edge)
 
 
@@ -47,7 +53,7 @@ def sc18_directory_entries(t):
 
 @q(rec(SN, DI, EN, WALK, "SELECT k AS key FROM walk"))
 def gr01_tree_walk(t):
-    return trees.reachable_folders(_roots(t), trees.edges(t.directories))
+    return trees.reachable_folders(_roots(t), _edges(t))
 
 
 @q(rec(SN, DI, EN, WALK, USED, "SELECT k AS key FROM used"))
@@ -60,13 +66,28 @@ _PATHS = f"pt(root, node, path, entry_type, key, file_size, depth) AS (SELECT DI
 
 @q(rec(SN, DI, EN, _PATHS, "SELECT root, path, entry_type, key, file_size, depth FROM pt WHERE depth > 0"))
 def gr05_recursive_list(t):
-    return trees.paths_below(_roots(t), trees.edges(t.directories))
+    return trees.paths_below(_roots(t), _edges(t))
 
 
 @q(rec(SN, DI, EN, _PATHS, "SELECT path, count(*) n, count(DISTINCT key) objects FROM pt WHERE depth = 2 GROUP BY 1"))
 def gr02_nested_path(t):
-    rows = trees.paths_below(_roots(t), trees.edges(t.directories))
-    return rows.filter("depth = 2").groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("key").alias("objects"))
+    edge, folder = _edges(t), "entry_type = 'd' and key is not null"
+    one = _roots(t).distinct().join(edge.filter(folder).select(F.col("dir_oid").alias("key"), F.col("entry_name").alias("a"), F.col("key").alias("b")), "key")
+    two = one.select("a", "b").join(edge.select(F.col("dir_oid").alias("b"), "entry_name", "key"), "b")
+    rows = two.select(F.concat(F.lit("/"), "a", F.lit("/"), "entry_name").alias("path"), "key")
+    return rows.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("key").alias("objects"))
+
+
+_ASKED = f"rt AS (SELECT DISTINCT {KEY.format('root_oid')} root FROM sn WHERE root_oid IS NOT NULL), ak AS (SELECT root, e.entry_name a, min(f.entry_name) b FROM rt JOIN en e ON e.dir_oid = root JOIN en f ON f.dir_oid = {KEY.format('e.object_id')} WHERE e.entry_type = 'd' GROUP BY ALL)"
+
+
+@q(sql(SN, DI, EN, _ASKED, f"SELECT DISTINCT root, a || '/' || b AS path, f.entry_type, {KEY.format('f.object_id')} AS key FROM ak JOIN en e ON e.dir_oid = root AND e.entry_name = a AND e.entry_type = 'd' JOIN en f ON f.dir_oid = {KEY.format('e.object_id')} AND f.entry_name = b"))
+def gr02_resolved_paths(t):
+    """The first entry of each folder in a root, asked for by its path."""
+    edge = _edges(t)
+    up = edge.filter("entry_type = 'd'").select(F.col("dir_oid").alias("root"), F.col("entry_name").alias("a"), F.col("key").alias("dir_oid"))
+    asked = _roots(t).distinct().select(F.col("key").alias("root")).join(up, "root").join(edge.select("dir_oid", "entry_name"), "dir_oid").groupBy("root", "a").agg(F.min("entry_name").alias("b"))
+    return trees.resolved(asked.select("root", F.concat_ws("/", "a", "b").alias("path")).filter("a is not null and b is not null"), edge).distinct()
 
 
 @q(sql(DI, EN, "SELECT dir_oid, count(*) FILTER (WHERE keep) n, coalesce(sum(file_size) FILTER (WHERE keep), 0)::BIGINT bytes FROM (SELECT *, NOT (entry_name LIKE '%.raw' OR entry_name LIKE '%.mkv') keep FROM en WHERE entry_name IS NOT NULL) GROUP BY 1"))

@@ -87,10 +87,43 @@ def test_deep_paths_keep_the_policies_of_all_folders_above(spark):
     assert got == {("/a" * 80, "root"): 80, ("/a" * 80, "user"): 82, ("/a" * 80, "all"): 84, ("/a", "root"): 1, ("/a", "user"): 65, ("/a", "all"): 67, (None, "user"): 65, (None, "all"): 67}
 
 
-def test_listing_paths_without_end_is_an_error(spark, monkeypatch):
+def test_a_folder_in_itself_is_listed_but_not_entered(spark):
     from moraine.operators import trees
 
-    monkeypatch.setattr(trees, "MAX_DEPTH", 3)
-    edge = spark.createDataFrame([("a", "x", "d", "a", 0)], "dir_oid string, entry_name string, entry_type string, key string, file_size bigint")
-    with pytest.raises(ValueError):
-        trees.paths_below(spark.createDataFrame([("a",)], "key string"), edge)
+    edge = spark.createDataFrame([("a", "x", "d", "b", 0), ("b", "y", "d", "a", 0), ("b", "f", "f", "c", 3)], "dir_oid string, entry_name string, entry_type string, key string, file_size bigint")
+    got = trees.paths_below(spark.createDataFrame([("a",)], "key string"), edge).collect()
+    assert {(r.path, r.depth) for r in got} == {("/x", 1), ("/x/y", 2), ("/x/f", 2)}
+
+
+def test_paths_are_resolved_name_by_name(spark):
+    from moraine.operators import trees
+
+    edge = spark.createDataFrame([("r", "a", "d", "ka", 0), ("ka", "b", "d", "kb", 0), ("kb", "c", "f", "c1", 3), ("r", "a", "f", "c2", 3)], "dir_oid string, entry_name string, entry_type string, key string, file_size bigint")
+    asked = spark.createDataFrame([("r", "a/b/c"), ("r", "/a/"), ("r", ""), ("r", "a/c"), ("r", "a/b/c/d"), (None, "a"), ("r", None), ("z", "a")], "root string, path string")
+    got = {(r.path, r.entry_type, r.key) for r in trees.resolved(asked, edge).collect()}
+    assert got == {("a/b/c", "f", "c1"), ("/a/", "d", "ka"), ("/a/", "f", "c2"), ("", "d", "r")}
+
+
+def test_indirect_objects_of_several_levels(spark):
+    from moraine.operators import chunks as K
+    from moraine.operators import trees
+
+    sizes = {"one": 1, "two": 2, "nine": 9, "ten": 10, "many": 100}
+    rows = [(k, i, i * 5, 5, f"{k}{i}") for k, n in sizes.items() for i in range(n)]
+    objects, links = K.seek_trees(spark.createDataFrame(rows, "key string, chunk_no int, start int, length int, content_id string"), "key", 3)
+    o = {r.key: r for r in objects.collect()}
+    assert {k: (r.depth, r.length) for k, r in o.items()} == {"one": (0, 5), "two": (1, 10), "nine": (2, 45), "ten": (3, 50), "many": (5, 500)}
+    assert o["one"].object_id == "one0" and o["many"].object_id.startswith("IIIIIx")
+    start = spark.createDataFrame([(o["many"].object_id.lstrip("I"),), ("one0",)], "key string")
+    behind = {r.key for r in trees.backing_contents(start, links).collect()}
+    assert {k for k in behind if not k.startswith("x")} == {f"many{i}" for i in range(100)} | {"one0"}
+    index = spark.createDataFrame([(k, k != "many99", "p" if k != "many5" else "gone") for k in behind - {"one0"}], "content_id string, live boolean, pack_blob_id string")
+    state = lambda df: {r.object_id: r.state for r in trees.verified(objects, links, df, spark.createDataFrame([("p",)], "blob_id string")).filter(F.col("object_id") == o["many"].object_id).collect()}
+    assert state(index) == {o["many"].object_id: "deleted content"}
+    assert state(index.filter("content_id != 'many99'")) == {o["many"].object_id: "no content"}
+    assert state(index.withColumn("live", F.lit(True))) == {o["many"].object_id: "no pack"}
+    # Files of a folder: what lies behind an indirect one is in use.
+    edge = spark.createDataFrame([("r", "f", "f", o["nine"].object_id.lstrip("I"), 45)], "dir_oid string, entry_name string, entry_type string, key string, file_size bigint")
+    used = trees.reachable_contents(spark.createDataFrame([("r",)], "key string"), edge, links)
+    assert {f"nine{i}" for i in range(9)} < {r.key for r in used.collect()}
+    assert K.seek_trees(spark.createDataFrame([], "key string, chunk_no int, start int, length int, content_id string"), "key")[0].count() == 0
