@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from moraine.operators.ranking import null_safe
+from moraine.operators.ranking import rank_within, running_within
 
 
 def with_prefix(df: DataFrame, prefix: str, column: str = "blob_id") -> DataFrame:
@@ -74,7 +74,7 @@ def unreferenced(blobs: DataFrame, entries: DataFrame, prefixes: Sequence[str] =
 
 def session_of(blob_id: Column) -> Column:
     """Session in a blob id (SF06): the first part after the first dash that starts with ``s``."""
-    parts = F.filter(F.slice(F.split(blob_id, "-"), 2, 1_000), lambda x: x.startswith("s"))
+    parts = F.filter(F.split(blob_id, "-"), lambda x, i: (i > 0) & x.startswith("s"))
     return F.get(parts, F.lit(0))
 
 
@@ -92,14 +92,9 @@ def pack_garbage(orphaned: DataFrame, sessions: DataFrame, cutoff_seconds: int,
 def cleanup_by_budget(logs: DataFrame, max_bytes: int, max_count: int, max_age: int, now: int) -> DataFrame:
     """Logs to delete (WN09): newest first, from the first row at which total size, count or age
     goes over its bound everything is deleted. Columns ``blob_id, blob_length, ts``. Running sums
-    are taken within day slices and shifted by the slices before, so no task holds all logs."""
-    rows = logs.withColumn("_d", F.floor(F.col("ts") / 86_400))
-    order = [F.col("ts").desc(), F.col("blob_id")]
-    w = Window.partitionBy("_d").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    days = rows.groupBy("_d").agg(F.sum("blob_length").alias("_s"), F.count(F.lit(1)).alias("_c"))
-    up = Window.orderBy(F.col("_d").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    base = days.select("_d", F.coalesce(F.sum("_s").over(up), F.lit(0)).alias("_bs"), F.coalesce(F.sum("_c").over(up), F.lit(0)).alias("_bc"))
-    run = rows.join(base, "_d").withColumns({"_rs": F.col("_bs") + F.sum("blob_length").over(w), "_rc": F.col("_bc") + F.count(F.lit(1)).over(w)})
+    are taken in slices of time, so no task holds all logs, nor those of a busy day."""
+    rows = logs.withColumns({"_all": F.lit(1), "_new": -F.col("ts"), "_one": F.lit(1)})
+    run = running_within(rows, ["_all"], ["_new", "blob_id"], sums={"_rs": "blob_length", "_rc": "_one"})
     over = (F.col("_rs") > max_bytes) | (F.col("_rc") > max_count) | (F.lit(now) - F.col("ts") > max_age)
     # Size and count only grow and time only falls along the order: once over is always over.
     return run.filter(over).select(*logs.columns)
@@ -109,13 +104,10 @@ def lru_sweep(items: DataFrame, soft: int, hard: int, min_age: int, now: int) ->
     """Cache items to delete, oldest first, until the rest is within the soft limit; an item
     younger than ``min_age`` ends the sweep unless the rest is over the hard limit (WN10).
     Columns ``blob_id, blob_length, ts``."""
-    rows = items.withColumn("_d", F.floor(F.col("ts") / 86_400))
-    days = rows.groupBy("_d").agg(F.sum("blob_length").alias("_s"))
-    up = Window.orderBy(F.col("_d").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    base = days.select("_d", F.coalesce(F.sum("_s").over(up), F.lit(0)).alias("_bs"))
-    w = Window.partitionBy("_d").orderBy(F.col("ts").desc(), F.col("blob_id").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    left = rows.join(base, "_d").withColumn("_left", F.col("_bs") + F.sum("blob_length").over(w))
-    return left.filter((F.col("_left") > soft) & ((F.lit(now) - F.col("ts") >= min_age) | (F.col("_left") > hard))).select(*items.columns)
+    rows = items.withColumns({"_all": F.lit(1), "_new": -F.col("ts")})
+    ranked = rank_within(rows, ["_all"], ["ts", "blob_id"], descending=True, name="_i")
+    run = running_within(ranked, ["_all"], ["_i"], sums={"_left": "blob_length"})
+    return run.filter((F.col("_left") > soft) & ((F.lit(now) - F.col("ts") >= min_age) | (F.col("_left") > hard))).select(*items.columns)
 
 
 def sync_plan(src: DataFrame, dst: DataFrame, update: bool, delete: bool) -> DataFrame:
@@ -172,8 +164,3 @@ def log_sessions(blobs: DataFrame) -> DataFrame:
     rows = blobs.filter(F.size(p) >= 8).select(F.concat_ws("_", F.get(p, F.lit(2)), F.get(p, F.lit(3))).alias("session_id"), F.expr("try_cast(get(split(blob_id, '_'), 4) as bigint)").alias("s"), F.expr("try_cast(get(split(blob_id, '_'), 5) as bigint)").alias("e"), "blob_id", "blob_length", "blob_ts")
     good = rows.filter("s is not null and e is not null")
     return good.groupBy("session_id").agg(F.min("s").alias("started"), F.max("e").alias("ended"), F.sum("blob_length").alias("bytes"), F.count(F.lit(1)).alias("segments"))
-
-
-def unlike(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of ``left`` whose keys, nulls being equal, aren't in ``right``."""
-    return null_safe(left, right.select(*keys).distinct(), keys, "left_anti")

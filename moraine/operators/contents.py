@@ -133,7 +133,7 @@ def short_packs(index: DataFrame, max_pack: int, percent: int = 60) -> DataFrame
     packs = index.filter("pack_blob_id is not null").groupBy("pack_blob_id").agg(F.count(F.lit(1)).alias("n_contents"), F.sum("packed_length").alias("packed_bytes"))
     short = packs.filter(F.col("packed_bytes") < max_pack * percent // 100).withColumn("prefix", F.substring("pack_blob_id", 1, 1))
     many = short.groupBy("prefix").agg(F.count(F.lit(1)).alias("_n")).filter("_n >= 2").select("prefix")
-    return short.join(F.broadcast(many.limit(65_536)), "prefix", "left_semi")
+    return short.join(many, "prefix", "left_semi")
 
 
 def rewrite_candidates(parts: Sequence[DataFrame]) -> DataFrame:

@@ -18,8 +18,6 @@ LISTS = ("ignore", "ignoreDotFiles", "timeOfDay", "cron")
 NODE_SCHEMA = "record_id string, node_id int, parent_id int, field_path string, leaf_pos bigint, node_kind string, node_text string"
 _ARROW = pa.schema([("record_id", pa.string()), ("node_id", pa.int32()), ("parent_id", pa.int32()), ("field_path", pa.string()), ("leaf_pos", pa.int64()), ("node_kind", pa.string()), ("node_text", pa.string())])
 _NAMES = {J.OPEN_OBJ: "object", J.OPEN_ARR: "list", J.STRING: "string"}
-#: Quoting within quoting that is followed.
-MAX_UNQUOTE = 8
 #: Bytes of text that are indexed at once; a longer single text is indexed alone.
 BLOCK_BYTES = 4 << 20
 
@@ -30,17 +28,17 @@ def _clean(text: str) -> str:
 
 
 def _unquoted(texts: list[bytes | None]) -> tuple[J.Nodes, list[bytes]]:
-    """Index; texts that are one JSON string are replaced by what it holds and indexed again."""
+    """Index; texts that are one JSON string are replaced by what it holds and indexed again, until
+    none is: each time the text gets shorter."""
     now = [t or b"" for t in texts]
     nodes = J.index(now)
-    for _ in range(MAX_UNQUOTE):
+    while True:
         roots = np.flatnonzero((nodes.parent == -1) & (nodes.kind == J.STRING))
         if not len(roots):
-            break
+            return nodes, now
         for i in roots:
             now[nodes.doc[i]] = _clean(nodes.text(i)).encode()
         nodes = J.index(now)
-    return nodes, now
 
 
 class _Rows:

@@ -14,12 +14,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from moraine.functions.bitmaps import Bitmap
+from moraine.operators.ranking import HEAVY, HotKeys
 from moraine.operators.state import state_rows
 from moraine.session import materialise, shuffle_partitions
 
 EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
 #: Month of references without a time, after all months: they are suspects of every kind but late.
 NO_MONTH = 999_999
+#: References and targets of one key range, which one task encodes.
+RANGE_KEYS = 200_000
 #: Kinds of target.
 PACK, DIRECTORY, CONTENT = "p", "k", "c"
 
@@ -96,17 +99,17 @@ def _suspects_of_range(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"space": [k[0] for k in whole], "target_key": [k[1:] for k in whole], "month": np.concatenate(found_months) if found_months else np.empty(0, np.int32)}, columns=["space", "target_key", "month"])
 
 
-def suspects(refs: DataFrame, targets: DataFrame, ranges: int) -> DataFrame:
+def suspects(counts: DataFrame, targets: DataFrame, ranges: int) -> DataFrame:
     """``space, target_key, month`` of references not covered by a target that is alive and was
-    there before the month began. Distinct rows are made before the shuffle, so a key that a
-    third of all references name arrives once per month."""
-    r = refs.select("space", "target_key", F.coalesce(_month(F.col("ref_time")), F.lit(NO_MONTH)).alias("month"), F.lit(True).alias("is_ref"))
+    there before the month began. ``counts`` has the references as distinct ``space, target_key,
+    month``, so a key that a third of all references name arrives once per month."""
+    r = counts.select("space", "target_key", "month", F.lit(True).alias("is_ref"))
     t = targets.filter("alive").select("space", "target_key", F.coalesce(_month(F.col("first")), F.lit(-1)).alias("month"), F.lit(False).alias("is_ref"))
-    both = r.distinct().unionByName(t).withColumn("range", F.pmod(F.xxhash64("space", "target_key"), F.lit(ranges)).cast("int"))
+    both = r.unionByName(t).withColumn("range", F.pmod(F.xxhash64("space", "target_key"), F.lit(ranges)).cast("int"))
     return both.groupBy("range").applyInPandas(_suspects_of_range, "space string, target_key string, month int")
 
 
-def orphan_references(manifests: DataFrame, directories: DataFrame, packs: DataFrame, content_entries: DataFrame, ranges: int | None = None) -> DataFrame:
+def orphan_references(manifests: DataFrame, directories: DataFrame, packs: DataFrame, content_entries: DataFrame, ranges: int | None = None, heavy: int = HEAVY) -> DataFrame:
     """Orphan references with kind and month.
 
     Columns ``ref_table, ref_key, target_key, orphan_kind, ref_month``, distinct. Null targets are
@@ -116,15 +119,20 @@ def orphan_references(manifests: DataFrame, directories: DataFrame, packs: DataF
     live rows have no time is never late. Empty tables give no targets, so all references to
     them are missing.
 
-    ``ranges`` is the number of key ranges, by default four per shuffle partition.
+    ``ranges`` is the number of key ranges, by default as many as keep ``RANGE_KEYS`` references and
+    targets in one, and at least one per shuffle partition. References to one target in one month
+    are spread over several tasks above ``heavy`` of them.
     """
     spark = content_entries.sparkSession
     contents = materialise(content_states(content_entries), "contents")
     refs, targets = _references(manifests, directories, contents), _targets(directories, packs, contents)
-    found = suspects(refs, targets, ranges or 4 * shuffle_partitions(spark))
-    of = found.join(targets, ["space", "target_key"], "left").select(F.col("space").alias("_sp"), F.col("target_key").alias("_tk"), F.col("month").alias("_m"), "alive", "first")
-    month = F.coalesce(_month(F.col("ref_time")), F.lit(NO_MONTH))
-    rows = refs.join(of, (refs["space"] == of["_sp"]) & (refs["target_key"] == of["_tk"]) & (month == of["_m"]))
+    refs = refs.withColumn("month", F.coalesce(_month(F.col("ref_time")), F.lit(NO_MONTH)))
+    counts = materialise(refs.groupBy("space", "target_key", "month").agg(F.count(F.lit(1)).alias("n")), "references")
+    hot = HotKeys(counts, ["space", "target_key", "month"], heavy=heavy)
+    keys = contents.count() + counts.count()
+    found = suspects(counts, targets, ranges or max(shuffle_partitions(spark), -(-keys // RANGE_KEYS)))
+    of = found.join(targets, ["space", "target_key"], "left").select("space", "target_key", "month", "alive", "first", F.explode(hot.copies()).alias("salt"))
+    rows = refs.withColumn("salt", hot.salt("ref_table", "ref_key")).join(of, ["space", "target_key", "month", "salt"])
     kind = F.when(F.col("alive").isNull(), "missing").when(~F.col("alive"), "deleted").when(F.col("first") > F.col("ref_time"), "late")
     out = rows.select("ref_table", "ref_key", "target_key", kind.alias("orphan_kind"), F.date_format("ref_time", "yyyy-MM").alias("ref_month"))
     return out.filter(F.col("orphan_kind").isNotNull()).distinct()

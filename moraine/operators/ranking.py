@@ -135,3 +135,37 @@ def neighbour(df: DataFrame, group: Sequence[str], order: Sequence[str], columns
     ranked = rank_within(df, group, order, name="_place", heavy=heavy)
     other = ranked.select(*group, (F.col("_place") + (-1 if ahead else 1)).alias("_place"), *[F.col(c).alias(n) for n, c in columns.items()])
     return null_safe(ranked, other, [*group, "_place"], "left")
+
+
+#: Bits of the field that marks hot keys, and parts that the rows of one are spread over.
+HOT_BITS, SALTS = 1 << 16, 32
+
+
+class HotKeys:
+    """Salts for a join in which some keys have very many rows on one side.
+
+    ``counts`` has the rows of each key as ``n``; keys above ``heavy`` are marked in a field of
+    ``HOT_BITS`` bits by their hash, which is all that reaches the driver. A key whose bit is set by
+    another is salted without need, which changes no row.
+    """
+
+    def __init__(self, counts: DataFrame, keys: Sequence[str], n: str = "n", heavy: int = HEAVY):
+        self.keys = list(keys)
+        bit = F.pmod(F.xxhash64(*keys), F.lit(HOT_BITS))
+        rows = counts.filter(F.col(n) > heavy).groupBy(F.shiftright(bit, 6).cast("int").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64({', '.join(keys)}), {HOT_BITS}) & 63 as int))")).alias("v")).collect()
+        self.words = {r.w: r.v for r in rows}
+
+    def _hot(self) -> Column:
+        if not self.words:
+            return F.lit(False)
+        bit = F.pmod(F.xxhash64(*self.keys), F.lit(HOT_BITS))
+        field = F.array(*[F.lit(self.words.get(i, 0)).cast("bigint") for i in range(HOT_BITS >> 6)])
+        return F.get(field, F.shiftright(bit, 6).cast("int")).bitwiseAND(F.expr(f"shiftleft(1L, cast(pmod(xxhash64({', '.join(self.keys)}), {HOT_BITS}) & 63 as int))")) != 0
+
+    def salt(self, *by: str) -> Column:
+        """Salt of a row on the side with many rows, by columns that differ among them."""
+        return F.when(self._hot(), F.pmod(F.xxhash64(*by), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
+
+    def copies(self) -> Column:
+        """Salts of a row on the other side: all for a hot key, to be exploded."""
+        return F.when(self._hot(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))

@@ -153,6 +153,8 @@ def test_orphans(spark):
     }
     got = orphans.orphan_references(m, d, p, c, ranges=3).collect()
     assert {tuple(r) for r in got} == want and len(got) == len(want)
+    hot = orphans.orphan_references(m, d, p, c, heavy=0).collect()
+    assert {tuple(r) for r in hot} == want and len(hot) == len(want)
     none = orphans.orphan_references(m, d.limit(0), p.limit(0), c.limit(0))
     assert {tuple(r)[:4] for r in none.collect()} == {("manifests", i, k, "missing") for i, k in (("m1", "kroot"), ("m2", "kroot"), ("m4", "kdead"), ("m6", "kroot"))}
     assert orphans.orphan_references(m.limit(0), d.limit(0), p.limit(0), c.limit(0)).count() == 0
@@ -226,3 +228,20 @@ def test_deliveries_are_merged(spark):
     one.apply(cow.content_feed(df))
     assert sorted(t.read().collect()) == sorted(one.read().collect())
     assert cow.BucketedTable(spark, scratch_path(spark, "t"), "content_id", cow.CONTENT_ORDER).apply_deliveries(cow.content_feed(df.limit(0)), "at") == 1
+
+
+def test_hot_keys_are_salted_on_both_sides(spark):
+    rows = [("hot" if i % 3 else f"k{i}", i) for i in range(900)] + [(None, i) for i in range(200)]
+    df = spark.createDataFrame(rows, "k string, v int")
+    hot = ranking.HotKeys(df.groupBy("k").agg(F.count(F.lit(1)).alias("n")), ["k"], heavy=100)
+    left = df.withColumn("salt", hot.salt("v"))
+    assert left.filter("k = 'hot'").select("salt").distinct().count() == ranking.SALTS
+    assert left.filter("k <> 'hot'").agg(F.max("salt")).first()[0] == 0
+    other = df.select("k").distinct().withColumn("salt", F.explode(hot.copies()))
+    assert left.join(other, ["k", "salt"]).count() == 900
+
+
+def test_slices_with_many_bounds(spark):
+    df = spark.range(5_000).select(F.lit("g").alias("g"), F.pmod(F.xxhash64("id"), F.lit(1_000)).alias("t"), F.col("id").alias("k"))
+    got = ranking.rank_within(df, ["g"], ["t", "k"], heavy=3).collect()
+    assert [r["rank"] for r in sorted(got, key=lambda r: (r.t, r.k))] == list(range(1, 5_001))

@@ -82,6 +82,14 @@ def test_leaves_against_parser(spark):
     assert got == sorted({(str(i), *leaf) for i, c in enumerate(CASES) for leaf in brute(c)})
 
 
+def test_any_number_of_quotings(spark):
+    text = '{"files": {"maxFileSize": 1}}'
+    for _ in range(11):
+        text = json.dumps(text)
+    nodes = nested.nested_nodes(spark.createDataFrame([("a", text)], "id string, text string"), "id", "text", nested.SECTIONS, nested.LISTS)
+    assert [tuple(r) for r in nested.policy_leaves(nodes).collect()] == [("a", "files.maxFileSize", -1, "1")]
+
+
 def test_links_lead_to_the_root(spark):
     df = spark.createDataFrame([("a", CASES[1]), ("b", CASES[3])], "id string, text string")
     rows = nested.nested_nodes(df, "id", "text", nested.SECTIONS, nested.LISTS).collect()
