@@ -405,24 +405,95 @@ def jn13_policy_hierarchy(t):
 FIELDS = ["keepLatest", "keepDaily", "keepWeekly"]
 
 
+def _leaves(t):
+    """Values of the policies' sections, and the flag of a policy without parents."""
+    live = _policies(t).filter("payload is not null")
+    return nested.policy_leaves(nested.nested_nodes(live, "policy_id", "payload", (*nested.SECTIONS, "noParent"), nested.LISTS))
+
+
 def _values(t):
-    leaves = nested.policy_leaves(nested.policy_nodes(t.policies)).filter(F.col("field_path").isin(*[f"retention.{f}" for f in FIELDS], "files.noParentIgnore"))
+    leaves = _leaves(t).filter(F.col("field_path").isin(*[f"retention.{f}" for f in FIELDS], "noParent"))
     num = F.expr("try_cast(leaf_text as bigint)")
-    return leaves.groupBy("policy_id").agg(*[F.max(F.when(F.col("field_path") == f"retention.{f}", num)).alias(f) for f in FIELDS], F.max(F.when(F.col("field_path") == "files.noParentIgnore", F.col("leaf_text") == "true")).alias("no_parent"))
+    return leaves.groupBy("policy_id").agg(*[F.max(F.when(F.col("field_path") == f"retention.{f}", num)).alias(f) for f in FIELDS], F.max(F.when(F.col("field_path") == "noParent", F.col("leaf_text") == "true")).alias("no_parent"))
 
 
-_VALS = "vl AS (SELECT po.policy_id, " + ", ".join(f"max(TRY_CAST(leaf_text AS BIGINT)) FILTER (WHERE field_path = 'retention.{f}') {f}" for f in FIELDS) + ", bool_or(leaf_text = 'true') FILTER (WHERE field_path = 'files.noParentIgnore') np FROM po LEFT JOIN lv USING (policy_id) GROUP BY 1)"
+_VALS = "vl AS (SELECT po.policy_id, " + ", ".join(f"max(TRY_CAST(leaf_text AS BIGINT)) FILTER (WHERE field_path = 'retention.{f}') {f}" for f in FIELDS) + ", bool_or(policy_id IN (SELECT policy_id FROM np)) np FROM po LEFT JOIN lv USING (policy_id) GROUP BY 1)"
+#: Policies without parents; follows the values, whose first step it uses.
+_NP = "np AS (SELECT policy_id FROM p1 WHERE json_valid(p) AND json_type(p) = 'OBJECT' AND p->>'noParent' = 'true')"
 _EFF = "st AS (SELECT host_name, user_name, source_path, min(place) FILTER (WHERE np) stop FROM hi JOIN vl USING (policy_id) GROUP BY ALL), ap AS (SELECT hi.*, vl.* EXCLUDE (policy_id), stop FROM hi JOIN vl USING (policy_id) JOIN st ON hi.host_name IS NOT DISTINCT FROM st.host_name AND hi.user_name IS NOT DISTINCT FROM st.user_name AND hi.source_path IS NOT DISTINCT FROM st.source_path WHERE stop IS NULL OR place <= stop)"
 _PICK = "SELECT host_name, user_name, source_path, " + ", ".join(f"coalesce(min_by({f}, (place, policy_id)) FILTER (WHERE {f} IS NOT NULL), CASE WHEN max(stop) IS NULL THEN {d} END) {f}, min_by(policy_id, (place, policy_id)) FILTER (WHERE {f} IS NOT NULL) {f}_from" for f, d in zip(FIELDS, (10, 7, 4), strict=True)) + " FROM ap GROUP BY ALL"
 
 
-@q(rec(SN, _POL, _UP, _HI, LV, _VALS, _EFF, _PICK))
+@q(rec(SN, _POL, _UP, _HI, LV, _NP, _VALS, _EFF, _PICK))
 def po01_effective_policy(t):
     """Effective retention values of each source, and the policy each comes from."""
     v = _policies(t).select("policy_id").join(_values(t), "policy_id", "left")
     return P.effective(P.hierarchy(t.snapshots, _policies(t)), v, FIELDS, {"keepLatest": 10, "keepDaily": 7, "keepWeekly": 4})
 
 
+_OPT = ", ".join(f"'{f}'" for f, k in P.FIELD_KINDS.items() if k == "optional")
+_NUM, _FLAG, _LIST = (", ".join(f"'{f}'" for f, k in P.FIELD_KINDS.items() if k == kind) for kind in ("number", "flag", "list"))
+_S3 = "host_name, user_name, source_path"
+_SAME = " AND ".join(f"a.{c} IS NOT DISTINCT FROM b.{c}" for c in ("host_name", "user_name", "source_path"))
+_MERGE = f"""sp AS (SELECT {_S3}, min(place) stop FROM hi WHERE policy_id IN (SELECT policy_id FROM np) GROUP BY ALL),
+aa AS (SELECT a.* FROM hi a LEFT JOIN sp b ON {_SAME} WHERE stop IS NULL OR place <= stop),
+vv AS (SELECT aa.*, field_path, leaf_pos, leaf_text FROM aa JOIN lv USING (policy_id) WHERE (field_path IN ({_OPT}) AND leaf_text <> '') OR (field_path IN ({_NUM}) AND NOT regexp_matches(leaf_text, '^[+-]?0*$')) OR (field_path IN ({_FLAG}) AND leaf_text = 'true') OR field_path IN ({_LIST})),
+bb AS (SELECT *, rank() OVER (PARTITION BY {_S3}, field_path ORDER BY place, policy_id) r FROM vv),
+tt AS (SELECT policy_id, leaf_pos, coalesce(max(TRY_CAST(leaf_text AS INT)) FILTER (WHERE field_path LIKE '%.hour'), 0) * 60 + coalesce(max(TRY_CAST(leaf_text AS INT)) FILTER (WHERE field_path LIKE '%.min'), 0) m FROM lv WHERE field_path IN ('scheduling.timeOfDay.hour', 'scheduling.timeOfDay.min') GROUP BY ALL),
+lt AS (SELECT {_S3}, min((place, policy_id)) last FROM aa JOIN lv USING (policy_id) WHERE field_path = 'scheduling.noParentTimeOfDay' AND leaf_text = 'true' GROUP BY ALL),
+ct AS (SELECT a.*, m FROM aa a JOIN tt USING (policy_id) LEFT JOIN lt b ON {_SAME} WHERE last IS NULL OR (place, policy_id) <= last)"""
+
+
+@q(rec(SN, _POL, _UP, _HI, LV, _NP, _MERGE, f"SELECT {_S3}, field_path, list(leaf_text ORDER BY leaf_pos, leaf_text) leaf_values, min(policy_id) defined_by FROM bb WHERE r = 1 GROUP BY {_S3}, field_path UNION ALL SELECT {_S3}, 'scheduling.timeOfDay', list_transform(list_sort(list(DISTINCT m)), lambda x: x::VARCHAR), max_by(policy_id, (place, policy_id)) FROM ct GROUP BY {_S3}"))
+def po02_merged_fields(t):
+    """Every field of the effective policy of each source, with the policy that defines it."""
+    leaves = materialise(_leaves(t), "leaves")
+    cut = leaves.filter("field_path = 'noParent' and leaf_text = 'true'")
+    return P.merged_fields(P.hierarchy(t.snapshots, _policies(t)), leaves, cut)
+
+
+_AT = "timestamp '2025-06-01'"
+_ALL = "al AS (SELECT policy_id, host_name, user_name, source_path, modified_at, coalesce(deleted, false) deleted, payload FROM policies)"
+
+
+@q(sql(_POL, _ALL, f"rm AS (SELECT policy_id, {_S3}, greatest({_AT}, modified_at + INTERVAL 1 MICROSECOND) modified_at FROM po WHERE source_path IS NULL AND user_name IS NOT NULL)", f"hs AS (SELECT DISTINCT host_name FROM po WHERE host_name IS NOT NULL)", "lv1 AS (SELECT host_name, min(policy_id) policy_id FROM po WHERE user_name IS NULL AND source_path IS NULL GROUP BY 1)", "SELECT host_name, user_name, source_path, count(*) n, count(*) FILTER (WHERE payload = '{}') emptied FROM (SELECT policy_id, host_name, user_name, source_path, CASE WHEN policy_id IN (SELECT policy_id FROM lv1 WHERE host_name IS NOT NULL) THEN '{}' ELSE payload END payload FROM po WHERE policy_id NOT IN (SELECT policy_id FROM rm) UNION ALL SELECT NULL, host_name, NULL, NULL, '{}' FROM hs WHERE host_name NOT IN (SELECT host_name FROM lv1 WHERE host_name IS NOT NULL)) GROUP BY ALL"))
+def po05_set_and_remove(t):
+    """Live policies after the users' ones are removed and each host's is set to an empty one."""
+    at = F.lit("2025-06-01").cast("timestamp_ntz")
+    rows = t.policies.select("policy_id", *SOURCE, "modified_at", "deleted", "payload")
+    live = _policies(t)
+    done = P.with_removed(rows, live.filter("source_path is null and user_name is not null"), at)
+    none = F.lit(None).cast("string")
+    hosts = live.filter("host_name is not null").select("host_name", none.alias("user_name"), none.alias("source_path"), F.lit("{}").alias("payload")).distinct()
+    out = state_rows(P.with_set(done, hosts, at), "policy_id", "modified_at", [*SOURCE, "payload"]).filter("not deleted")
+    return out.groupBy(*SOURCE).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("payload") == "{}", 1)).alias("emptied"))
+
+
+@q(sql(_POL, f"SELECT {_S3}, min_by(payload, policy_id) payload FROM po GROUP BY {_S3}"))
+def po05_export_and_import(t):
+    """Policies exported and imported into an empty store."""
+    rows = t.policies.select("policy_id", *SOURCE, "modified_at", "deleted", "payload")
+    got = P.imported(rows.limit(0), P.exported(rows), F.lit("2025-06-01").cast("timestamp_ntz"))
+    return state_rows(got, "policy_id", "modified_at", [*SOURCE, "payload"]).filter("not deleted").select(*SOURCE, "payload")
+
+
+_GRANTS = f"""rl AS (SELECT coalesce(user_name, '*') pu, coalesce(host_name, '*') ph, source_path, labels, length(coalesce(source_path, '')) % 3 + 1 AS access FROM (SELECT *, row_number() OVER (PARTITION BY policy_id ORDER BY modified_at DESC NULLS LAST, coalesce(deleted, false)) rn FROM policies WHERE policy_id IS NOT NULL) WHERE rn = 1 AND NOT coalesce(deleted, false)),
+rq AS (SELECT DISTINCT manifest_id request_id, user_name u, host_name h, source_path p FROM sn WHERE user_name IS NOT NULL AND host_name IS NOT NULL)"""
+
+
+@q(sql(SN, _GRANTS, "SELECT request_id, coalesce(max(access) FILTER (WHERE rl.pu IS NOT NULL AND (source_path IS NULL OR source_path = p)), 0) AS access FROM rq LEFT JOIN rl ON rl.pu IN ('*', u) AND rl.ph IN ('*', h) GROUP BY 1"))
+def jn15_access_to_targets(t):
+    """Access of each snapshot's user to it. Every live policy is a rule for its users and hosts,
+    whose target is their own snapshots, of its path if it has one."""
+    own = F.create_map(F.lit("type"), F.lit("snapshot"), F.lit("username"), F.lit("OWN_USER"), F.lit("hostname"), F.lit("OWN_HOST"))
+    target = F.when(F.col("source_path").isNull(), own).otherwise(F.map_concat(own, F.create_map(F.lit("path"), F.col("source_path"))))
+    level = (F.length(F.coalesce("source_path", F.lit(""))) % 3 + 1).alias("access")
+    rules = _policies(t).select(F.concat_ws("@", F.coalesce("user_name", F.lit("*")), F.coalesce("host_name", F.lit("*"))).alias("pattern"), target.alias("target"), level)
+    labels = F.create_map(F.lit("type"), F.lit("snapshot"), F.lit("username"), F.col("user_name"), F.lit("hostname"), F.col("host_name"), F.lit("path"), F.col("source_path"))
+    asked = t.snapshots.filter("user_name is not null and host_name is not null").select(F.col("manifest_id").alias("request_id"), F.concat_ws("@", "user_name", "host_name").alias("user_at_host"), labels.alias("labels"))
+    return P.access(asked, rules)
+
+
 @q(rec(SN, _POL, _UP, _HI, "SELECT host_name, user_name, source_path, count(*) n, min_by(policy_id, (place, policy_id)) nearest FROM hi GROUP BY ALL"))
 def po03_nearest_policy(t):
     h = P.hierarchy(t.snapshots, _policies(t))
