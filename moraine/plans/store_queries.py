@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from moraine.operators import blobs as B
 from moraine.operators import contents as C
+from moraine.operators import packindex
 from moraine.plans.base import BL, CW, Registry, sql
 from moraine.session import scratch_path
 
@@ -449,3 +450,50 @@ def se05_intersect_except(t):
     e = C.usable(t.content_entries)
     old, new = e.filter(F.col("timestamp_seconds") < SECONDS).select("content_id"), e.filter(F.col("timestamp_seconds") >= SECONDS).select("content_id")
     return old.intersect(new).withColumn("side", F.lit("both")).unionByName(old.distinct().exceptAll(new.distinct()).withColumn("side", F.lit("only old")))
+
+
+# -- binary index blobs -------------------------------------------------------------------------
+_HEX = "regexp_full_match(content_id, '[g-z]?([0-9a-f][0-9a-f])+') AND timestamp_seconds BETWEEN 0 AND 4000000000 AND coalesce(pack_offset, 0) BETWEEN 0 AND 1073741823 AND coalesce(original_length, 0) BETWEEN 0 AND 268435455 AND coalesce(packed_length, 0) BETWEEN 0 AND 268435455 AND coalesce(compression_id, 0) BETWEEN 0 AND 4294967295 AND coalesce(format_version, 0) BETWEEN 0 AND 255 AND coalesce(encryption_key_id, 0) BETWEEN 0 AND 255"
+_FIELDS = "content_id, timestamp_seconds, coalesce(deleted, false) deleted, nullif(coalesce(pack_blob_id, ''), '') pack_blob_id, coalesce(pack_offset, 0) pack_offset, coalesce(original_length, 0) original_length, coalesce(packed_length, 0) packed_length, coalesce(compression_id, 0)::INT compression_id, coalesce(format_version, 0)::INT format_version, coalesce(encryption_key_id, 0)::INT encryption_key_id"
+
+
+def _encodable(t):
+    """Distinct feed rows that the binary form can hold."""
+    c, z = F.col, F.lit(0)
+    ok = c("content_id").rlike("^[g-z]?([0-9a-f][0-9a-f])+$") & c("timestamp_seconds").between(0, 4_000_000_000) & F.coalesce("pack_offset", z).between(0, (1 << 30) - 1)
+    for n, top in (("original_length", (1 << 28) - 1), ("packed_length", (1 << 28) - 1), ("compression_id", (1 << 32) - 1), ("format_version", 255), ("encryption_key_id", 255)):
+        ok &= F.coalesce(n, z).between(0, top)
+    rows = t.content_entries.filter("index_blob_id is not null").filter(ok)
+    num = lambda n, kind: F.coalesce(c(n), z).cast(kind).alias(n)
+    return rows.select("index_blob_id", "content_id", "timestamp_seconds", F.coalesce("deleted", F.lit(False)).alias("deleted"), F.nullif("pack_blob_id", F.lit("")).alias("pack_blob_id"), num("pack_offset", "bigint"), num("original_length", "bigint"), num("packed_length", "bigint"), num("compression_id", "int"), num("format_version", "int"), num("encryption_key_id", "int")).distinct()
+
+
+@q(f"SELECT DISTINCT index_blob_id, {_FIELDS} FROM content_entries WHERE index_blob_id IS NOT NULL AND {_HEX}")
+def sc11_parsed_indexes(t):
+    """Index blobs written in binary form, version 2, and parsed again."""
+    return packindex.parsed(packindex.written(_encodable(t), most=2_000))
+
+
+@q(f"SELECT DISTINCT index_blob_id, content_id, timestamp_seconds, coalesce(deleted, false) deleted, nullif(coalesce(pack_blob_id, ''), '') pack_blob_id, coalesce(pack_offset, 0) pack_offset, coalesce(packed_length, 0) packed_length FROM content_entries WHERE index_blob_id IS NOT NULL AND {_HEX}")
+def sc14_index_version_1(t):
+    """The same in version 1, which has no original length and no compression."""
+    cols = ["index_blob_id", "content_id", "timestamp_seconds", "deleted", "pack_blob_id", "pack_offset", "packed_length"]
+    return packindex.parsed(packindex.written(_encodable(t), version=1)).select(*cols).distinct()
+
+
+@q(f"WITH e AS (SELECT DISTINCT {_FIELDS} FROM content_entries WHERE NOT coalesce(deleted, false) AND coalesce(pack_blob_id, '') <> '' AND index_blob_id IS NOT NULL AND {_HEX} AND length(content_id) % 2 = 0) SELECT * FROM e WHERE pack_blob_id IN (SELECT blob_id FROM pack_blobs WHERE NOT coalesce(deleted, false))")
+def sc15_recovered_packs(t):
+    """Entries recovered from the packs' own records; packs that aren't in the store have lost their
+    last byte."""
+    there = t.pack_blobs.filter(~F.coalesce("deleted", F.lit(False)) & F.col("blob_id").isNotNull()).select(F.col("blob_id").alias("pack_blob_id"), F.lit(True).alias("_t")).distinct()
+    rows = _encodable(t).drop("index_blob_id").distinct().filter(F.length("content_id") % 2 == 0).withColumn("body", F.col("pack_blob_id").cast("binary"))
+    packs = packindex.packs_with_index(rows, most=2_000).join(there, "pack_blob_id", "left")
+    whole = F.when(F.col("_t"), F.col("data")).otherwise(F.substring("data", F.lit(1), F.octet_length("data") - 1))
+    return packindex.recovered_entries(packs.withColumn("data", whole))
+
+
+@q("WITH e AS (SELECT DISTINCT content_id FROM content_entries WHERE content_id IS NOT NULL), n AS (SELECT greatest(1, (count(*) + 999) // 1000) n FROM e) SELECT shard, count(*) n FROM (SELECT ('0x' || md5(content_id)[1:8])::BIGINT % n AS shard FROM e, n) GROUP BY 1")
+def ix06_sized_shards(t):
+    """Index shards of about a thousand ids each."""
+    ids = t.content_entries.filter("content_id is not null").select("content_id").distinct()
+    return packindex.sized_shards(ids, 1_000).groupBy(F.col("shard").cast("bigint").alias("shard")).agg(F.count(F.lit(1)).alias("n"))
