@@ -14,6 +14,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from moraine.functions import codes
 from moraine.operators.ranking import running_within
 from moraine.session import materialise
 
@@ -114,13 +115,35 @@ def _keyed(name: str, length: int) -> Callable[[bytes, bytes], bytes]:
     return lambda data, secret: hmac.new(secret, data, name).digest()[:length]
 
 
+
+def _blake3(size: int) -> Callable[[bytes, bytes], bytes]:
+    """Keyed BLAKE3; a secret that isn't 32 bytes long is hashed to a key first."""
+    return lambda data, secret: codes.blake3(data, secret if len(secret) == 32 else codes.blake3(secret), size)
+
+
+def _members(data: bytes, size: int = 1 << 20) -> bytes:
+    return b"".join(gzip.compress(data[i : i + size], 6, mtime=0) for i in range(0, max(1, len(data)), size))
+
+
+def _unsnapped(data: bytes) -> bytes:
+    n = shift = 0
+    for b in data:
+        n |= (b & 127) << shift
+        shift += 7
+        if b < 128:
+            break
+    return pa.Codec("snappy").decompress(data, n).to_pybytes() if n else b""
+
+
 #: Keyed hashes by name (CH04): the digest is cut to the given number of bytes.
-HASHES = {"HMAC-SHA256": _keyed("sha256", 32), "HMAC-SHA256-128": _keyed("sha256", 16), "HMAC-SHA224": _keyed("sha224", 28), "HMAC-SHA3-224": _keyed("sha3_224", 28), "HMAC-SHA3-256": _keyed("sha3_256", 32), "BLAKE2S-128": _keyed("blake2s", 16), "BLAKE2S-256": _keyed("blake2s", 32), "BLAKE2B-256": _keyed("blake2b", 32), "BLAKE2B-256-128": _keyed("blake2b", 16)}
+HASHES = {"HMAC-SHA256": _keyed("sha256", 32), "HMAC-SHA256-128": _keyed("sha256", 16), "HMAC-SHA224": _keyed("sha224", 28), "HMAC-SHA3-224": _keyed("sha3_224", 28), "HMAC-SHA3-256": _keyed("sha3_256", 32), "BLAKE2S-128": _keyed("blake2s", 16), "BLAKE2S-256": _keyed("blake2s", 32), "BLAKE2B-256": _keyed("blake2b", 32), "BLAKE2B-256-128": _keyed("blake2b", 16), "BLAKE3-256": _blake3(32), "BLAKE3-256-128": _blake3(16)}
 
 #: Compressors by name (CH05).
 COMPRESSORS: dict[str, tuple[Callable[[bytes], bytes], Callable[[bytes], bytes]]] = {
     "gzip": (lambda b: gzip.compress(b, 6, mtime=0), gzip.decompress), "gzip-best-speed": (lambda b: gzip.compress(b, 1, mtime=0), gzip.decompress), "gzip-best-compression": (lambda b: gzip.compress(b, 9, mtime=0), gzip.decompress),
     "deflate-default": (lambda b: zlib.compress(b, 6), zlib.decompress), "deflate-best-speed": (lambda b: zlib.compress(b, 1), zlib.decompress), "deflate-best-compression": (lambda b: zlib.compress(b, 9), zlib.decompress),
+    # Members of a megabyte one after the other, and blocks of the format that S2 extends.
+    "pgzip": (_members, gzip.decompress), "s2-default": (lambda b: pa.Codec("snappy").compress(b).to_pybytes(), _unsnapped),
     "zstd": (lambda b: zstandard.compress(b, 3), zstandard.decompress), "zstd-fastest": (lambda b: zstandard.compress(b, 1), zstandard.decompress), "zstd-better-compression": (lambda b: zstandard.compress(b, 7), zstandard.decompress), "zstd-best-compression": (lambda b: zstandard.compress(b, 11), zstandard.decompress),
 }
 
@@ -165,6 +188,47 @@ def decrypted(data: Column, key: Column, content_id: Column) -> Column:
     return F.aes_decrypt(data, key, F.lit("GCM"), F.lit("DEFAULT"), content_id)
 
 
+def sealed(df: DataFrame, column: str, to: str, master: bytes, content_id: str) -> DataFrame:
+    """ChaCha20-Poly1305 with a key per content, derived from the master key, and the content id as
+    associated data (CH07). The nonce comes from key and content, so equal contents give equal bytes."""
+    pair = F.concat(F.rpad(F.hex(F.col(content_id).cast("binary")), 512, "\0").cast("binary"), F.col(column).cast("binary"))
+
+    def run(b: bytes) -> bytes:
+        cid, data = bytes.fromhex(b[:512].rstrip(b"\0").decode()), b[512:]
+        key = content_key(master, cid)
+        return codes.sealed(data, key, hmac.new(key, data, "sha256").digest()[:12], cid)
+
+    return mapped(df.withColumn("_pair", pair), "_pair", to, run).drop("_pair")
+
+
+def unsealed(df: DataFrame, column: str, to: str, master: bytes, content_id: str) -> DataFrame:
+    """The data of ``sealed``; changed data is an error."""
+    pair = F.concat(F.rpad(F.hex(F.col(content_id).cast("binary")), 512, "\0").cast("binary"), F.col(column).cast("binary"))
+
+    def run(b: bytes) -> bytes:
+        cid = bytes.fromhex(b[:512].rstrip(b"\0").decode())
+        return codes.opened(b[512:], content_key(master, cid), cid)
+
+    return mapped(df.withColumn("_pair", pair), "_pair", to, run).drop("_pair")
+
+
+def protected(df: DataFrame, column: str, to: str, shards: int = 16, parity: int = 4) -> DataFrame:
+    """Bytes with Reed-Solomon parity and checksums (CH08)."""
+    return mapped(df, column, to, lambda b: codes.protected(b, shards, parity))
+
+
+def mended(df: DataFrame, column: str, to: str, shards: int = 16, parity: int = 4) -> DataFrame:
+    """The bytes again; null where more pieces are damaged than there is parity for (CH08)."""
+
+    def run(b: bytes) -> bytes | None:
+        try:
+            return codes.mended(b, shards, parity)
+        except ValueError:
+            return None
+
+    return mapped(df, column, to, run)
+
+
 # -- objects ------------------------------------------------------------------------------------
 def objects(chunks: DataFrame, key: str) -> DataFrame:
     """Object of each key (OB01): the content itself for one chunk, else a seek table. ``chunks``

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from moraine.operators.ranking import running_within
+
 
 def advancing(blobs: DataFrame, min_seconds: int, count: int, size: int) -> DataFrame:
     """Epochs that are due to end (WN14): long enough between first and last write, and enough
@@ -24,31 +26,60 @@ def oldest_uncompacted(epochs: DataFrame, candidate: int) -> DataFrame:
     return one.select(F.when(F.col("_has") == 1, F.col("_end") + 1).otherwise(F.lit(candidate)).cast("bigint").alias("epoch"))
 
 
+def next_at_or_after(df: DataFrame, at: str, others: DataFrame, other: str) -> DataFrame:
+    """``at`` with the least ``other`` not below it, by one order over both sides instead of a join on
+    an inequality; what has none is left out."""
+    rows = df.select((-F.col(at)).alias("_o"), F.lit(1).alias("_s"), F.lit(None).cast("bigint").alias("_v")).unionByName(others.select((-F.col(other)).alias("_o"), F.lit(0).alias("_s"), F.col(other).cast("bigint").alias("_v")))
+    run = running_within(rows.withColumn("_g", F.lit(0)), ["_g"], ["_o", "_s"], lasts={other: "_v"})
+    return run.filter((F.col("_s") == 1) & F.col(other).isNotNull()).select((-F.col("_o")).alias(at), other)
+
+
 def longest_chain(ranges: Iterable[tuple[int, int]], start: int = 0) -> list[tuple[int, int]]:
-    """Contiguous ranges from ``start`` that reach furthest, of those the fewest (GR08, EP04). The
-    ranges are a repository's range checkpoints, a handful on the driver."""
+    """Contiguous ranges from ``start`` that reach furthest, of those the fewest (GR08, EP04)."""
     by_lo: dict[int, set[tuple[int, int]]] = {}
     for lo, hi in ranges:
         by_lo.setdefault(lo, set()).add((lo, hi))
-    best: dict[int, tuple[int, int, list]] = {}
+    best: dict[int, tuple[int, int, tuple[int, int]]] = {}  # reach, ranges, first range
     for lo in sorted(by_lo, reverse=True):
         options = []
         for r in by_lo[lo]:
-            end, n, rest = best.get(r[1] + 1, (r[1], 0, []))
-            options.append((max(end, r[1]), -(n + 1), [r, *rest]))
-        end, n, chain = max(options, key=lambda x: (x[0], x[1], x[2]))
-        best[lo] = (end, -n, chain)
-    return best[start][2] if start in best else []
+            end, n, _ = best.get(r[1] + 1, (r[1], 0, r))
+            options.append((max(end, r[1]), -(n + 1), r))
+        end, n, first = max(options)
+        best[lo] = (end, -n, first)
+    out, at = [], start
+    while at in best and best[at][0] >= at:
+        out.append(best[at][2])
+        at = out[-1][1] + 1
+    return out
+
+
+def chain_of(ranges: DataFrame, start: int | None = None) -> DataFrame:
+    """The longest chain (``lo, hi``) of range checkpoints from ``start``, by default the least ``lo``
+    (GR08, EP04). All go through one task, in order: a store has one range per several epochs, two numbers
+    each, far fewer than blobs. Ranges whose end lies before their start are no ranges."""
+    r = ranges.filter("lo is not null and hi >= lo").select(F.col("lo").cast("bigint").alias("lo"), F.col("hi").cast("bigint").alias("hi")).distinct()
 
+    def run(batches):
+        import pyarrow as pa
 
-def index_set(uncompacted: DataFrame, compacted: DataFrame, ranges: Sequence[tuple[int, int]], range_blobs: DataFrame, write_epoch: int) -> DataFrame:
-    """Blobs that make up the index (EP05): those of the range chain, then per later epoch its
-    compacted blobs if it is settled (two behind the write epoch) and has any, else the others."""
-    covered = ranges[-1][1] if ranges else -1
-    settled = F.col("epoch") <= write_epoch - 2
-    comp = compacted.filter((F.col("epoch") > covered) & settled)
-    rest = uncompacted.filter(F.col("epoch") > covered).join(comp.select("epoch").distinct(), "epoch", "left_anti")
-    return range_blobs.select("blob_id").unionByName(comp.select("blob_id")).unionByName(rest.select("blob_id")).distinct()
+        every = [(a, b) for x in batches for a, b in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True)]
+        got = longest_chain(every, (min(every)[0] if every else 0) if start is None else start)
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.int64())], names=["lo", "hi"])
+
+    return r.repartition(1).mapInArrow(run, "lo bigint, hi bigint")
+
+
+def index_set(uncompacted: DataFrame, compacted: DataFrame, chain: DataFrame, write_epoch: int) -> DataFrame:
+    """Blobs that make up the index (EP05): those of the range chain (``lo, hi``), then per later
+    epoch its compacted blobs if it is settled (two behind the write epoch) and has any, else the
+    others. A range of one epoch is that epoch's compaction."""
+    covered = chain.agg(F.coalesce(F.max("hi"), F.lit(-1)).alias("_c"))
+    behind = lambda df: df.join(F.broadcast(covered)).filter(F.col("epoch") > F.col("_c")).drop("_c")
+    comp = behind(compacted.filter(F.col("epoch") <= write_epoch - 2))
+    rest = behind(uncompacted).join(comp.select("epoch").distinct(), "epoch", "left_anti")
+    held = chain.select(F.concat_ws("-", F.lit("range"), "lo", "hi").alias("blob_id"))
+    return held.unionByName(comp.select("blob_id")).unionByName(rest.select("blob_id")).distinct()
 
 
 def superseded(uncompacted: DataFrame, compacted: DataFrame, margin: int) -> DataFrame:
@@ -72,10 +103,3 @@ def safe_drop_time(runs: DataFrame, margin: int, extra: int) -> DataFrame:
 def markers(blobs: DataFrame) -> DataFrame:
     """Write epoch and when it began (EP01), from marker blobs ``epoch, ts``."""
     return blobs.agg(F.max("epoch").alias("write_epoch"), F.min_by("ts", -F.col("epoch")).alias("began"))
-
-
-def islands(df: DataFrame, group: Sequence[str], number: str) -> DataFrame:
-    """Runs of consecutive numbers of each group: first, last and length."""
-    w = Window.partitionBy(*group).orderBy(number)
-    runs = df.select(*group, F.col(number).alias("_n")).distinct().withColumnRenamed("_n", number).withColumn("_r", F.col(number) - F.row_number().over(w))
-    return runs.groupBy(*group, "_r").agg(F.min(number).alias("first"), F.max(number).alias("last"), F.count(F.lit(1)).alias("n")).drop("_r")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moraine.functions.scalars import bucket, next_period, period_start
+from moraine.operators.ranking import null_safe
 
 
 def pieces(df: DataFrame, start: str, end: str, unit: str) -> DataFrame:
@@ -38,6 +39,17 @@ def distribution_series(df: DataFrame, group: Sequence[str], start: str, end: st
     return b.groupBy(*group, "point", "bucket").agg(F.sum(F.floor(F.col("ratio")).cast("bigint")).alias("scaled"), F.sum(value).alias("total"), F.count(F.lit(1)).alias("n"), F.min(value).alias("least"), F.max(value).alias("most"))
 
 
+def spread_distributions(df: DataFrame, group: Sequence[str], start: str, end: str, unit: str = "day") -> DataFrame:
+    """Distributions spread over time (MT08): of every interval's ``buckets`` each period gets the
+    overlap's share, cut to whole numbers; ``total, n, least, most`` are added unscaled to every
+    period touched. ``buckets`` of one group are of one length."""
+    cut = pieces(df, start, end, unit)
+    flat = cut.select(*group, "point", F.posexplode(F.transform("buckets", lambda c: F.floor(c * F.col("ratio")).cast("bigint"))).alias("_i", "_c")).groupBy(*group, "point", "_i").agg(F.sum("_c").alias("_c"))
+    counts = flat.groupBy(*group, "point").agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_c"))), lambda x: x["_c"]).alias("buckets"))
+    sums = cut.groupBy(*group, "point").agg(F.sum("total").alias("total"), F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))
+    return null_safe(sums, counts, [*group, "point"], "inner")
+
+
 def distribution(df: DataFrame, group: Sequence[str], value: str, thresholds: Sequence[int]) -> DataFrame:
     """Least, greatest, sum, count and bucket counts (MT02). Buckets are counted by partial
     aggregation, one column each."""
@@ -55,11 +67,6 @@ def merged_distributions(parts: DataFrame, group: Sequence[str]) -> DataFrame:
     return per.groupBy(*group).agg(F.min("least").alias("least"), F.max("most").alias("most"), F.first("total").alias("total"), F.first("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("_i", "_c"))), lambda x: x["_c"]).alias("buckets"))
 
 
-def mean(total: Column, n: Column) -> Column:
-    """Mean in whole numbers (MT04)."""
-    return F.call_function("div", total, n)
-
-
 def throughput(df: DataFrame, group: Sequence[str], size: str, nanos: str) -> DataFrame:
     """Bytes and time of each group (MT05)."""
     return df.groupBy(*group).agg(F.sum(size).alias("bytes"), F.sum(nanos).alias("nanos"))

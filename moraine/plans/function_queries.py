@@ -12,7 +12,7 @@ from moraine.operators import snapshots as S
 from moraine.operators import trees
 from moraine.operators.joins import as_of_join
 from moraine.operators.orphans import object_key
-from moraine.operators.ranking import running_within
+from moraine.operators.ranking import null_safe, running_within
 from moraine.plans.base import BL, CW, SN, Registry, sql
 
 q = Registry()
@@ -191,6 +191,15 @@ def ms15_show(t):
     return t.documents.filter("doc_id = 5").select("doc_id", "source", "n_chars")
 
 
+@q(sql(CW, BL, "SELECT c.content_id, c.pack_blob_id, pack_offset, packed_length, b.blob_length FROM cw c LEFT JOIN bl b ON b.blob_id = c.pack_blob_id AND NOT b.deleted WHERE c.live AND (SELECT count(*) FROM cw d WHERE d.live AND d.timestamp_seconds > c.timestamp_seconds) < 5"))
+def ms15_show_newest(t):
+    """Where the newest contents lie: those that fewer than five are newer than."""
+    live = t.contents.filter("live")
+    edge = live.orderBy(F.col("timestamp_seconds").desc()).limit(5).agg(F.min("timestamp_seconds").alias("_t"))
+    b = t.live_blobs.select(F.col("blob_id").alias("pack_blob_id"), "blob_length")
+    return live.join(F.broadcast(edge)).filter(F.col("timestamp_seconds") >= F.col("_t")).join(b, "pack_blob_id", "left").select("content_id", "pack_blob_id", "pack_offset", "packed_length", "blob_length")
+
+
 @q("SELECT count(*) FILTER (WHERE text IS NOT NULL) n, sum(strlen(text))::BIGINT bytes FROM documents")
 def ms07_rough_estimate(t):
     return t.documents.agg(F.count("text").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
@@ -251,6 +260,18 @@ def mt08_distribution_series(t):
     return M.distribution_series(_intervals(t), ["host"], "s", "e", "v", X.SIZE_THRESHOLDS, "day")
 
 
+_DI = f"di AS (SELECT user_id, host, min(s) s, max(e) e, count(*) n, sum(v)::BIGINT total, min(v) least, max(v) most, [" + ", ".join(f"count(*) FILTER (WHERE b = {i})" for i in range(22)) + f"] buckets FROM (SELECT *, {_B} b FROM ev) GROUP BY ALL)"
+
+
+@q(f"WITH {_EV}, {_DI}, {_pieces('day', '1 DAY').replace('FROM ev)', 'FROM di)')}, fl AS (SELECT host, p, i, sum(floor(buckets[i] * r)::BIGINT)::BIGINT c FROM (SELECT *, unnest(range(1, 23)) i FROM pc) GROUP BY ALL), bk AS (SELECT host, p, list(c ORDER BY i) buckets FROM fl GROUP BY ALL), sm AS (SELECT host, p, sum(total)::BIGINT total, sum(n)::BIGINT n, min(least) least, max(most) most FROM pc GROUP BY ALL) SELECT sm.host, sm.p AS point, total, n, least, most, buckets FROM sm JOIN bk ON sm.p = bk.p AND sm.host IS NOT DISTINCT FROM bk.host")
+def mt08_spread_distributions(t):
+    """Distributions of each user over their whole time, spread over its days."""
+    v = _intervals(t)
+    span = v.groupBy("host", "user_id").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+    d = null_safe(M.distribution(v, ["host", "user_id"], "v", X.SIZE_THRESHOLDS), span, ["host", "user_id"], "inner")
+    return M.spread_distributions(d, ["host"], "s", "e", "day")
+
+
 # -- chunks and objects -------------------------------------------------------------------------
 _CH = "ch AS (SELECT doc_id, i AS chunk_no, i * 1024 AS start_, text[i * 1024 + 1:(i + 1) * 1024] AS chunk FROM (SELECT doc_id, text, unnest(range(0, greatest(ceil(length(text) / 1024.0)::BIGINT, 1))) i FROM documents WHERE text IS NOT NULL)), cc AS (SELECT doc_id, chunk_no, start_, length(chunk) AS len, sha256(chunk) cid FROM ch)"
 
@@ -411,9 +432,10 @@ def wn14_epoch_advance(t):
     return E.advancing(_epochs(t), 40_000, 180, 90_000)
 
 
-@q(f"WITH {_EP}, c AS (SELECT DISTINCT epoch FROM ep WHERE epoch % 11 <> 5), e AS (SELECT * FROM c WHERE epoch >= 1) SELECT CASE WHEN EXISTS (SELECT 1 FROM e WHERE epoch = 1) THEN (SELECT min(epoch) + 1 FROM e WHERE epoch + 1 NOT IN (SELECT epoch FROM e)) ELSE 1 END AS epoch")
+@q(f"WITH {_EP}, c AS (SELECT DISTINCT epoch FROM ep JOIN events USING (event_id) WHERE event_type = 'signup'), e AS (SELECT * FROM c WHERE epoch >= 1) SELECT CASE WHEN EXISTS (SELECT 1 FROM e WHERE epoch = 1) THEN (SELECT min(epoch) + 1 FROM e WHERE epoch + 1 NOT IN (SELECT epoch FROM e)) ELSE 1 END AS epoch")
 def wn15_oldest_uncompacted(t):
-    return E.oldest_uncompacted(_epochs(t).filter("epoch % 11 <> 5").select("epoch").distinct(), 1)
+    done = _epochs(t).join(t.events.filter("event_type = 'signup'").select("event_id"), "event_id", "left_semi")
+    return E.oldest_uncompacted(done.select("epoch").distinct(), 1)
 
 
 @q(f"WITH {_EP} SELECT max(epoch) write_epoch, (SELECT min(s) FROM ep WHERE epoch = (SELECT max(epoch) FROM ep)) began FROM ep")
@@ -422,9 +444,9 @@ def ep01_write_epoch(t):
     return E.markers(firsts)
 
 
-@q(f"WITH {_EP} SELECT max(s) - 3600 watermark FROM ep WHERE epoch % 5 = 0")
+@q(f"WITH {_EP} SELECT max(s) - 3600 watermark FROM ep")
 def ep02_deletion_watermark(t):
-    return _epochs(t).filter("epoch % 5 = 0").agg((F.max("ts") - 3_600).alias("watermark"))
+    return _epochs(t).agg((F.max("ts") - 3_600).alias("watermark"))
 
 
 @q(f"WITH {_EP}, c AS (SELECT DISTINCT epoch, event_id % 4 part FROM ep) SELECT epoch, count(*) n FROM c GROUP BY 1 HAVING count(*) >= 4")
@@ -436,34 +458,52 @@ def ep03_single_epoch_sets(t):
     return complete_sets(named).select(F.col("set_id").cast("bigint").alias("epoch"), F.size("members").cast("bigint").alias("n"))
 
 
-RANGES = [(0, 9), (0, 29), (10, 19), (30, 39), (40, 41), (60, 69)]
+# Range checkpoints that the table gives: an epoch with an error in it was checkpointed together with
+# the epochs up to the next one with a purchase of the highest tenth, and the first half of all in one.
+_RG = """er AS (SELECT DISTINCT epoch lo FROM ep JOIN events USING (event_id) WHERE event_type = 'error' AND epoch IS NOT NULL),
+pu AS (SELECT DISTINCT epoch hi FROM ep JOIN events USING (event_id) WHERE event_type = 'purchase' AND value > (SELECT quantile_cont(value, 0.9) FROM events) AND epoch IS NOT NULL),
+rg AS (SELECT lo, min(hi) hi FROM er JOIN pu ON hi >= lo GROUP BY 1 UNION SELECT min(lo), min(lo) + (max(lo) - min(lo)) // 2 FROM er HAVING min(lo) IS NOT NULL)"""
+_CHAIN = "first AS (SELECT min(lo) lo FROM rg), ch AS (SELECT lo, hi, 1 n, hi far, [{'lo': lo, 'hi': hi}] path FROM rg WHERE lo = (SELECT lo FROM first) UNION ALL SELECT rg.lo, rg.hi, n + 1, rg.hi, list_append(path, {'lo': rg.lo, 'hi': rg.hi}) FROM ch JOIN rg ON rg.lo = ch.hi + 1)"
+
+
+def _ranges(t):
+    """``lo, hi`` of the range checkpoints; the chain starts at the least ``lo``."""
+    e = _epochs(t).filter("epoch is not null").join(t.events.select("event_id", "event_type", "value"), "event_id")
+    top = t.events.agg(F.percentile("value", F.lit(0.9))).first()[0]
+    lo = e.filter("event_type = 'error'").select(F.col("epoch").alias("lo")).distinct()
+    hi = e.filter((F.col("event_type") == "purchase") & (F.col("value") > F.lit(top))).select(F.col("epoch").alias("hi")).distinct()
+    span = lo.agg(F.min("lo").alias("lo"), F.expr("min(lo) + (max(lo) - min(lo)) div 2").alias("hi")).filter("lo is not null")
+    return E.next_at_or_after(lo, "lo", hi, "hi").unionByName(span).distinct()
 
 
-@q("SELECT * FROM (VALUES (0::BIGINT, 29::BIGINT), (30, 39), (40, 41)) v(lo, hi)")
+@q(f"WITH RECURSIVE {_EP}, {_RG}, {_CHAIN} SELECT p.lo, p.hi FROM (SELECT unnest(path) p FROM (SELECT * FROM ch ORDER BY far DESC, n LIMIT 1))")
 def gr08_longest_chain(t):
-    return t.spark.createDataFrame(E.longest_chain(RANGES), "lo bigint, hi bigint")
+    """The chain of range checkpoints that reaches furthest."""
+    return E.chain_of(_ranges(t))
 
 
-@q(f"WITH {_EP}, w AS (SELECT max(epoch) w FROM ep), comp AS (SELECT DISTINCT epoch FROM ep WHERE epoch > 41 AND epoch % 3 = 0 AND epoch <= (SELECT w FROM w) - 2) SELECT 'range-0-29' blob_id UNION ALL SELECT 'range-30-39' UNION ALL SELECT 'range-40-41' UNION ALL SELECT 'comp-' || epoch FROM comp UNION ALL SELECT 'b' || event_id FROM ep WHERE epoch > 41 AND epoch NOT IN (SELECT epoch FROM comp)")
+@q(f"WITH RECURSIVE {_EP}, {_RG}, {_CHAIN}, fr AS (SELECT coalesce(max(far), -1) far FROM ch), w AS (SELECT max(epoch) w FROM ep), comp AS (SELECT DISTINCT epoch FROM ep JOIN events USING (event_id) WHERE event_type = 'signup' AND epoch > (SELECT far FROM fr) AND epoch <= (SELECT w FROM w) - 2) SELECT kind, count(*) n FROM (SELECT 'range' kind FROM (SELECT unnest(path) p FROM (SELECT * FROM ch ORDER BY far DESC, n LIMIT 1)) UNION ALL SELECT 'compacted' FROM comp UNION ALL SELECT 'written' FROM ep WHERE epoch > (SELECT far FROM fr) AND epoch NOT IN (SELECT epoch FROM comp)) GROUP BY 1")
 def ep05_index_set(t):
-    e = _epochs(t)
-    chain = E.longest_chain(RANGES)
-    blobs = t.spark.createDataFrame([(f"range-{a}-{b}",) for a, b in chain], "blob_id string")
-    comp = e.filter("epoch % 3 = 0").select("epoch").distinct().withColumn("blob_id", F.concat(F.lit("comp-"), "epoch"))
-    return E.index_set(e.withColumn("blob_id", F.concat(F.lit("b"), "event_id")), comp, chain, blobs, e.agg(F.max("epoch")).first()[0] or 0)
+    """Blobs of the index by kind: range checkpoints, then compacted epochs - settled ones with a
+    signup - and blobs as written."""
+    e = _epochs(t).filter("epoch is not null")
+    chain = E.chain_of(_ranges(t))
+    comp = e.join(t.events.filter("event_type = 'signup'").select("event_id"), "event_id", "left_semi").select("epoch").distinct().withColumn("blob_id", F.concat(F.lit("compacted-"), "epoch"))
+    rows = E.index_set(e.withColumn("blob_id", F.concat(F.lit("written-"), "event_id")), comp, chain, e.agg(F.max("epoch")).first()[0] or 0)
+    return rows.groupBy(F.substring_index("blob_id", "-", 1).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@q(f"WITH {_EP}, r AS (SELECT max(epoch) FILTER (WHERE epoch % 11 <> 5) top FROM ep) SELECT top - 41 AS epochs_since_range, top - 41 >= 7 AS due FROM r")
+@q(f"WITH RECURSIVE {_EP}, {_RG}, {_CHAIN} SELECT (SELECT max(epoch) FROM ep) - coalesce((SELECT max(far) FROM ch), -1) AS epochs_since_range, (SELECT max(epoch) FROM ep) - coalesce((SELECT max(far) FROM ch), -1) >= 7 AS due")
 def ep06_range_due(t):
-    top = _epochs(t).filter("epoch % 11 <> 5").agg(F.max("epoch").alias("top"))
-    since = F.col("top") - E.longest_chain(RANGES)[-1][1]
-    return top.select(since.alias("epochs_since_range"), (since >= 7).alias("due"))
+    reach = E.chain_of(_ranges(t)).agg(F.coalesce(F.max("hi"), F.lit(-1)).alias("far"))
+    since = F.col("top") - F.col("far")
+    return _epochs(t).agg(F.max("epoch").alias("top")).join(F.broadcast(reach)).select(since.alias("epochs_since_range"), (since >= 7).alias("due"))
 
 
-@q(f"WITH {_EP}, c AS (SELECT epoch, max(s) + 7200 t FROM ep WHERE epoch % 3 = 0 GROUP BY 1) SELECT event_id FROM ep WHERE epoch IN (SELECT epoch FROM c WHERE t < (SELECT max(s) FROM ep) - 86400)")
+@q(f"WITH {_EP}, c AS (SELECT epoch, max(s) + 7200 t FROM ep JOIN events USING (event_id) WHERE event_type = 'signup' GROUP BY 1) SELECT event_id FROM ep WHERE epoch IN (SELECT epoch FROM c WHERE t < (SELECT max(s) FROM ep) - 86400)")
 def ep07_superseded(t):
     e = _epochs(t)
-    comp = e.filter("epoch % 3 = 0").groupBy("epoch").agg((F.max("ts") + 7_200).alias("ts"))
+    comp = e.join(t.events.filter("event_type = 'signup'").select("event_id"), "event_id", "left_semi").groupBy("epoch").agg((F.max("ts") + 7_200).alias("ts"))
     return E.superseded(e, comp, 86_400).select("event_id")
 
 
@@ -501,8 +541,37 @@ def wn07_running_totals(t):
 def ep04_range_checkpoints(t):
     """Range checkpoints of ten epochs each and how far their chain from 0 reaches."""
     r = _epochs(t).filter("epoch is not null").select(F.expr("epoch div 10 * 10").alias("lo")).distinct().withColumn("hi", F.col("lo") + 9)
-    chain = E.longest_chain([tuple(x) for x in r.collect()])
-    return t.spark.createDataFrame([(len(chain), chain[0][0] if chain else None, chain[-1][1] if chain else None)], "n bigint, lo bigint, hi bigint")
+    return E.chain_of(r, 0).agg(F.count(F.lit(1)).alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+
+
+@q()
+def ch04_blake3(t):
+    return K.hashed(t.documents.filter("text is not null").select("doc_id", "text"), "text", "h", "BLAKE3-256", b"secret").select("doc_id", "h")
+
+
+@q("SELECT doc_id, true same FROM documents WHERE text IS NOT NULL")
+def ch05_s2_round_trip(t):
+    rows = K.compressed(t.documents.filter("text is not null").select("doc_id", F.encode("text", "utf-8").alias("raw")), "raw", "c", "s2-default")
+    back = K.decompressed(rows, "c", "plain", "s2-default")
+    return back.select("doc_id", (F.coalesce("plain", "raw") == F.col("raw")).alias("same"))
+
+
+@q("SELECT doc_id, true same, true other FROM documents WHERE text IS NOT NULL")
+def ch07_chacha(t):
+    """Texts sealed with a key per content and opened again."""
+    rows = t.documents.filter("text is not null").select("doc_id", F.encode("text", "utf-8").alias("raw")).withColumn("cid", F.sha2("raw", 256))
+    back = K.unsealed(K.sealed(rows, "raw", "secret", b"m" * 32, "cid"), "secret", "plain", b"m" * 32, "cid")
+    return back.select("doc_id", (F.col("plain") == F.col("raw")).alias("same"), (F.col("secret") != F.col("raw")).alias("other"))
+
+
+@q("SELECT doc_id, true mended FROM documents WHERE text IS NOT NULL")
+def ch08_mended(t):
+    """Texts with parity, damaged in four pieces and mended."""
+    rows = K.protected(t.documents.filter("text is not null").select("doc_id", F.encode("text", "utf-8").alias("raw")), "raw", "block")
+    piece = F.expr("(octet_length(block) - 8) div 20")
+    zero = F.repeat(F.lit("\0"), (piece * 4).cast("int")).cast("binary")
+    rows = rows.withColumn("block", F.overlay("block", zero, (F.lit(9) + piece * (F.col("doc_id") % 16)).cast("int"), (piece * 4).cast("int")))
+    return K.mended(rows, "block", "plain").select("doc_id", (F.col("plain") == F.col("raw")).alias("mended"))
 
 
 @q()

@@ -386,6 +386,17 @@ def jn02_pack_garbage(t):
     return B.pack_garbage(orphaned, none, SECONDS, 2_592_000, 3_600).groupBy("fate").agg(F.count(F.lit(1)).alias("n"), F.sum("blob_length").alias("bytes"))
 
 
+@q(sql(BL, _UNREF, "nm AS (SELECT *, 's' || substr(blob_id, 2, 1) sid FROM un)", "ss AS (SELECT 's' || substr(blob_id, 2, 1) sid, max(epoch_us(blob_ts) // 1000000) cp FROM bl WHERE NOT deleted GROUP BY 1)", f"SELECT CASE WHEN ts > {SECONDS + 1} THEN 'after cutoff' WHEN {SECONDS + 1} - ts < 2592000 THEN 'too young' WHEN {SECONDS + 1} - cp < 3600 THEN 'active session' ELSE 'unreferenced' END fate, count(*) n, sum(blob_length)::BIGINT bytes FROM nm LEFT JOIN ss USING (sid) GROUP BY 1"))
+def jn02_session_garbage(t):
+    """Unreferenced packs with the sessions that wrote them: the second character of a blob's id
+    stands for its session, whose checkpoint is its newest blob."""
+    named = F.concat("blob_id", F.lit("-s"), F.substring("blob_id", 2, 1)).alias("blob_id")
+    ts = F.expr("cast(floor(unix_micros(cast(blob_ts as timestamp)) / 1000000) as bigint)").alias("ts")
+    orphaned = B.unreferenced(t.live_blobs, t.content_entries).select(named, "blob_length", ts)
+    sessions = t.live_blobs.select(F.concat(F.lit("s"), F.substring("blob_id", 2, 1)).alias("session_id"), ts).groupBy("session_id").agg(F.max("ts").alias("checkpoint"))
+    return B.pack_garbage(orphaned, sessions, SECONDS, 2_592_000, 3_600).groupBy("fate").agg(F.count(F.lit(1)).alias("n"), F.sum("blob_length").alias("bytes"))
+
+
 _VER = "ver AS (SELECT c.content_id, c.pack_blob_id, c.packed_length, CASE WHEN b.blob_id IS NULL THEN 'missing' WHEN (pack_offset + packed_length) % 4294967296 > blob_length THEN 'truncated' ELSE 'ok' END state FROM cw c LEFT JOIN bl b ON b.blob_id = c.pack_blob_id AND NOT b.deleted WHERE c.live)"
 
 

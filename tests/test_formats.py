@@ -68,3 +68,46 @@ def test_indexes_of_damaged_blobs_give_no_entries(spark):
     rows = [("a", good), ("b", good[:20]), ("c", b""), ("d", None)]
     got = P.parsed(spark.createDataFrame([(k, bytearray(v) if v is not None else None) for k, v in rows], "index_blob_id string, data binary")).collect()
     assert [(r.index_blob_id, r.content_id, r.pack_blob_id) for r in got] == [("a", "x" + b"abcd".hex(), "p1")]
+
+
+# Published test vectors.
+def test_blake3():
+    from moraine.functions.codes import blake3
+
+    assert blake3(b"").hex() == "af1349b9f5f9a1a6a0404dea36dcc9499bcb25c9adc112b7cc9a93cae41f3262"
+    assert blake3(b"abc").hex() == "6437b3ac38465133ffb63b75273a8db548c558465d79db03fd359c6cd5bd9d85"
+    assert blake3(bytes(i % 251 for i in range(102_400))).hex().startswith("bc3e3d41a1146b06")
+    assert len({blake3(b"x" * n, b"k" * 32) for n in (0, 1, 64, 65, 1024, 1025, 2048, 3073)}) == 8
+
+
+def test_chacha20_poly1305():
+    from moraine.functions.codes import opened, sealed
+
+    key, nonce, extra = bytes(range(0x80, 0xA0)), bytes.fromhex("070000004041424344454647"), bytes.fromhex("50515253c0c1c2c3c4c5c6c7")
+    text = b"Ladies and Gentlemen of the class of '99: If I could offer you only one tip for the future, sunscreen would be it."
+    box = sealed(text, key, nonce, extra)
+    assert box[-16:].hex() == "1ae10b594f09e26a7e902ecbd0600691" and opened(box, key, extra) == text
+    for i in (0, 13, len(box) - 1):
+        with pytest.raises(ValueError):
+            opened(box[:i] + bytes([box[i] ^ 1]) + box[i + 1 :], key, extra)
+    with pytest.raises(ValueError):
+        opened(b"short", key)
+    assert opened(sealed(b"", key, nonce), key) == b""
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.binary(max_size=200), st.lists(st.integers(0, 11), max_size=6, unique=True))
+def test_reed_solomon(data, lost):
+    from moraine.functions.codes import mended, protected
+
+    block = bytearray(protected(data, 8, 4))
+    size = (len(block) - 8) // 12
+    for i in lost:
+        block[8 + i * size + 3] ^= 0x55
+    if len(lost) <= 4:
+        assert mended(bytes(block), 8, 4) == data
+    else:
+        with pytest.raises(ValueError):
+            mended(bytes(block), 8, 4)
+    with pytest.raises(ValueError):
+        mended(bytes(block[:-1]), 8, 4)
