@@ -181,3 +181,62 @@ def cron_next(expression: str, now):
 def tags(text: Column) -> Column:
     """``key:value`` lines as a map of ``tag:key`` (MS02); a key twice is an error."""
     return F.map_from_entries(F.transform(text, lambda x: F.struct(F.concat(F.lit("tag:"), F.substring_index(x, ":", 1)), F.substring(x, F.length(F.substring_index(x, ":", 1)) + 2, F.length(x)))))
+
+
+def watermark_time(blob_id: Column) -> Column:
+    """Unix seconds in the id of a deletion watermark, ``xw`` and digits (SF05); null for others."""
+    return F.regexp_extract(blob_id, "^xw([0-9]+)", 1).try_cast("bigint")
+
+
+def relative_path(base: Column, path: Column) -> Column:
+    """Path below a folder (SF09): ``.`` for the folder itself, null for what doesn't lie in it."""
+    root = F.regexp_replace(base, "(?<=.)[/\\\\]+$", "")
+    inside = F.when(root.isin("/", ""), F.concat(F.lit("/"), F.regexp_replace(path, "^/", ""))).otherwise(F.substring(path, F.length(root) + 1, F.length(path)))
+    below = F.when(root.isin("/", ""), path.startswith("/")).otherwise(F.startswith(path, root) & inside.rlike("^[/\\\\]"))
+    return F.when(path == root, ".").when(below, F.substring(inside, 2, F.length(inside)))
+
+
+def fnv32a(text: Column) -> Column:
+    """32-bit FNV-1a hash of a text's UTF-8 bytes (SF16)."""
+    raw = F.hex(F.encode(text, "utf-8"))
+    byte = lambda i: F.conv(F.substring(raw, 2 * i + 1, F.lit(2)), 16, 10).cast("bigint")
+    places = F.when(F.octet_length(text) > 0, F.sequence(F.lit(0), F.octet_length(text) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(F.when(text.isNotNull(), places), F.lit(2_166_136_261).cast("bigint"), lambda h, i: (h.bitwiseXOR(byte(i)) * 16_777_619).bitwiseAND(F.lit(0xFFFFFFFF)))
+
+
+def next_run(previous, now, interval=None, times=(), cron=(), manual=False, run_missed=False):
+    """Next run of a schedule (SF14) as a time, or None: the earliest of the interval's, of the times
+    of day (minutes) and of the cron lines, which may be unreadable. With ``run_missed`` a time of day
+    or cron line that fell between the previous run and now is made up for at once, unless the next
+    run is within half an hour. A source without a previous run counts from 1970."""
+    import datetime as dt
+
+    if manual:
+        return None
+    previous = previous or dt.datetime(1970, 1, 1)
+
+    def named(after):
+        found = []
+        for m in times:
+            t = dt.datetime.combine(after.date(), dt.time(m // 60, m % 60))
+            found.append(t + dt.timedelta(days=1) if after > t else t)
+        for line in cron:
+            try:
+                found.append(cron_next(line, after))
+            except ValueError:
+                continue
+        return min((t for t in found if t), default=None)
+
+    options = []
+    if interval:
+        seconds = int((previous - dt.datetime(1970, 1, 1)).total_seconds() + interval) // interval * interval
+        options.append(max(now, dt.datetime(1970, 1, 1) + dt.timedelta(seconds=seconds)))
+    options += [t for t in [named(now)] if t]
+    if not options:
+        return None
+    nxt = min(options)
+    if run_missed:
+        missed = named(previous + dt.timedelta(seconds=1))
+        if missed and missed < now and nxt > now + dt.timedelta(minutes=30):
+            return now
+    return nxt

@@ -164,3 +164,45 @@ def log_sessions(blobs: DataFrame) -> DataFrame:
     rows = blobs.filter(F.size(p) >= 8).select(F.concat_ws("_", F.get(p, F.lit(2)), F.get(p, F.lit(3))).alias("session_id"), F.expr("try_cast(get(split(blob_id, '_'), 4) as bigint)").alias("s"), F.expr("try_cast(get(split(blob_id, '_'), 5) as bigint)").alias("e"), "blob_id", "blob_length", "blob_ts")
     good = rows.filter("s is not null and e is not null")
     return good.groupBy("session_id").agg(F.min("s").alias("started"), F.max("e").alias("ended"), F.sum("blob_length").alias("bytes"), F.count(F.lit(1)).alias("segments"))
+
+
+def put(df: DataFrame, new: DataFrame, key: str, overwrite: bool = True) -> DataFrame:
+    """Blobs after ``new`` ones are put (SC07): they replace those of their key, or give way to them.
+    ``new`` has the same columns; of repeated keys in it the greatest row is put."""
+    rest = [c for c in df.columns if c != key]
+    one = new.filter(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(*rest)).alias("_r")).select(key, *[F.col(f"_r.{c}").alias(c) for c in rest])
+    if overwrite:
+        return df.join(one.select(key), key, "left_anti").select(df.columns).unionByName(one)
+    return df.unionByName(one.join(df.select(key).distinct(), key, "left_anti").select(df.columns))
+
+
+def extended_locks(blobs: DataFrame, prefixes: Sequence[str], until: Column, now: Column) -> DataFrame:
+    """Retention locks after extension (FI14): blobs with one of the prefixes that are locked still,
+    or never were, are locked ``until`` a time, but never shorter than they are; a lock that has
+    ended stays ended. Columns ``blob_id, locked_until``."""
+    mine = F.lit(False)
+    for p in prefixes:
+        mine |= F.col("blob_id").startswith(p)
+    held = F.col("locked_until").isNull() | (F.col("locked_until") >= now)
+    return blobs.withColumn("locked_until", F.when(mine & held, F.greatest("locked_until", until)).otherwise(F.col("locked_until")))
+
+
+def selected_sessions(sessions: DataFrame, now: int, younger: int | None = None, older: int | None = None, latest: int | None = None) -> DataFrame:
+    """Log sessions by age in seconds since their start, then the newest few (FI16)."""
+    age = F.lit(now) - F.col("started")
+    out = sessions
+    if younger is not None:
+        out = out.filter(age < younger)
+    if older is not None:
+        out = out.filter(age > older)
+    return out if latest is None else out.orderBy(F.desc("started"), F.desc("session_id")).limit(latest)
+
+
+def active_indexes(blobs: DataFrame, compactions: DataFrame) -> DataFrame:
+    """Index blobs that are in use (IX09): all but the inputs of compactions whose outputs are all
+    there. ``blobs`` has ``blob_id``, ``compactions`` ``log_id, role`` (``input`` or ``output``) and
+    ``blob_id``. An output of such a compaction that is an input of another one goes as well."""
+    there = blobs.select("blob_id", F.lit(True).alias("_t")).distinct()
+    outputs = compactions.filter("role = 'output'").join(there, "blob_id", "left").groupBy("log_id").agg(F.min(F.coalesce("_t", F.lit(False))).alias("_all"))
+    gone = compactions.filter("role = 'input'").join(outputs.filter("_all"), "log_id", "left_semi").select("blob_id").distinct()
+    return blobs.join(gone, "blob_id", "left_anti")

@@ -207,3 +207,23 @@ def copy_candidates(snapshots: DataFrame, rename: dict[str, Column]) -> DataFram
     for c in SOURCE:
         same &= F.col(c).eqNullSafe(F.col(f"_from_{c}"))
     return out.select("manifest_id", *SOURCE, F.when(same, "same source").when(F.col("_have"), "duplicate").otherwise("copy").alias("action"))
+
+
+def history_since_complete(snapshots: DataFrame) -> DataFrame:
+    """Per source the latest complete snapshot and the ids of all incomplete ones since, oldest first
+    (JN16); a source that never had a complete one lists all."""
+    best = snapshots.groupBy(*SOURCE).agg(F.max(F.when(F.col("complete"), F.struct(*ORDER))).alias("_b"), F.max("start_time").alias("last_start"))
+    rest = null_safe(snapshots.filter("not complete"), best.drop("last_start"), SOURCE, "inner").filter(F.col("_b").isNull() | (F.struct(*ORDER) > F.col("_b")))
+    ids = rest.groupBy(*SOURCE).agg(F.transform(F.array_sort(F.collect_list(F.struct(*ORDER))), lambda x: x["manifest_id"]).alias("since"))
+    out = null_safe(best, ids, SOURCE, "left")
+    return out.select(*SOURCE, F.col("_b.manifest_id").alias("complete_id"), "last_start", F.coalesce("since", F.array().cast("array<string>")).alias("since"))
+
+
+def resolved_roots(asked: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """Root object of each ``asked`` id (GR03): that of the snapshot with this id, else the id itself
+    if it is a snapshot's root. ``consistent`` tells if all snapshots of a root agree on the size of
+    what they hold; an id that is neither gives no row."""
+    roots = snapshots.filter("root_oid is not null").groupBy("root_oid").agg((F.min("total_size").eqNullSafe(F.max("total_size"))).alias("consistent"), F.count(F.lit(1)).alias("n"))
+    ids = asked.select("asked").filter("asked is not null").distinct()
+    by_id = ids.join(snapshots.select(F.col("manifest_id").alias("asked"), "root_oid"), "asked", "left").withColumn("root_oid", F.coalesce("root_oid", "asked"))
+    return by_id.join(roots, "root_oid").select("asked", "root_oid", "consistent", "n")

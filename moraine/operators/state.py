@@ -39,3 +39,11 @@ def compacted_manifests(written: DataFrame, threshold: int = 16, name: str = "co
     if rows.select("content").distinct().limit(threshold).count() < threshold:
         return rows.select("content", "manifest_id", "modified_at", "deleted")
     return state_rows(rows, "manifest_id", "modified_at", []).filter("not deleted").select(F.lit(name).alias("content"), "manifest_id", "modified_at", "deleted")
+
+
+def shadowed(committed: DataFrame, pending: DataFrame, key: str, version: str, keep: Sequence[str]) -> DataFrame:
+    """Live rows when pending writes hide the committed ones of their key, older or not (FI02); of
+    each side the newest row of a key counts."""
+    top = state_rows(pending, key, version, keep)
+    below = state_rows(committed, key, version, keep).join(top.select(key), key, "left_anti")
+    return top.unionByName(below.select(top.columns)).filter("not deleted").drop("deleted")

@@ -267,3 +267,28 @@ def rewritten(directories: DataFrame, drop: Column) -> DataFrame:
         rows = materialise(per.select("dir_oid", new.alias("new_oid"), "fingerprint", "files", "bytes", "folders"), "rewrite")
         out = rows if out is None else out.unionByName(rows)
     return out
+
+
+def summaries(roots: DataFrame, edge: DataFrame) -> DataFrame:
+    """``root`` with what lies below it (AG07): files, links, folders (itself counted), bytes of files,
+    latest change, entries without an object, folders without entries. Shared folders count as often
+    as paths lead to them. A root that isn't there is an empty folder."""
+    start = roots.select(F.col("key").alias("root")).filter("root is not null").distinct()
+    rows = paths_below(roots, edge)
+    is_ = lambda t: F.col("entry_type") == t
+    has = edge.select(F.col("dir_oid").alias("key"), F.lit(True).alias("_has")).distinct()
+    per = rows.join(has, "key", "left").groupBy("root").agg(F.count(F.when(is_("f"), 1)).alias("files"), F.count(F.when(is_("s"), 1)).alias("links"), F.count(F.when(is_("d"), 1)).alias("_dirs"), F.sum(F.when(is_("f"), F.col("file_size"))).alias("bytes"), F.count(F.when(F.col("key").isNull(), 1)).alias("failed"), F.count(F.when(is_("d") & F.col("_has").isNull(), 1)).alias("empty_folders"))
+    z = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c if isinstance(c, str) else "x")
+    empty = F.when(F.col("_dirs").isNull(), 1).otherwise(F.col("empty_folders")).cast("bigint").alias("empty_folders")
+    return start.join(per, "root", "left").select("root", z("files"), z("links"), (F.coalesce("_dirs", F.lit(0)) + 1).cast("bigint").alias("folders"), z("bytes"), z("failed"), empty)
+
+
+def transfer_counters(listed: DataFrame, previous: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Counters of an upload (AG10, AG22) per ``pair``: files whose metadata equal those of the
+    previous listing are cached, others are hashed. Rows need ``entry_type, key, file_size`` and
+    ``keys``; entries without an object failed."""
+    hits = cache_hits(listed, previous.withColumn("previous_no", F.lit(1)), keys)
+    file, got = F.col("entry_type") == "f", F.col("cached_key").isNotNull()
+    total = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("file_size"))), F.lit(0)).cast("bigint")
+    n = lambda cond: F.count(F.when(cond, 1))
+    return hits.groupBy("pair").agg(n(file & got).alias("cached_files"), total(file & got).alias("cached_bytes"), n(file & ~got).alias("hashed_files"), total(file & ~got).alias("hashed_bytes"), n(F.col("entry_type") == "d").alias("folders"), n(F.col("entry_type") == "s").alias("links"), n(F.col("key").isNull()).alias("failed"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from moraine.plans import core_problems, function_queries, snapshot_queries, store_queries, stream_queries, tree_queries
+from moraine.plans import core_problems, detail_queries, function_queries, snapshot_queries, store_queries, stream_queries, tree_queries
 
-_MODULES = [core_problems, store_queries, snapshot_queries, tree_queries, function_queries, stream_queries]
+_MODULES = [core_problems, store_queries, snapshot_queries, tree_queries, function_queries, stream_queries, detail_queries]
 
 
 def queries():
