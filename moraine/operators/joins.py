@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from moraine.operators.ranking import running_within
+from moraine.session import materialise
 
 
 def as_of_join(left: DataFrame, right: DataFrame, key: str, at: str, value: str) -> DataFrame:
@@ -19,11 +20,13 @@ def as_of_join(left: DataFrame, right: DataFrame, key: str, at: str, value: str)
 
 def disambiguated(df: DataFrame, name: str, safe: str) -> DataFrame:
     """Safe names made distinct regardless of case (SE07): of names that share one the first keeps
-    it and the others get `` (2)``, `` (3)`` and so on, until all are distinct."""
+    it and the others get `` (2)``, `` (3)`` and so on, until all are distinct. Names are written after
+    each round, so the lineage stays short."""
     rows = df
     while True:
         w = Window.partitionBy(F.lower(safe)).orderBy(name)
         k = F.row_number().over(w)
         rows = rows.withColumn("_k", k).withColumn(safe, F.when(F.col("_k") > 1, F.concat(F.col(safe), F.lit(" ("), F.col("_k"), F.lit(")"))).otherwise(F.col(safe))).drop("_k")
+        rows = materialise(rows, "names")
         if rows.groupBy(F.lower(safe)).count().filter("count > 1").isEmpty():
             return rows

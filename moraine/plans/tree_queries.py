@@ -642,3 +642,21 @@ def sc19_archives(t):
 
     docs = t.documents.filter("text is not null").select(F.concat(F.lit("d"), "doc_id").alias("p"), "text")
     return sinks.write_archives(docs, "p", "text", scratch_path(t.spark, "archives")).agg(F.coalesce(F.sum("files"), F.lit(0)).alias("files"), F.sum("bytes").alias("bytes"))
+
+
+@q("SELECT CASE WHEN source IN ('src0', 'src1', 'src2') THEN 1 ELSE 0 END shallow, count(*) files, sum(strlen(text))::BIGINT bytes FROM documents WHERE text IS NOT NULL GROUP BY 1")
+def sc19_restored_folder(t):
+    """Texts written to a folder; those of three sources lie deeper and are left as placeholders."""
+    from moraine.session import scratch_path
+
+    deep = F.when(F.col("source").isin("src0", "src1", "src2"), "a/b/c/d").otherwise("a")
+    docs = t.documents.filter("text is not null").select(F.concat_ws("/", deep, F.concat(F.lit("d"), "doc_id")).alias("p"), "text")
+    done = materialise(sinks.restore(docs, "p", "text", scratch_path(t.spark, "restored"), depth=2), "restored")
+    return done.groupBy(F.col("placeholder").cast("int").alias("shallow")).agg(F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes"))
+
+
+@q("SELECT * FROM (VALUES ('filesystem', 'file:///data/x'), ('s3', 's3a://b/x'), ('azure', 'abfss://b/x'), ('gcs', 'gs://b/x'), ('sftp', 'sftp://b/x'), ('b2', 's3a://b/x')) v(provider, address)")
+def sc08_addresses(t):
+    """Address of a path in each kind of store that Spark reads."""
+    rows = [(p, sinks.address(p, "b", "/data/x" if p == "filesystem" else "x")) for p, scheme in sinks.SCHEMES.items() if scheme]
+    return t.spark.createDataFrame(rows, "provider string, address string")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -23,14 +25,23 @@ def shared_dir(spark: SparkSession) -> str:
         return found
     if not sc.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    path = "file://" + tempfile.mkdtemp(prefix="moraine-")
-    sc.setCheckpointDir(path)
-    return path
+    folder = tempfile.mkdtemp(prefix="moraine-")
+    atexit.register(shutil.rmtree, folder, True)
+    sc.setCheckpointDir("file://" + folder)
+    return "file://" + folder
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder; its files stay until the application removes them."""
-    return f"{shared_dir(spark)}/moraine/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, in this application's part of it; its files stay until
+    ``remove_scratch``, since results that are read later may need them."""
+    return f"{shared_dir(spark)}/moraine/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_scratch(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application. Results not yet read are lost with them:
+    call it when an application is done with its results."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/moraine/{spark.sparkContext.applicationId}")
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -1,13 +1,15 @@
-"""Files in and out: folder scans, archives, JSON lines, storage addresses."""
+"""Files in and out: folder scans, archives, restored folders, storage addresses."""
 
 from __future__ import annotations
 
 import io
+import json
 import tarfile
 import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,20 +44,17 @@ def write_archives(df: DataFrame, path: str, content: str, folder: str, kind: st
     conf = {"root": folder, "kind": kind}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
         from pyspark import TaskContext
 
         name = f"part-{TaskContext.get().partitionId():05d}.{conf['kind']}"
-        root = conf["root"].removeprefix("file://")
-        os.makedirs(root, exist_ok=True)
-        target, n, total, out = os.path.join(root, name), 0, 0, None
+        n, total, out, raw = 0, 0, None, None
         for b in batches:
             for p, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if p is None or c is None:
                     continue
                 if out is None:
-                    out = tarfile.open(target, "w") if conf["kind"] == "tar" else zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED)
+                    raw = _created(conf["root"], name)
+                    out = tarfile.open(fileobj=raw, mode="w|") if conf["kind"] == "tar" else zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED)
                 if conf["kind"] == "tar":
                     info = tarfile.TarInfo(p)
                     info.size = len(c)
@@ -65,6 +64,7 @@ def write_archives(df: DataFrame, path: str, content: str, folder: str, kind: st
                 n, total = n + 1, total + len(c)
         if out is not None:
             out.close()
+            raw.close()
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64()), pa.array([total], pa.int64())], names=["archive", "files", "bytes"])
 
     rows = df.select(F.col(path).alias("path"), F.col(content).cast("binary").alias("content"))
@@ -72,6 +72,46 @@ def write_archives(df: DataFrame, path: str, content: str, folder: str, kind: st
     return rows.mapInArrow(run, "archive string, files bigint, bytes bigint")
 
 
-def json_lines(df: DataFrame, path: str) -> None:
-    """JSON lines (SC21)."""
-    df.write.mode("overwrite").json(path)
+def _created(root: str, name: str):
+    """A new file below a folder of any file system that pyarrow opens by its address, such as
+    ``file://``, ``hdfs://``, ``s3://`` or ``gs://``; folders are made as needed."""
+    store, at = fs.FileSystem.from_uri(root.replace("s3a://", "s3://", 1))
+    target = f"{at}/{name}"
+    store.create_dir(target.rsplit("/", 1)[0], recursive=True)
+    return store.open_output_stream(target)
+
+
+#: Suffix of the file that stands for an entry whose content isn't restored.
+PLACEHOLDER = ".placeholder"
+
+
+def _below(path: str) -> str:
+    """A path that stays below the folder it is restored to."""
+    names = [n for n in path.replace("\\", "/").split("/") if n not in ("", ".")]
+    if not names or ".." in names:
+        raise ValueError(f"not a path below a folder: {path!r}")
+    return "/".join(names)
+
+
+def restore(df: DataFrame, path: str, content: str, folder: str, depth: int | None = None) -> DataFrame:
+    """Files written below ``folder`` (SC19): ``path, bytes, placeholder`` of each. Files in more than
+    ``depth`` folders are written as a small placeholder, JSON of their path and size, in place of
+    their content. Rows without path or content are skipped; a path that leads out of the folder is
+    an error; a task that runs again writes the same files again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            paths, sizes, marks = [], [], []
+            for p, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if p is None or c is None:
+                    continue
+                name = _below(p)
+                mark = depth is not None and name.count("/") > depth
+                with _created(folder, name + PLACEHOLDER if mark else name) as out:
+                    out.write(json.dumps({"path": name, "size": len(c)}).encode() if mark else c)
+                paths.append(p)
+                sizes.append(len(c))
+                marks.append(mark)
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(sizes, pa.int64()), pa.array(marks, pa.bool_())], names=["path", "bytes", "placeholder"])
+
+    return df.select(F.col(path).alias("path"), F.col(content).cast("binary").alias("content")).mapInArrow(run, "path string, bytes bigint, placeholder boolean")

@@ -127,3 +127,26 @@ def test_indirect_objects_of_several_levels(spark):
     used = trees.reachable_contents(spark.createDataFrame([("r",)], "key string"), edge, links)
     assert {f"nine{i}" for i in range(9)} < {r.key for r in used.collect()}
     assert K.seek_trees(spark.createDataFrame([], "key string, chunk_no int, start int, length int, content_id string"), "key")[0].count() == 0
+
+
+def test_restored_files_stay_below_their_folder(spark, tmp_path):
+    from moraine.sources import sinks
+
+    df = spark.createDataFrame([("a/x", b"1"), ("a/b/c/y", b"22"), (None, b"3"), ("z", None)], "p string, c binary")
+    got = {(r.path, r.bytes, r.placeholder) for r in sinks.restore(df, "p", "c", f"file://{tmp_path}/out", depth=1).collect()}
+    assert got == {("a/x", 1, False), ("a/b/c/y", 2, True)}
+    assert (tmp_path / "out/a/x").read_bytes() == b"1" and "size" in (tmp_path / "out/a/b/c/y.placeholder").read_text()
+    for bad in ("../x", "a/../../x", "/"):
+        with pytest.raises(ValueError):
+            sinks._below(bad)
+
+
+def test_scratch_is_removed(spark):
+    import pathlib
+
+    from moraine.session import materialise, remove_scratch
+
+    path = materialise(spark.range(3), "t").inputFiles()[0].removeprefix("file://")
+    assert pathlib.Path(path).exists()
+    remove_scratch(spark)
+    assert not pathlib.Path(path).exists()
