@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from moraine.operators.joins import as_of_join
 from moraine.operators.ranking import running_within
 
 
@@ -103,3 +104,21 @@ def safe_drop_time(runs: DataFrame, margin: int, extra: int) -> DataFrame:
 def markers(blobs: DataFrame) -> DataFrame:
     """Write epoch and when it began (EP01), from marker blobs ``epoch, ts``."""
     return blobs.agg(F.max("epoch").alias("write_epoch"), F.min_by("ts", -F.col("epoch")).alias("began"))
+
+
+def judged_writes(writes: DataFrame, epochs: DataFrame) -> DataFrame:
+    """What becomes of index writes (EP08): ``write_id, epoch, outcome``. A write belongs to the epoch
+    that was current when it started; it is ``kept`` if that or the next one is current when it
+    ends, else ``too slow``: its shards go, since that epoch may have been compacted without it.
+    ``no epoch`` had begun for writes before the first. ``writes`` has ``write_id, started, ended``,
+    ``epochs`` ``epoch, began``; both sides meet in order of time, not by a join on a range."""
+    e = epochs.filter("epoch is not null and began is not null").groupBy(F.col("began").alias("at")).agg(F.max("epoch").alias("epoch")).withColumn("_g", F.lit(0))
+    w = writes.select("write_id", F.lit(0).alias("_g"), F.col("started").alias("at"), "ended")
+    first = _as_of(w, e, "_first")
+    last = _as_of(first.select("write_id", "_g", "_first", F.col("ended").alias("at")), e, "_last")
+    outcome = F.when(F.col("_first").isNull(), "no epoch").when(F.col("_last") >= F.col("_first") + 2, "too slow").otherwise("kept")
+    return last.select("write_id", F.col("_first").alias("epoch"), outcome.alias("outcome"))
+
+
+def _as_of(left: DataFrame, epochs: DataFrame, name: str) -> DataFrame:
+    return as_of_join(left, epochs.withColumnRenamed("epoch", "_e"), "_g", "at", "_e").withColumnRenamed("_e", name)

@@ -200,3 +200,18 @@ def access(requests: DataFrame, rules: DataFrame) -> DataFrame:
     has = F.forall(F.map_entries(F.coalesce("target", F.create_map().cast("map<string,string>"))), lambda e: F.coalesce(F.try_element_at("labels", e["key"]) == own(e["value"]), F.lit(False)))
     best = met.filter(has).groupBy("request_id").agg(F.max("access").alias("access"))
     return requests.select("request_id").distinct().join(best, "request_id", "left").select("request_id", F.coalesce("access", F.lit(0)).alias("access"))
+
+
+def compressor(name: Column, extension: Column, size: Column, least: Column, most: Column, only: Column, never: Column) -> Column:
+    """Compressor of a file by a policy's compression values (FI13), empty for none: ``none`` and no
+    name mean none; so do sizes below ``least`` or above ``most`` (0 or null is no bound) and an
+    extension in ``never`` that isn't in ``only``. A list of extensions to compress leaves the
+    others as they are. The lists may be null."""
+    listed = lambda xs: F.coalesce(F.array_contains(xs, extension), F.lit(False))
+    out = F.when(F.coalesce(name, F.lit("none")).isin("none", ""), "").when((least > 0) & (size < least), "").when((most > 0) & (size > most), "")
+    return out.when(listed(only), name).when(listed(never), "").otherwise(name)
+
+
+def maintenance_mode(owner: Column, full_due: Column, quick_due: Column) -> Column:
+    """Kind of maintenance to run now (MS09): none for anyone but the owner, else full before quick."""
+    return F.when(~F.coalesce(owner, F.lit(False)), "none").when(full_due, "full").when(quick_due, "quick").otherwise("none")

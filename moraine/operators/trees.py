@@ -292,3 +292,18 @@ def transfer_counters(listed: DataFrame, previous: DataFrame, keys: Sequence[str
     total = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("file_size"))), F.lit(0)).cast("bigint")
     n = lambda cond: F.count(F.when(cond, 1))
     return hits.groupBy("pair").agg(n(file & got).alias("cached_files"), total(file & got).alias("cached_bytes"), n(file & ~got).alias("hashed_files"), total(file & ~got).alias("hashed_bytes"), n(F.col("entry_type") == "d").alias("folders"), n(F.col("entry_type") == "s").alias("links"), n(F.col("key").isNull()).alias("failed"))
+
+
+def restore_counters(wanted: DataFrame, local: DataFrame) -> DataFrame:
+    """Counters of restoring ``wanted`` over ``local`` (AG22) per ``pair``: files restored, their
+    bytes, files skipped because one of their size and time is there, links, and local entries that
+    are extra. Rows have ``pair, entry_path, entry_type, file_size, mod_time``."""
+    cols = F.struct("entry_type", "file_size", "mod_time")
+    a = wanted.groupBy("pair", "entry_path").agg(F.max(cols).alias("a"))
+    b = local.groupBy("pair", "entry_path").agg(F.max(cols).alias("b"))
+    both = a.join(b, ["pair", "entry_path"], "full_outer")
+    file = F.col("a.entry_type") == "f"
+    same = file & (F.col("b.entry_type") == "f") & F.col("a.file_size").eqNullSafe(F.col("b.file_size")) & F.col("a.mod_time").eqNullSafe(F.col("b.mod_time"))
+    n = lambda cond: F.count(F.when(cond, 1))
+    put = file & ~F.coalesce(same, F.lit(False))
+    return both.groupBy("pair").agg(n(put).alias("restored_files"), F.coalesce(F.sum(F.when(put, F.col("a.file_size"))), F.lit(0)).alias("restored_bytes"), n(same).alias("skipped_files"), n(F.col("a.entry_type") == "s").alias("restored_links"), n(F.col("a").isNull()).alias("extra_entries"))

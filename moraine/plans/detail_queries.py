@@ -6,13 +6,19 @@ from pyspark.sql import functions as F
 
 from moraine.functions import scalars as X
 from moraine.operators import blobs as B
+from moraine.operators import epochs as E
+from moraine.operators import nested
+from moraine.operators import policies as P
 from moraine.operators import ranking as R
 from moraine.operators import snapshots as S
 from moraine.operators import trees
 from moraine.operators.history import SOURCE
 from moraine.operators.state import shadowed
+from moraine.plans import function_queries as FU
+from moraine.plans import snapshot_queries as SQ
+from moraine.plans import store_queries as ST
 from moraine.plans import tree_queries as T
-from moraine.plans.base import BL, CW, DI, EN, SN, Registry, sql
+from moraine.plans.base import BL, CW, DI, EN, LV, PO, SN, Registry, sql
 
 q = Registry()
 QUERIES, ORACLE = q.QUERIES, q.ORACLE
@@ -230,3 +236,71 @@ def ms13_delete_by_id_and_source(t):
     ids = t.snapshot_entries.filter("entry_type = 's' and manifest_id is not null").select("manifest_id")
     source = F.coalesce((F.col("host_name") == "relay-hub") & F.col("user_name").isNotNull(), F.lit(False))
     return B.without(sn.filter(~source), ids, "manifest_id").select("manifest_id")
+
+
+# -- restores, tasks, epochs, policies ----------------------------------------------------------
+_SIDE = "(SELECT pair, entry_path, max((entry_type, file_size, mod_time)) v FROM (SELECT pair, e.* FROM en1 e JOIN pr ON {} = manifest_id) GROUP BY ALL)"
+
+
+@q(sql(SN, T.ENTRY, T.EVERY, f"jo AS (SELECT coalesce(a.pair, b.pair) pair, a.v[1] t, a.v[2] z, a.v IS NULL extra, a.v IS NOT DISTINCT FROM b.v AND a.v[1] = 'f' same FROM {_SIDE.format('pair')} a FULL JOIN {_SIDE.format('older')} b ON a.pair = b.pair AND a.entry_path = b.entry_path)", "SELECT pair, count(*) FILTER (WHERE t = 'f' AND NOT same) restored_files, coalesce(sum(z) FILTER (WHERE t = 'f' AND NOT same), 0)::BIGINT restored_bytes, count(*) FILTER (WHERE same) skipped_files, count(*) FILTER (WHERE t = 's') restored_links, count(*) FILTER (WHERE extra) extra_entries FROM jo GROUP BY 1").replace("max((entry_type, file_size, mod_time)) v", "max_by(row(entry_type, file_size, mod_time), (entry_type IS NOT NULL, coalesce(entry_type, ''), file_size IS NOT NULL, coalesce(file_size, 0), mod_time IS NOT NULL, coalesce(mod_time, timestamp '0001-01-01'))) v"))
+def ag22_restore_counters(t):
+    """Every listing restored over the one before it."""
+    old, new = T._all_sides(t, ["entry_type", "file_size", "mod_time"], ["pair", "entry_path"])
+    return trees.restore_counters(new, old)
+
+
+_TASKS = {"collect contents": ("jn03_snapshot_gc", "fate"), "collect packs": ("jn02_session_garbage", "fate"), "verify contents": ("jn06_verify_objects", "state"), "sets of epochs": ("ep05_index_set", "kind")}
+
+
+@q(" UNION ALL ".join(f"SELECT '{task}' task, {col} AS counter, n::BIGINT AS value FROM ({T.ORACLE.get(name) or ST.ORACLE.get(name) or FU.ORACLE[name]})" for task, (name, col) in _TASKS.items()) + f" UNION ALL SELECT 'clean up logs', 'deleted', count(*) FROM ({ST.ORACLE['wn09_log_cleanup']}) UNION ALL SELECT 'rewrite packs', 'short packs', count(*) FROM ({ST.ORACLE['wn16_short_packs']}) UNION ALL SELECT 'expire snapshots', 'expired', count(*) FROM ({SQ.ORACLE['wn03_expired']})")
+def ag23_task_records(t):
+    """Counters of seven maintenance tasks, one row each."""
+    run = lambda name: next(m.QUERIES[name] for m in (T, ST, FU, SQ) if name in m.QUERIES)(t.spark, t.base)
+    out = None
+    for task, (name, col) in _TASKS.items():
+        part = run(name).select(F.lit(task).alias("task"), F.col(col).alias("counter"), F.col("n").cast("bigint").alias("value"))
+        out = part if out is None else out.unionByName(part)
+    for task, name, counter in (("clean up logs", "wn09_log_cleanup", "deleted"), ("rewrite packs", "wn16_short_packs", "short packs"), ("expire snapshots", "wn03_expired", "expired")):
+        out = out.unionByName(run(name).agg(F.count(F.lit(1)).alias("value")).select(F.lit(task).alias("task"), F.lit(counter).alias("counter"), "value"))
+    return out
+
+
+@q(f"WITH {FU._EP}, eb AS (SELECT epoch, min(s) began FROM ep WHERE epoch IS NOT NULL GROUP BY 1), wr AS (SELECT event_id, epoch_us(ts) // 1000000 a, epoch_us(ts) // 1000000 + (event_id % 100 + 1) * 900 b FROM events WHERE event_type = 'purchase' AND ts IS NOT NULL), fs AS (SELECT wr.*, eb.epoch e1 FROM wr ASOF LEFT JOIN eb ON wr.a >= eb.began), ls AS (SELECT fs.*, eb.epoch e2 FROM fs ASOF LEFT JOIN eb ON fs.b >= eb.began) SELECT event_id write_id, e1 AS epoch, CASE WHEN e1 IS NULL THEN 'no epoch' WHEN e2 >= e1 + 2 THEN 'too slow' ELSE 'kept' END outcome FROM ls")
+def ep08_slow_writes(t):
+    """Writes judged by the epochs current when they start and end: purchases stand for writes."""
+    epochs = FU._epochs(t).groupBy("epoch").agg(F.min("ts").alias("began"))
+    at = F.expr("cast(unix_micros(cast(ts as timestamp)) div 1000000 as bigint)")
+    w = t.events.filter("event_type = 'purchase' and ts is not null").select(F.col("event_id").alias("write_id"), at.alias("started"), (at + (F.col("event_id") % 100 + 1) * 900).alias("ended"))
+    return E.judged_writes(w, epochs)
+
+
+_ZIP = """c1 AS (SELECT policy_id, json_extract(p, '$.compression') v FROM p1 WHERE json_valid(p) AND json_type(p) = 'OBJECT'),
+c2 AS (SELECT policy_id, CASE WHEN json_type(v) = 'VARCHAR' AND json_valid(v->>'$') THEN (v->>'$')::JSON ELSE v END v FROM c1 WHERE v IS NOT NULL),
+c3 AS (SELECT policy_id, nullif(v->>'compressorName', '') name, CASE WHEN json_type(v->'neverCompress') = 'ARRAY' THEN list_transform((v->'neverCompress')::VARCHAR[], lambda x: ltrim(x, '*')) ELSE [] END nv FROM c2),
+pk AS (SELECT host_name, user_name, source_path, min(policy_id) policy_id FROM po GROUP BY ALL),
+ent AS (SELECT DISTINCT manifest_id, entry_path, file_size, regexp_extract(entry_path, '(\\.[^./]*)$', 1) ext FROM snapshot_entries WHERE manifest_id IS NOT NULL AND entry_path IS NOT NULL AND file_size IS NOT NULL),
+jo AS (SELECT e.*, c3.name, c3.nv FROM ent e JOIN sn USING (manifest_id) JOIN pk ON sn.host_name IS NOT DISTINCT FROM pk.host_name AND sn.user_name IS NOT DISTINCT FROM pk.user_name AND sn.source_path IS NOT DISTINCT FROM pk.source_path LEFT JOIN c3 ON c3.policy_id = pk.policy_id)"""
+
+
+@q(sql(SN, PO, LV, _ZIP, "SELECT chosen, count(*) n FROM (SELECT CASE WHEN name IS NULL OR name = 'none' THEN '' WHEN file_size > 1000000000 THEN '' WHEN list_contains(coalesce(nv, []), ext) THEN '' ELSE name END chosen FROM jo) GROUP BY 1"))
+def fi13_policy_compressor(t):
+    """Compressor of every listed file by its source's own policy, up to a gigabyte."""
+    live = T._policies(t)
+    own = live.groupBy(*SOURCE).agg(F.min("policy_id").alias("policy_id"))
+    leaves = nested.policy_leaves(nested.nested_nodes(live.filter("payload is not null"), "policy_id", "payload", ("compression",), ("neverCompress",)))
+    name = F.max(F.when(F.col("field_path") == "compression.compressorName", F.col("leaf_text"))).alias("name")
+    never = F.collect_set(F.when(F.col("field_path") == "compression.neverCompress", F.regexp_replace("leaf_text", "^[*]+", ""))).alias("never")
+    at = R.null_safe(t.snapshots.select("manifest_id", *SOURCE), own.join(leaves.groupBy("policy_id").agg(name, never), "policy_id", "left"), SOURCE, "inner")
+    e = t.snapshot_entries.filter("manifest_id is not null and entry_path is not null and file_size is not null").select("manifest_id", "entry_path", "file_size").distinct()
+    zero, none = F.lit(0), F.array().cast("array<string>")
+    chosen = P.compressor(F.col("name"), F.regexp_extract("entry_path", r"(\.[^./]*)$", 1), F.col("file_size"), zero, F.lit(1_000_000_000), none, F.col("never"))
+    return e.join(at.select("manifest_id", "name", "never"), "manifest_id").groupBy(chosen.alias("chosen")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@q(sql(SN, f"l AS (SELECT host_name, max(end_time) FILTER (WHERE complete) f, max(end_time) k, bool_or(user_name = 'root') o FROM sn GROUP BY 1)", f"SELECT host_name, CASE WHEN NOT coalesce(o, false) THEN 'none' WHEN f IS NULL OR {CUT} - f >= INTERVAL 24 HOUR THEN 'full' WHEN k IS NULL OR {CUT} - k >= INTERVAL 1 HOUR THEN 'quick' ELSE 'none' END AS mode FROM l"))
+def ms09_modes(t):
+    """Maintenance due on each host: full a day after the last complete run, quick an hour after any;
+    hosts of the user root own theirs."""
+    last = t.snapshots.groupBy("host_name").agg(F.max(F.when(F.col("complete"), F.col("end_time"))).alias("f"), F.max("end_time").alias("k"), F.max(F.col("user_name") == "root").alias("o"))
+    due = lambda c, hours: F.col(c).isNull() | (cut() - F.col(c) >= F.expr(f"interval {hours} hours"))
+    return last.select("host_name", P.maintenance_mode(F.col("o"), due("f", 24), due("k", 1)).alias("mode"))
