@@ -227,3 +227,13 @@ def resolved_roots(asked: DataFrame, snapshots: DataFrame) -> DataFrame:
     ids = asked.select("asked").filter("asked is not null").distinct()
     by_id = ids.join(snapshots.select(F.col("manifest_id").alias("asked"), "root_oid"), "asked", "left").withColumn("root_oid", F.coalesce("root_oid", "asked"))
     return by_id.join(roots, "root_oid").select("asked", "root_oid", "consistent", "n")
+
+
+def reasons_by_root(snapshots: DataFrame, reasons: DataFrame) -> DataFrame:
+    """``root_oid, first_id, n, reasons``: snapshots of one root as one row (AG17), the first of them
+    and all reasons to keep any of them, each once and in order. Reasons are made distinct before
+    they are gathered; a root whose snapshots have none has an empty list."""
+    first = snapshots.groupBy("root_oid").agg(F.min(F.struct(*ORDER))["manifest_id"].alias("first_id"), F.count(F.lit(1)).alias("n"))
+    had = snapshots.select("manifest_id", "root_oid").join(reasons.select("manifest_id", "reason"), "manifest_id").select("root_oid", "reason").distinct()
+    lists = had.groupBy("root_oid").agg(F.array_sort(F.collect_list("reason")).alias("reasons"))
+    return null_safe(first, lists, ["root_oid"], "left").select("root_oid", "first_id", "n", F.coalesce("reasons", F.array().cast("array<string>")).alias("reasons"))

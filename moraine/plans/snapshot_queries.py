@@ -107,6 +107,13 @@ def ag17_unique_roots(t):
     return S.unique_roots(t.snapshots)
 
 
+@q(sql(SN, *_REASONS, "SELECT sn.root_oid, min_by(sn.manifest_id, (start_time IS NOT NULL, coalesce(start_time, timestamp '0001-01-01'), end_time IS NOT NULL, coalesce(end_time, timestamp '0001-01-01'), sn.manifest_id)) first_id, count(DISTINCT sn.manifest_id) n, coalesce(list_sort(list(DISTINCT reason) FILTER (WHERE reason IS NOT NULL)), []) reasons FROM sn LEFT JOIN reasons USING (manifest_id) GROUP BY 1"))
+def ag17_reasons_by_root(t):
+    """Snapshots of one root as one row, with all reasons to keep any of them."""
+    sn = t.snapshots
+    return S.reasons_by_root(sn, S.retention_reasons(sn, KEEP))
+
+
 _TAGS = sql(SN, *_REASONS, f"p AS (SELECT {SRC}, split_part(reason, '-', 1) k, split_part(reason, '-', 2)::INT n FROM reasons JOIN sn USING (manifest_id) WHERE reason <> 'incomplete')", f"g AS (SELECT *, n - row_number() OVER (PARTITION BY {SRC}, k ORDER BY n) r FROM p)", f"SELECT concat_ws('|', coalesce('v' || host_name, 'n'), coalesce('v' || user_name, 'n'), coalesce('v' || source_path, 'n')) source, CASE WHEN min(n) = max(n) THEN k || '-' || min(n) ELSE k || '-' || min(n) || '..' || max(n) END tag FROM g GROUP BY {SRC}, k, r")
 
 
